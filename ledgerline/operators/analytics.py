@@ -117,17 +117,17 @@ def category_share(analytics: DataFrame) -> DataFrame:
     mx = F.max("transaction_count").over(w)
     return c.select("import_id", "category", "transaction_count",
                     F.when(mx == 0, F.lit(0.0)).otherwise(
-                        F.round(F.col("transaction_count") * 100.0 / mx, 6)).alias("share_of_max"))
+                        F.col("transaction_count").cast("double") * 100.0 / mx.cast("double")).alias("share_of_max"))
 
 
 def month_magnitude_share(analytics: DataFrame) -> DataFrame:
     """|sum| / max(|sum|) * 100 within the import, with a sign flag."""
     m = analytics.filter(F.col("aggregation_type") == MONTH)
     w = Window.partitionBy("import_id")
-    mx = F.max(F.abs("total_amount")).over(w)
+    mag = F.abs(F.col("total_amount").cast("double"))
+    mx = F.max(mag).over(w)
     return m.select("import_id", "month", "total_amount",
-                    F.when(mx == 0, F.lit(0.0)).otherwise(
-                        F.round((F.abs(F.col("total_amount")) * 100 / mx).cast("double"), 6)).alias("magnitude_share"),
+                    F.when(mx == 0, F.lit(0.0)).otherwise(mag * 100.0 / mx).alias("magnitude_share"),
                     (F.col("total_amount") < 0).alias("negative"))
 
 

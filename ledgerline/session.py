@@ -65,9 +65,6 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder under the shared root."""
+    """A fresh, unique (not yet existing) folder path under the shared root."""
     root = shared_root(spark)
-    path = os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
-    if "://" not in path:
-        os.makedirs(path, exist_ok=True)
-    return path
+    return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
