@@ -18,7 +18,10 @@ def is_blank(c: Column) -> Column:
 
 def utf16_length(c: Column) -> Column:
     """`String.length()`: UTF-16 code units (a supplementary char counts 2)."""
-    return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
+    n = F.length(c)
+    # ASCII-only text (bytes == code points) is 1 unit per char: skip re-encoding
+    return F.when(F.octet_length(c) == n, n).otherwise(
+        (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int"))
 
 
 def utf16_longer_than(c: Column, limit: int) -> Column:

@@ -19,6 +19,8 @@ OFFSET_VALID_RE = (r"^(?:[Zz]|[+-](?:(?:0\d|1[0-7])(?::[0-5]\d(?::[0-5]\d)?)?"
 OFFSET_UTC_RE = r"^(?:[Zz]|[+-]00(?::00){0,2})\z"
 OFFSET_EXTRACT_RE = r"([Zz]|[+-][0-9:]+)\z"
 FRACTION_EXTRACT_RE = r"^:\d{2}[.](\d*)"
+# Every spelling of a zero offset the grammar admits (equals OFFSET_UTC_RE).
+UTC_OFFSETS = ["Z", "z", "+00", "-00", "+00:00", "-00:00", "+00:00:00", "-00:00:00"]
 
 
 def parse_offset_datetime(c: Column) -> dict[str, Column]:
@@ -30,13 +32,37 @@ def parse_offset_datetime(c: Column) -> dict[str, Column]:
     offset = F.regexp_extract(c, OFFSET_EXTRACT_RE, 1)
     local = F.concat(F.substring(c, 1, 10), F.lit(" "), F.substring(c, 12, 5), F.lit(":"), sec)
     base = F.try_to_timestamp(local, F.lit("yyyy-MM-dd HH:mm:ss"))
-    frac = F.regexp_extract(rest, FRACTION_EXTRACT_RE, 1)
+    frac = F.when(F.substring(rest, 4, 1) == F.lit("."),
+                  F.substring(rest, F.lit(5), F.length(rest) - F.length(offset) - 4)).otherwise(F.lit(""))
     nanos = F.when(F.length(frac) > 0, F.rpad(frac, 9, "0").cast("long")).otherwise(F.lit(0))
     micros = F.floor((nanos + F.lit(500)) / F.lit(1000))
     ts = F.timestamp_micros(F.unix_micros(base) + micros)
+    utc = offset.isin(*UTC_OFFSETS)
     valid = (F.coalesce(shape_ok, F.lit(False))
              & (F.substring(c, 1, 4) != F.lit("0000"))
              & base.isNotNull()
-             & offset.rlike(OFFSET_VALID_RE))
-    utc = offset.rlike(OFFSET_UTC_RE)
+             & (utc | offset.rlike(OFFSET_VALID_RE)))
     return {"valid": valid, "utc": utc, "ts": ts}
+
+
+def datetime_stages(src: str, p: str) -> list[dict[str, Column]]:
+    """:func:`parse_offset_datetime` as stacked projections (prefix ``p``):
+    one shape regex and one offset extraction per row."""
+    c = F.col(src)
+    col = lambda n: F.col(p + n)
+    s1 = {p + "shape": F.coalesce(c.rlike(DATETIME_RE), F.lit(False)),
+          p + "off": F.regexp_extract(c, OFFSET_EXTRACT_RE, 1),
+          p + "rest": F.substring(c, 17, 1 << 20)}
+    sec = F.when(F.startswith(col("rest"), F.lit(":")), F.substring(col("rest"), 2, 2)).otherwise(F.lit("00"))
+    local = F.concat(F.substring(c, 1, 10), F.lit(" "), F.substring(c, 12, 5), F.lit(":"), sec)
+    s2 = {p + "base": F.when(col("shape"), F.try_to_timestamp(local, F.lit("yyyy-MM-dd HH:mm:ss"))),
+          p + "utc": col("off").isin(*UTC_OFFSETS),
+          p + "frac": F.when(F.substring(col("rest"), 4, 1) == F.lit("."),
+                             F.substring(col("rest"), F.lit(5), F.length(col("rest")) - F.length(col("off")) - 4))
+          .otherwise(F.lit(""))}
+    nanos = F.when(F.length(col("frac")) > 0, F.rpad(col("frac"), 9, "0").cast("long")).otherwise(F.lit(0))
+    micros = F.floor((nanos + F.lit(500)) / F.lit(1000))
+    s3 = {p + "valid": (col("shape") & (F.substring(c, 1, 4) != F.lit("0000")) & col("base").isNotNull()
+                        & (col("utc") | col("off").rlike(OFFSET_VALID_RE))),
+          p + "ts": F.timestamp_micros(F.unix_micros(col("base")) + micros)}
+    return [s1, s2, s3]

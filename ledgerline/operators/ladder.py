@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline import contract as C
-from ledgerline.functions.decimals import parse_bigdecimal
+from ledgerline.functions.decimals import bigdecimal_stages, parse_bigdecimal
 from ledgerline.functions.text import is_blank, utf16_longer_than
-from ledgerline.functions.timestamps import parse_offset_datetime
+from ledgerline.functions.timestamps import datetime_stages, parse_offset_datetime
 
 
 def _field(fields: Column, i: int) -> Column:
@@ -50,14 +50,41 @@ def reason_for(code: Column) -> Column:
 
 def classify(df: DataFrame, fields_col: str = "fields") -> DataFrame:
     """Add ``error_code`` and ``reason`` (null when accepted) and the typed
-    columns. One pass; callers split with :func:`accepted` / :func:`rejected`."""
-    cols = ladder_columns(F.col(fields_col))
-    out = df.withColumn("error_code", cols["error_code"])
-    return (out.withColumn("reason", reason_for(F.col("error_code")))
-            .withColumn("transaction_id", F.when(F.col("error_code").isNull(), cols["transaction_id"]))
-            .withColumn("occurred_at", F.when(F.col("error_code").isNull(), cols["occurred_at"]))
-            .withColumn("amount", F.when(F.col("error_code").isNull(), cols["amount"]))
-            .withColumn("category", F.when(F.col("error_code").isNull(), cols["category"])))
+    columns. One pass; callers split with :func:`accepted` / :func:`rejected`.
+
+    Parsed parts are materialised in stacked projections (regex results are
+    not cheap, so Catalyst keeps each computed once per row instead of
+    inlining them into every CASE branch)."""
+    f = F.col(fields_col)
+    base = df.select("*", F.size(f).alias("_nf"), *[F.get(f, i).alias(n) for i, n in
+                                                      enumerate(("_tid", "_occ", "_amt", "_cat"))])
+    parsed = base
+    ts_st, dc_st = datetime_stages("_occ", "_ts_"), bigdecimal_stages("_amt", "_dc_")
+    for i in range(max(len(ts_st), len(dc_st))):
+        level = {**(ts_st[i] if i < len(ts_st) else {}), **(dc_st[i] if i < len(dc_st) else {})}
+        parsed = parsed.select("*", *[v.alias(k) for k, v in level.items()])
+    code = (F.when(F.col("_nf") != 4, F.lit(C.COLUMN_COUNT))
+            .when(is_blank(F.col("_tid")), F.lit(C.TRANSACTION_ID_REQUIRED))
+            .when(utf16_longer_than(F.col("_tid"), C.TRANSACTION_ID_MAX), F.lit(C.TRANSACTION_ID_TOO_LONG))
+            .when(~F.col("_ts_valid"), F.lit(C.OCCURRED_AT_INVALID))
+            .when(~F.col("_ts_utc"), F.lit(C.OCCURRED_AT_NOT_UTC))
+            .when(~F.col("_dc_valid"), F.lit(C.AMOUNT_INVALID))
+            .when(F.col("_dc_scale") != C.AMOUNT_SCALE, F.lit(C.AMOUNT_SCALE_INVALID))
+            .when(F.col("_dc_precision") > C.AMOUNT_PRECISION, F.lit(C.AMOUNT_PRECISION_INVALID))
+            .when(F.col("_dc_zero"), F.lit(C.AMOUNT_ZERO))
+            .when(is_blank(F.col("_cat")), F.lit(C.CATEGORY_REQUIRED))
+            .when(utf16_longer_than(F.col("_cat"), C.CATEGORY_MAX), F.lit(C.CATEGORY_TOO_LONG)))
+    coded = parsed.withColumn("error_code", code)
+    ok = F.col("error_code").isNull()
+    out = coded.select(
+        *[c for c in df.columns if c not in ("error_code", "reason", "transaction_id", "occurred_at",
+                                             "amount", "category")],
+        "error_code", reason_for(F.col("error_code")).alias("reason"),
+        F.when(ok, F.col("_tid")).alias("transaction_id"),
+        F.when(ok, F.col("_ts_ts")).alias("occurred_at"),
+        F.when(ok, F.col("_dc_value")).alias("amount"),
+        F.when(ok, F.col("_cat")).alias("category"))
+    return out
 
 
 def accepted(classified: DataFrame, keys: list[str]) -> DataFrame:

@@ -12,6 +12,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline import contract as C
 
@@ -23,7 +24,7 @@ AMOUNT_RANGE = 2_000_001
 AMOUNT_OFFSET = 1_000_000
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _blake2b16(seed: pd.Series, row: pd.Series) -> pd.Series:
     return pd.Series([hashlib.blake2b(f"{s}:{i}".encode("ascii"), digest_size=16).digest()
                       for s, i in zip(seed, row)])
