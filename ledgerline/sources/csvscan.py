@@ -21,6 +21,7 @@ Pipeline (all DataFrame ops, no driver loops over data):
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -52,7 +53,18 @@ def manifest(spark: SparkSession, paths: list[str] | str, recursive: bool = True
     reader = spark.read.format("binaryFile")
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
-    files = reader.load(paths).select("path", "length", "modificationTime")
+    src = reader.load(paths)
+    files = src.select("path", "length", "modificationTime")
+    # 0-byte files yield no split and so no row; the file index (a listing
+    # the driver already holds) still names them
+    norm = lambda u: re.sub(r"^file:///", "file:/", u)
+    listed = {norm(u) for u in src.inputFiles()}
+    seen = {norm(r["path"]) for r in files.select("path").collect()} if listed else set()
+    missing = sorted(listed - seen)
+    if missing:
+        extra = spark.createDataFrame([(p, 0, None) for p in missing],
+                                      "path string, length long, modificationTime timestamp")
+        files = files.unionByName(extra)
     name = F.element_at(F.split(F.col("path"), "/"), -1)
     norm = F.lower(F.trim(name))
     refusal = (F.when((F.length(F.trim(name)) == 0) | ~norm.endswith(".csv"), F.lit(C.FILE_REFUSED_NAME))
@@ -69,6 +81,29 @@ def manifest(spark: SparkSession, paths: list[str] | str, recursive: bool = True
     )
 
 
+def _bom_probe(batches):
+    """First three bytes of each file (executor-side, one small read per file)."""
+    import pandas as pd
+    import pyarrow.fs as pafs
+    for pdf in batches:
+        flags = []
+        for p in pdf["path"]:
+            uri = re.sub(r"^file:/+", "file:///", p)
+            try:
+                fs, rel = pafs.FileSystem.from_uri(uri)
+                with fs.open_input_stream(rel) as f:
+                    flags.append(f.read(3) == b"\xef\xbb\xbf")
+            except Exception:  # a store pyarrow cannot open: no BOM check
+                flags.append(False)
+        yield pd.DataFrame({"path": pdf["path"], "bom": flags})
+
+
+def bom_flags(files: DataFrame) -> DataFrame:
+    """Hadoop's line reader silently drops a UTF-8 BOM; the contract treats
+    it as part of the header (so a BOM fails the header check)."""
+    return files.select("path").mapInPandas(_bom_probe, "path string, bom boolean")
+
+
 def max_split_bytes(spark: SparkSession, total_bytes: int, n_files: int) -> int:
     """Spark's FilePartition split size for this listing."""
     conf = spark.conf
@@ -299,7 +334,14 @@ def file_verdicts(spark: SparkSession, files: DataFrame, staged: DataFrame,
                                                            F.col("fault").alias("kind")))).alias("ff"),
         F.max("record_no").alias("n_records"),
         F.max(F.when(F.col("record_no") == 1, F.col("record"))).alias("header_text"))
-    v = files.join(per_file, "path", "left")
+    v = files.join(per_file, "path", "left").join(bom_flags(files), "path", "left")
+    bom_hdr = F.coalesce(F.col("bom"), F.lit(False)) & ~F.coalesce(
+        (F.col("ff.record_no") == 1) & (F.col("ff.rank") < FAULT_RANK[C.FILE_HEADER]), F.lit(False))
+    v = v.withColumn("ff", F.when(bom_hdr, F.struct(F.lit(1).cast("long").alias("record_no"),
+                                                    F.lit(FAULT_RANK[C.FILE_HEADER]).alias("rank"),
+                                                    F.lit(C.FILE_HEADER).alias("kind"))).otherwise(F.col("ff")))
+    v = v.withColumn("header_text", F.when(bom_hdr, F.concat(F.lit("\ufeff"), F.col("header_text")))
+                     .otherwise(F.col("header_text")))
     bad = F.col("ff.record_no")
     B = F.lit(batch_size)
     msg = (F.when(F.col("ff.kind") == C.FILE_BAD_UTF8, F.lit("The CSV file must be valid UTF-8."))
