@@ -12,6 +12,7 @@ import datetime as dt
 import os
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -158,7 +159,9 @@ def ingest(spark: SparkSession, paths: list[str] | str, root: str,
             .filter(F.col("record_no") < F.col("cut_row"))
             .select("import_id", "import_no", F.col("record_no").alias("source_row"),
                     split_fields(F.col("record")).alias("fields")))
-    classified = ladder.classify(kept)
+    # One classified stream feeds both sinks; persisted once so the
+    # ladder runs once (a lost executor recomputes its blocks from the staging)
+    classified = ladder.classify(kept).persist(StorageLevel.MEMORY_AND_DISK)
     acc = (ladder.accepted(classified, ["import_id", "import_no", "source_row"])
            .withColumn("id", F.col("import_no") * F.lit(ID_SHIFT) + F.col("source_row"))
            .withColumn("attempt", F.lit(run_id)))
@@ -173,6 +176,7 @@ def ingest(spark: SparkSession, paths: list[str] | str, root: str,
     append_partitioned(acc.select(*tx_cols), table_path(root, "transactions"), ["id"])
     append_partitioned(rej.select(*[f.name for f in C.ERROR_SCHEMA.fields], "attempt"),
                        table_path(root, "errors"), ["source_row"])
+    classified.unpersist()
     # K3: counters of rows actually written by this attempt (read back: columnar, tiny output)
     counts = _attempt_counts(spark, root, run_id)
     t1 = _now()

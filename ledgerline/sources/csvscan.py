@@ -30,6 +30,14 @@ from ledgerline import contract as C
 from ledgerline.functions import csvfields as CF
 from ledgerline.functions.text import utf16_length
 
+try:  # executor-side functions of this module ship by value (workers need no install)
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cp
+    _cp.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # pragma: no cover
+    pass
+
 # Above this many per-block summary rows the summary is shuffle-joined
 # instead of broadcast (each row is ~ path + 40 bytes).
 BROADCAST_SUMMARY_BYTES = 128 * 1024 * 1024

@@ -16,6 +16,14 @@ from pyspark.sql import types as T
 
 from ledgerline import contract as C
 
+try:  # executor-side functions of this module ship by value (workers need no install)
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cp
+    _cp.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # pragma: no cover
+    pass
+
 # fixed values: the generator's categories, period and start instant.
 CATEGORIES = ["alimentação", "transporte", "moradia", "saúde", "educação", "lazer", "serviços", "outros"]
 PERIOD_SECONDS = 731 * 24 * 60 * 60
