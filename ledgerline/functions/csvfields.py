@@ -51,11 +51,19 @@ def end_state_from_inside(line: Column) -> Column:
             .otherwise(F.lit(ERR)))
 
 
+def raw_fields(record: Column) -> Column:
+    """Raw (still quoted) fields of a syntactically valid record. A blank
+    record has one empty field. Scalar and codegen-friendly."""
+    return F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(SPLIT_RE), 1)
+
+
+def unquote(x: Column) -> Column:
+    """Decode one raw field: strip the enclosing quotes (and blanks after
+    the closing quote) and turn `""` into `"`."""
+    return F.when(F.startswith(x, F.lit('"')),
+                  F.replace(F.regexp_replace(x, UNQUOTE_RE, "$1"), F.lit('""'), F.lit('"'))).otherwise(x)
+
+
 def split_fields(record: Column) -> Column:
-    """Decoded field values of a syntactically valid record (array<string>).
-    A blank record has one empty field."""
-    raw = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(SPLIT_RE), 1)
-    return F.transform(raw, lambda x: F.when(
-        F.startswith(x, F.lit('"')),
-        F.replace(F.regexp_replace(x, UNQUOTE_RE, "$1"), F.lit('""'), F.lit('"')),
-    ).otherwise(x))
+    """Decoded field values of a syntactically valid record (array<string>)."""
+    return F.transform(raw_fields(record), unquote)

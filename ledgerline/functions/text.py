@@ -12,8 +12,12 @@ JAVA_TRIM_RE = r"^[\x00-\x20]+|[\x00-\x20]+\z"
 
 
 def is_blank(c: Column) -> Column:
-    """`String.isBlank()`: empty or only Unicode whitespace (null-safe: null -> null)."""
-    return c.rlike(JAVA_BLANK_RE)
+    """`String.isBlank()`: empty or only Unicode whitespace (null-safe: null -> null).
+
+    Fast path: a first char in printable ASCII (U+0021..U+007E) is never
+    whitespace, so the regex only runs on the rare other strings."""
+    first = F.substring(c, 1, 1)
+    return F.when((first >= F.lit("!")) & (first <= F.lit("~")), F.lit(False)).otherwise(c.rlike(JAVA_BLANK_RE))
 
 
 def utf16_length(c: Column) -> Column:

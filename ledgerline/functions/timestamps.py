@@ -45,17 +45,29 @@ def parse_offset_datetime(c: Column) -> dict[str, Column]:
     return {"valid": valid, "utc": utc, "ts": ts}
 
 
+CANONICAL_MASK = "0000-00-00T00:00:00Z"
+
+
 def datetime_stages(src: str, p: str) -> list[dict[str, Column]]:
-    """:func:`parse_offset_datetime` as stacked projections (prefix ``p``):
-    one shape regex and one offset extraction per row."""
+    """:func:`parse_offset_datetime` as stacked projections (prefix ``p``).
+
+    Fast path for the canonical ``yyyy-MM-ddTHH:mm:ssZ`` (checked with a
+    digit mask, no regex): a plain cast parses it (and rejects impossible
+    dates and times). Every other spelling takes the grammar regex,
+    ``try_to_timestamp`` and the fraction/offset handling."""
     c = F.col(src)
     col = lambda n: F.col(p + n)
-    s1 = {p + "shape": F.coalesce(c.rlike(DATETIME_RE), F.lit(False)),
-          p + "off": F.regexp_extract(c, OFFSET_EXTRACT_RE, 1),
-          p + "rest": F.substring(c, 17, 1 << 20)}
+    canon = F.coalesce(F.translate(c, "123456789", "000000000") == F.lit(CANONICAL_MASK), F.lit(False))
+    s0 = {p + "canon": canon}
+    fast_ts = F.concat(F.substring(c, 1, 10), F.lit(" "), F.substring(c, 12, 8)).try_cast("timestamp")
+    s1 = {p + "shape": F.when(col("canon"), F.lit(True)).otherwise(F.coalesce(c.rlike(DATETIME_RE), F.lit(False))),
+          p + "off": F.when(col("canon"), F.lit("Z")).otherwise(F.regexp_extract(c, OFFSET_EXTRACT_RE, 1)),
+          p + "rest": F.substring(c, 17, 1 << 20),
+          p + "fast": F.when(col("canon"), fast_ts)}
     sec = F.when(F.startswith(col("rest"), F.lit(":")), F.substring(col("rest"), 2, 2)).otherwise(F.lit("00"))
     local = F.concat(F.substring(c, 1, 10), F.lit(" "), F.substring(c, 12, 5), F.lit(":"), sec)
-    s2 = {p + "base": F.when(col("shape"), F.try_to_timestamp(local, F.lit("yyyy-MM-dd HH:mm:ss"))),
+    s2 = {p + "base": F.when(col("canon"), col("fast")).when(
+              col("shape"), F.try_to_timestamp(local, F.lit("yyyy-MM-dd HH:mm:ss"))),
           p + "utc": col("off").isin(*UTC_OFFSETS),
           p + "frac": F.when(F.substring(col("rest"), 4, 1) == F.lit("."),
                              F.substring(col("rest"), F.lit(5), F.length(col("rest")) - F.length(col("off")) - 4))
@@ -65,4 +77,4 @@ def datetime_stages(src: str, p: str) -> list[dict[str, Column]]:
     s3 = {p + "valid": (col("shape") & (F.substring(c, 1, 4) != F.lit("0000")) & col("base").isNotNull()
                         & (col("utc") | col("off").rlike(OFFSET_VALID_RE))),
           p + "ts": F.timestamp_micros(F.unix_micros(col("base")) + micros)}
-    return [s1, s2, s3]
+    return [s0, s1, s2, s3]

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline import contract as C
+from ledgerline.functions.csvfields import unquote
 from ledgerline.functions.decimals import bigdecimal_stages, parse_bigdecimal
 from ledgerline.functions.text import is_blank, utf16_longer_than
 from ledgerline.functions.timestamps import datetime_stages, parse_offset_datetime
@@ -48,7 +49,7 @@ def reason_for(code: Column) -> Column:
     return F.element_at(F.create_map(*pairs), code)
 
 
-def classify(df: DataFrame, fields_col: str = "fields") -> DataFrame:
+def classify(df: DataFrame, fields_col: str = "fields", quoted: bool = False) -> DataFrame:
     """Add ``error_code`` and ``reason`` (null when accepted) and the typed
     columns. One pass; callers split with :func:`accepted` / :func:`rejected`.
 
@@ -56,7 +57,8 @@ def classify(df: DataFrame, fields_col: str = "fields") -> DataFrame:
     not cheap, so Catalyst keeps each computed once per row instead of
     inlining them into every CASE branch)."""
     f = F.col(fields_col)
-    base = df.select("*", F.size(f).alias("_nf"), *[F.get(f, i).alias(n) for i, n in
+    dec = unquote if quoted else (lambda x: x)  # raw fields: decode only the four that are read
+    base = df.select("*", F.size(f).alias("_nf"), *[dec(F.get(f, i)).alias(n) for i, n in
                                                       enumerate(("_tid", "_occ", "_amt", "_cat"))])
     parsed = base
     ts_st, dc_st = datetime_stages("_occ", "_ts_"), bigdecimal_stages("_amt", "_dc_")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline import contract as C
-from ledgerline.functions.csvfields import split_fields
+from ledgerline.functions.csvfields import raw_fields
 from ledgerline.operators import analytics as AN
 from ledgerline.operators import ladder
 from ledgerline.operators import ledger as LG
@@ -146,8 +146,8 @@ FROM c"""
 def _ladder_orders(spark: SparkSession, sf: str) -> DataFrame:
     """Records built from orders, split and validated by the library."""
     rec = D.order_fields(spark, sf).select("import_id", "source_row", "o_orderkey",
-                                           split_fields(F.col("record")).alias("fields"))
-    return ladder.classify(rec)
+                                           raw_fields(F.col("record")).alias("fields"))
+    return ladder.classify(rec, quoted=True)
 
 
 def q_analytics_grouping_sets(spark, sf):

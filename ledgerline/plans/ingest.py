@@ -10,15 +10,15 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import sys
+import time
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline import contract as C
-from ledgerline.functions.csvfields import split_fields
 from ledgerline.operators import ladder
 from ledgerline.operators.ledger import BATCH, bounded_failure_reason, current_jobs
 from ledgerline.operators.sink import ID_SHIFT, append_partitioned, exists, new_rows, table_path
@@ -90,6 +90,20 @@ def _append_events(spark: SparkSession, root: str, rows: list[dict]) -> None:
         df.coalesce(1).write.mode("append").parquet(table_path(root, "ledger"))
 
 
+class _Trace:
+    """Step timings on stderr when LEDGERLINE_TRACE is set (driver-side only)."""
+
+    def __init__(self) -> None:
+        self.on = bool(os.environ.get("LEDGERLINE_TRACE"))
+        self.t = time.time()
+
+    def __call__(self, step: str) -> None:
+        if self.on:
+            now = time.time()
+            print(f"[ledgerline] {step}: {now - self.t:.2f}s", file=sys.stderr, flush=True)
+            self.t = now
+
+
 def _now() -> dt.datetime:
     return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
 
@@ -109,8 +123,10 @@ def ingest(spark: SparkSession, paths: list[str] | str, root: str,
         raise ValueError("max_chars out of range")
     apply_conf(spark)
     run_id = run_id or ("a" + uuid.uuid4().hex[:16])
+    trace = _Trace()
     files = csvscan.manifest(spark, paths)
     listing = files.collect()  # one row per file: the listing Spark already holds
+    trace("manifest")
     refused = [r.asDict() for r in listing if not r["admitted"]]
     admitted = [r.asDict() for r in listing if r["admitted"]]
     jobs = {r["import_id"]: r.asDict() for r in read_jobs(spark, root)
@@ -137,7 +153,9 @@ def ingest(spark: SparkSession, paths: list[str] | str, root: str,
             a["import_no"] = job["import_no"]
             a["resumed"] = True
         todo.append(a)
+    trace("ledger lookup")
     _append_events(spark, root, events)
+    trace("ledger: processing events")
     report = {"run_id": run_id, "refused": [{"path": r["path"], "reason": r["refusal"]} for r in refused],
               "skipped_terminal": skipped, "imports": []}
     if not todo:
@@ -149,23 +167,23 @@ def ingest(spark: SparkSession, paths: list[str] | str, root: str,
         [(a["path"], a["import_id"], a["original_filename"], a["file_size"], a["modification_time"],
           a["import_no"], a["resumed"], max_chars) for a in todo], todo_schema)
     staged = csvscan.stage_records(spark, todo_df, scratch_dir(spark, "staging"), max_chars)
+    trace("stage records")
     verdicts = csvscan.file_verdicts(spark, todo_df, staged, batch_size)
     vrows = {r["path"]: r.asDict() for r in verdicts.collect()}  # one row per file
+    trace("verdicts")
     cut = spark.createDataFrame(
         [(p, v["import_id"], v["cut_row"], next(a["import_no"] for a in todo if a["path"] == p))
          for p, v in vrows.items()], "path string, import_id string, cut_row long, import_no long")
+    # classification happened while staging: here only stored columns are
+    # filtered (record range, error_code), pushed down into the Parquet scan
     kept = (staged.filter(F.col("record_no") >= 2)
             .join(F.broadcast(cut), "path")  # one row per file of this run
             .filter(F.col("record_no") < F.col("cut_row"))
-            .select("import_id", "import_no", F.col("record_no").alias("source_row"),
-                    split_fields(F.col("record")).alias("fields")))
-    # One classified stream feeds both sinks; persisted once so the
-    # ladder runs once (a lost executor recomputes its blocks from the staging)
-    classified = ladder.classify(kept).persist(StorageLevel.MEMORY_AND_DISK)
-    acc = (ladder.accepted(classified, ["import_id", "import_no", "source_row"])
+            .withColumnRenamed("record_no", "source_row"))
+    acc = (ladder.accepted(kept, ["import_id", "import_no", "source_row"])
            .withColumn("id", F.col("import_no") * F.lit(ID_SHIFT) + F.col("source_row"))
            .withColumn("attempt", F.lit(run_id)))
-    rej = ladder.rejected(classified, ["import_id", "source_row"]).withColumn("attempt", F.lit(run_id))
+    rej = ladder.rejected(kept, ["import_id", "source_row"]).withColumn("attempt", F.lit(run_id))
     resumed = [a["import_id"] for a in todo if a["resumed"]]
     if resumed:
         acc = new_rows(acc, read_transactions(spark, root).filter(F.col("import_id").isin(resumed)),
@@ -176,9 +194,10 @@ def ingest(spark: SparkSession, paths: list[str] | str, root: str,
     append_partitioned(acc.select(*tx_cols), table_path(root, "transactions"), ["id"])
     append_partitioned(rej.select(*[f.name for f in C.ERROR_SCHEMA.fields], "attempt"),
                        table_path(root, "errors"), ["source_row"])
-    classified.unpersist()
+    trace("write transactions + errors")
     # K3: counters of rows actually written by this attempt (read back: columnar, tiny output)
     counts = _attempt_counts(spark, root, run_id)
+    trace("counters")
     t1 = _now()
     seq1 = int(t1.timestamp() * 1_000_000) * 16
     ev = []
@@ -208,6 +227,7 @@ def ingest(spark: SparkSession, paths: list[str] | str, root: str,
                                       accepted=tot_acc, rejected=tot_rej, fault=v["fault"],
                                       bad_record=v["bad_record"], failure_reason=reason))
     _append_events(spark, root, ev)  # commit point
+    trace("ledger commit")
     return report
 
 

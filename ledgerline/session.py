@@ -17,6 +17,11 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # The validation ladder is a long chain of string expressions; a fused
+    # whole-stage method above 8000 bytecodes is never JIT-compiled by HotSpot
+    # and runs interpreted (measured 2x slower). Above this size Spark falls
+    # back to per-operator generated code, which the JIT does compile.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -246,7 +246,7 @@ def _compose(df: DataFrame, part: list[str], order: str, f_out: str, f_in: str,
               .drop("_sw", "_ksw", "_kv"))
 
 
-def slow_records(numbered: DataFrame, bound_ok: bool) -> DataFrame:
+def slow_records(numbered: DataFrame, bound_ok: bool, cut_path: str | None = None) -> DataFrame:
     """S5 slow path for files with quoted newlines (or oversize lines).
 
     One shuffle of the slow files' lines by (file, block) — each block is
@@ -288,6 +288,9 @@ def slow_records(numbered: DataFrame, bound_ok: bool) -> DataFrame:
         F.when(st == 0, F.col("fa")).otherwise(F.col("fb")).alias("end"),
         (F.when(st == 0, F.col("a")).otherwise(F.col("b")) == CF.ERR).alias("err"),
         (F.col("rec_offset") + F.when(h1, F.col("starts1")).otherwise(F.col("starts0"))).alias("record_no"))
+    if cut_path is not None:  # lineage cut: the grouping branches read this, not the source
+        lines.write.mode("overwrite").parquet(cut_path)
+        lines = numbered.sparkSession.read.parquet(cut_path)
     one_line = (F.col("st") == 0) & (F.col("end") == 0)
     single = lines.filter(one_line).select(
         "path", "record_no",
@@ -316,19 +319,32 @@ def slow_records(numbered: DataFrame, bound_ok: bool) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- S3/S4/S7/S8
-def header_ok(fields):
-    return fields == F.array(*[F.lit(h) for h in C.EXPECTED_HEADER])
+def header_ok(raw):
+    """Record 1 decodes to exactly the expected names (no trim, case-sensitive)."""
+    ok = F.size(raw) == len(C.EXPECTED_HEADER)
+    for i, name in enumerate(C.EXPECTED_HEADER):
+        ok = ok & F.coalesce(CF.unquote(F.get(raw, i)) == F.lit(name), F.lit(False))
+    return ok
 
 
 def record_faults(records: DataFrame) -> DataFrame:
-    """Per-record fault kind by precedence (UTF-8, oversize, syntax), and the
-    header check on record 1."""
-    fields = CF.split_fields(F.col("record"))
+    """Per-record fault kind by precedence (UTF-8, oversize, syntax), the
+    header check on record 1, and the row ladder on data records — all in the
+    one pass that stages the records, so later steps only filter stored
+    columns (pushed down into the Parquet scan)."""
+    from ledgerline.operators import ladder
+    raw = CF.raw_fields(F.col("record"))
     kind = (F.when(~F.col("utf8_ok"), F.lit(C.FILE_BAD_UTF8))
             .when(F.col("rec_len") > F.col("max_chars"), F.lit(C.FILE_OVERSIZE))
             .when(F.col("syntax_bad"), F.lit(C.FILE_SYNTAX))
-            .when((F.col("record_no") == 1) & ~header_ok(fields), F.lit(C.FILE_HEADER)))
-    return records.withColumn("fault", kind)
+            .when((F.col("record_no") == 1) & ~header_ok(raw), F.lit(C.FILE_HEADER)))
+    out = records.withColumn("fault", kind).withColumn("_raw", raw)
+    classified = ladder.classify(out, "_raw", quoted=True)
+    data = F.col("fault").isNull() & (F.col("record_no") >= 2)
+    return classified.select(
+        *[c for c in records.columns], "fault",
+        *[F.when(data, F.col(c)).alias(c) for c in ("error_code", "reason", "transaction_id", "occurred_at",
+                                                     "amount", "category")])
 
 
 def file_verdicts(spark: SparkSession, files: DataFrame, staged: DataFrame,
@@ -375,25 +391,77 @@ def file_verdicts(spark: SparkSession, files: DataFrame, staged: DataFrame,
 
 
 # --------------------------------------------------------------------------- driver of the scan
+def stage_lines(lines: DataFrame, max_chars: int) -> DataFrame:
+    """Pass A, the only pass over the text: per physical line the file
+    checks, the record-grammar test and — for the common case where the line
+    is the whole record — the header test and the full row ladder."""
+    from ledgerline.operators import ladder
+    facts = _line_facts(lines, max_chars)
+    raw = CF.raw_fields(F.col("value"))
+    with_raw = facts.withColumn("_raw", F.when(F.col("complete"), raw))
+    classified = ladder.classify(with_raw, "_raw", quoted=True)
+    return classified.select(
+        "path", "block", "mid", "value", "utf8_ok", "u16", "complete",
+        F.coalesce(header_ok(F.col("_raw")), F.lit(False)).alias("hdr_ok"),
+        "error_code", "reason", "transaction_id", "occurred_at", "amount", "category")
+
+
+def fast_view(lines: DataFrame, summary: DataFrame, bound_ok: bool, max_chars: int) -> DataFrame:
+    """Staged lines of fast-path files as records: line = record, numbered
+    with the split offsets (a broadcast join of the per-split summary)."""
+    s = F.broadcast(summary) if bound_ok else summary
+    j = lines.join(s.filter(~F.col("slow")), ["path", "block"])
+    record_no = F.col("mid") - F.col("min_mid") + F.col("line_offset") + 1
+    j = j.withColumn("record_no", record_no)
+    fault = (F.when(~F.col("utf8_ok"), F.lit(C.FILE_BAD_UTF8))
+             .when((F.col("record_no") == 1) & ~F.col("hdr_ok"), F.lit(C.FILE_HEADER)))
+    j = j.withColumn("fault", fault)
+    data = F.col("fault").isNull() & (F.col("record_no") >= 2)
+    return j.select(
+        "path", "record_no", F.col("value").alias("record"), "utf8_ok", F.col("u16").cast("long").alias("rec_len"),
+        F.lit(False).alias("syntax_bad"), F.lit(max_chars).alias("max_chars"), "fault",
+        *[F.when(data, F.col(c)).alias(c) for c in ("error_code", "reason", "transaction_id", "occurred_at",
+                                                     "amount", "category")])
+
+
 def stage_records(spark: SparkSession, admitted: DataFrame, staging_path: str,
                   max_chars: int = C.MAX_RECORD_CHARS_DEFAULT) -> DataFrame:
-    """Scan all admitted files, assemble and number logical records, and write
-    the record facts to ``staging_path`` (a lineage cut in the shared folder).
-    Returns the staged table, read back."""
+    """Scan all admitted files once, number logical records, run the record
+    checks and the ladder; returns the staged records.
+
+    Pass A writes every line (with its checks and ladder result) to the
+    shared folder — the only pass over the text and a lineage cut. The
+    per-split summary, the fast-path records and the verdicts then read
+    small Parquet columns. Files with multi-line records (rare) re-assemble
+    their records from the staged lines, never from the source."""
     paths = [r["path"] for r in admitted.select("path").collect()]  # the listing, not data
     if not paths:
-        empty = spark.createDataFrame([], "path string, record_no long, record string, utf8_ok boolean, "
-                                          "rec_len long, syntax_bad boolean, max_chars int, fault string")
-        return empty
+        return spark.createDataFrame([], STAGED_SCHEMA)
     _, bound_bytes = block_count_bound(spark, admitted)
     bound_ok = bound_bytes <= BROADCAST_SUMMARY_BYTES
-    lines = scan_lines(spark, paths).withColumn("max_chars", F.lit(max_chars))
-    facts = _line_facts(lines, max_chars).withColumn("max_chars", F.lit(max_chars))
-    summary = block_summary(facts)
-    numbered = (facts.join(F.broadcast(summary) if bound_ok else summary, ["path", "block"])
-                .withColumn("line_no", F.col("mid") - F.col("min_mid") + F.col("line_offset") + 1))
-    recs = fast_records(numbered).withColumn("max_chars", F.lit(max_chars)).unionByName(
-        slow_records(numbered, bound_ok).withColumn("max_chars", F.lit(max_chars)))
-    staged = record_faults(recs)
-    staged.write.mode("overwrite").parquet(staging_path)
-    return spark.read.parquet(staging_path)
+    # pass A: the text, once
+    stage_lines(scan_lines(spark, paths), max_chars).write.mode("overwrite").parquet(staging_path + "/lines")
+    lines = spark.read.parquet(staging_path + "/lines")
+    # per-split summary from four small columns -> shared folder (tiny)
+    block_summary(lines).write.mode("overwrite").parquet(staging_path + "/_summary")
+    summary = spark.read.parquet(staging_path + "/_summary")
+    slow_paths = [r["path"] for r in summary.filter("slow").select("path").distinct().collect()]  # per file
+    parts = [fast_view(lines, summary, bound_ok, max_chars)]
+    if slow_paths:
+        s = F.broadcast(summary) if bound_ok else summary
+        numbered = (lines.join(s.filter(F.col("slow")), ["path", "block"])
+                    .select("path", "block", "mid", "value", "utf8_ok", "u16", F.lit(max_chars).alias("max_chars"),
+                            F.lit(True).alias("slow")))
+        recs = slow_records(numbered, bound_ok, cut_path=staging_path + "/_slowlines") \
+            .withColumn("max_chars", F.lit(max_chars))
+        record_faults(recs).write.mode("overwrite").parquet(staging_path + "/slow")
+        parts.append(spark.read.schema(STAGED_SCHEMA).parquet(staging_path + "/slow"))
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out
+
+
+STAGED_SCHEMA = ("path string, record_no long, record string, utf8_ok boolean, rec_len long, "
+                 "syntax_bad boolean, max_chars int, fault string, error_code string, reason string, "
+                 "transaction_id string, occurred_at timestamp, amount decimal(19,2), category string")
