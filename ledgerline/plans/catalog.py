@@ -20,6 +20,7 @@ from ledgerline.operators import metrics as M
 from ledgerline.operators import pages as PG
 from ledgerline.operators.sink import first_wins, new_rows
 from ledgerline.plans import derived as D
+from ledgerline.session import scratch_dir
 
 PAGE = 100
 
@@ -147,7 +148,7 @@ def _ladder_orders(spark: SparkSession, sf: str) -> DataFrame:
     """Records built from orders, split and validated by the library."""
     rec = D.order_fields(spark, sf).select("import_id", "source_row", "o_orderkey",
                                            raw_fields(F.col("record")).alias("fields"))
-    return ladder.classify(rec, quoted=True)
+    return ladder.classify_staged(rec, "fields", scratch_dir(spark, "ladder"), quoted=True).drop("fields")
 
 
 def q_analytics_grouping_sets(spark, sf):
