@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.text import java_trim
+
 TOTAL, CATEGORY, MONTH = "TOTAL", "CATEGORY", "MONTH"
 AMOUNT_T = "decimal(38,2)"
 
@@ -51,7 +53,8 @@ def import_analytics(facts: DataFrame, imports: DataFrame | None = None) -> Data
         F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("transaction_count"),
         F.coalesce(F.col("s"), F.lit(0)).cast(AMOUNT_T).alias("total_amount"))
     cat = per_cat.select(
-        "import_id", F.lit(CATEGORY).alias("aggregation_type"), "category",
+        # The label is trimmed after grouping (" a" and "a" stay two groups)
+        "import_id", F.lit(CATEGORY).alias("aggregation_type"), java_trim(F.col("category")).alias("category"),
         F.lit(None).cast("string").alias("month"),
         F.col("n").cast("long").alias("transaction_count"), F.col("s").cast(AMOUNT_T).alias("total_amount"))
     mon = per_month.select(

@@ -197,3 +197,32 @@ def snapshot_label(status: Column) -> Column:
     return (F.when(status.isin(C.COMPLETED, C.COMPLETED_WITH_ERRORS), F.lit("final"))
             .when(status == C.FAILED, F.lit("before_failure"))
             .otherwise(F.lit("partial")))
+
+
+# fixed values: the legal status transitions of a job.
+LEGAL_TRANSITIONS = [
+    (C.RECEIVED, C.QUEUED), (C.QUEUED, C.PROCESSING), (C.PROCESSING, C.PROCESSING),
+    (C.PROCESSING, C.COMPLETED), (C.PROCESSING, C.COMPLETED_WITH_ERRORS),
+    (C.RECEIVED, C.FAILED), (C.QUEUED, C.FAILED), (C.PROCESSING, C.FAILED),
+]
+
+
+def transition_audit(events: DataFrame) -> DataFrame:
+    """A9 (history check): every status event must follow a legal step from
+    the previous status of the same import (``lag`` over the import's own
+    status history, ordered by seq); the first must be RECEIVED; terminal is
+    sticky. One row per import with counts and the first illegal step."""
+    from pyspark.sql import Window
+    st = events.filter(F.col("status") != F.lit(BATCH)).select("import_id", "seq", "status")
+    w = Window.partitionBy("import_id").orderBy("seq")
+    prev = F.lag("status").over(w)
+    legal = F.lit(False)
+    for a, b in LEGAL_TRANSITIONS:
+        legal = legal | ((F.col("prev") == a) & (F.col("status") == b))
+    ok = F.when(F.col("prev").isNull(), F.col("status") == C.RECEIVED).otherwise(legal)
+    steps = st.withColumn("prev", prev).withColumn("ok", ok)
+    bad_step = F.when(~F.col("ok"), F.struct("seq", F.concat_ws("->", F.coalesce("prev", F.lit("START")), "status").alias("t")))
+    return steps.groupBy("import_id").agg(
+        F.count("*").alias("status_events"),
+        F.count_if(~F.col("ok")).alias("illegal_steps"),
+        F.min(bad_step)["t"].alias("first_illegal"))

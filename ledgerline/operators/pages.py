@@ -54,3 +54,14 @@ def first_pages(rows: DataFrame, key: str, limit: int | None = None, after: int
     last_key = F.max(F.when(F.col("_rn") <= limit, F.col(key))).over(wi)
     return (ranked.withColumn("next_cursor", F.when(has_more, last_key).cast("long"))
             .filter(F.col("_rn") <= limit).drop("_rn"))
+
+
+def trimmed(rows: DataFrame, cols: tuple[str, ...] = ("transaction_id", "category", "error_code", "reason")) -> DataFrame:
+    """Trim text on read (Java ``trim``: chars <= U+0020); stored values
+    stay untrimmed, so grouping is never affected."""
+    from ledgerline.functions.text import java_trim
+    out = rows
+    for c in cols:
+        if c in rows.columns:
+            out = out.withColumn(c, java_trim(F.col(c)))
+    return out

@@ -347,6 +347,12 @@ def q_peak_by_group(spark, sf):
     return M.peak_by_group(ev, ["service"], "value", "peak")
 
 
+def q_ledger_transitions(spark, sf):
+    return LG.transition_audit(D.job_events(spark, sf)).select(
+        "import_id", F.col("status_events").cast("long").alias("status_events"),
+        F.col("illegal_steps").cast("long").alias("illegal_steps"), "first_illegal")
+
+
 def q_snapshot_labels(spark, sf):
     jobs = _jobs(spark, sf)
     return jobs.select("import_id", "status", LG.snapshot_label(F.col("status")).alias("snapshot"))
@@ -384,4 +390,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "deep_cursor_p90": q_deep_cursor_p90,
     "peak_by_group": q_peak_by_group,
     "snapshot_labels": q_snapshot_labels,
+    "ledger_transitions": q_ledger_transitions,
 }

@@ -243,3 +243,22 @@ def _attempt_counts(spark: SparkSession, root: str, run_id: str) -> dict:
             cur[pos] = r["count"]
             out[r["import_id"]] = tuple(cur)
     return out
+
+
+def write_run_report(spark: SparkSession, report: dict, path: str) -> DataFrame:
+    """K7: the run report as JSON (one line per import plus refused files),
+    written with the DataFrame writer; returns the report DataFrame."""
+    rows = [dict(run_id=report["run_id"], kind="import", path=i["path"], import_id=i["import_id"],
+                 status=i["status"], accepted=i["accepted"], rejected=i["rejected"], fault=i["fault"],
+                 bad_record=i["bad_record"], reason=i["failure_reason"]) for i in report["imports"]]
+    rows += [dict(run_id=report["run_id"], kind="refused", path=r["path"], import_id=None, status=None,
+                  accepted=0, rejected=0, fault=r["reason"], bad_record=None, reason=None) for r in report["refused"]]
+    rows += [dict(run_id=report["run_id"], kind="skipped_terminal", path=None, import_id=i, status=None,
+                  accepted=0, rejected=0, fault=None, bad_record=None, reason=None) for i in report["skipped_terminal"]]
+    schema = ("run_id string, kind string, path string, import_id string, status string, accepted long, "
+              "rejected long, fault string, bad_record long, reason string")
+    df = spark.createDataFrame([tuple(r[k] for k in ("run_id", "kind", "path", "import_id", "status", "accepted",
+                                                     "rejected", "fault", "bad_record", "reason")) for r in rows],
+                               schema)
+    df.coalesce(1).write.mode("overwrite").json(path)
+    return df

@@ -41,6 +41,10 @@ SELECT * FROM j"""
 
 TERMINAL = "('" + "', '".join(C.TERMINAL_STATUSES) + "')"
 
+from ledgerline.operators.ledger import LEGAL_TRANSITIONS  # noqa: E402
+
+LEGAL_SQL = " OR ".join(f"(prev = '{a}' AND status = '{b}')" for a, b in LEGAL_TRANSITIONS)
+
 SQL_AUDIT_RULES = f"""
   CASE WHEN NOT (updated_at >= created_at AND (queued_at IS NULL OR queued_at >= created_at)
     AND (started_at IS NULL OR (queued_at IS NOT NULL AND started_at >= queued_at))
@@ -197,6 +201,22 @@ WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUI
   round(max(value), 3) AS max_ms FROM events GROUP BY event_type""",
     "deep_cursor_p90": f"SELECT import_id, quantile_disc(id, 0.9) AS p90_id FROM ({SQL_ORDER_FACTS}) GROUP BY import_id",
     "peak_by_group": "SELECT event_type AS service, max(value) AS peak FROM events GROUP BY event_type",
+    "ledger_transitions": f"""WITH o AS (SELECT o_orderkey, o_orderstatus FROM orders),
+li AS (SELECT l_orderkey, count(*) FILTER (WHERE l_returnflag = 'R') AS rej FROM lineitem GROUP BY 1),
+ev AS (
+  SELECT 'job-' || CAST(o_orderkey AS VARCHAR) AS import_id, 1 AS seq, 'RECEIVED' AS status FROM o
+  UNION ALL SELECT 'job-' || CAST(o_orderkey AS VARCHAR), 2, 'QUEUED' FROM o
+  UNION ALL SELECT 'job-' || CAST(o_orderkey AS VARCHAR), 3, 'PROCESSING' FROM o WHERE o_orderstatus <> 'O'
+  UNION ALL SELECT 'job-' || CAST(o.o_orderkey AS VARCHAR), 1000,
+    CASE WHEN li.rej = 0 THEN 'COMPLETED' ELSE 'COMPLETED_WITH_ERRORS' END
+    FROM o JOIN li ON li.l_orderkey = o.o_orderkey WHERE o_orderstatus = 'F'),
+s AS (SELECT *, lag(status) OVER (PARTITION BY import_id ORDER BY seq) AS prev FROM ev),
+k AS (SELECT *, CASE WHEN prev IS NULL THEN status = 'RECEIVED' ELSE ({LEGAL_SQL}) END AS ok FROM s)
+SELECT import_id, CAST(count(*) AS BIGINT) AS status_events,
+  CAST(count(*) FILTER (WHERE NOT ok) AS BIGINT) AS illegal_steps,
+  arg_min(CASE WHEN NOT ok THEN COALESCE(prev, 'START') || '->' || status END, CASE WHEN NOT ok THEN seq END)
+    AS first_illegal
+FROM k GROUP BY import_id""",
     "snapshot_labels": f"""WITH j AS ({SQL_JOBS})
 SELECT import_id, status, CASE WHEN status IN ('COMPLETED', 'COMPLETED_WITH_ERRORS') THEN 'final'
   WHEN status = 'FAILED' THEN 'before_failure' ELSE 'partial' END AS snapshot FROM j""",
