@@ -233,6 +233,12 @@ def q_import_counts(spark, sf):
         F.count("*").alias("processed_rows"))
 
 
+def q_terminal_status(spark, sf):
+    """A8 over the ladder counts of each import (no structural failure here)."""
+    c = q_import_counts(spark, sf)
+    return c.select("import_id", LG.terminal_status(F.col("rejected_rows"), F.lit(False)).alias("status"))
+
+
 def q_error_code_counts(spark, sf):
     c = _ladder_orders(spark, sf).filter(F.col("error_code").isNotNull())
     return c.groupBy("import_id", "error_code").agg(F.count("*").alias("n"))
@@ -375,6 +381,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rejected_rows": q_rejected_rows,
     "import_counts": q_import_counts,
     "error_code_counts": q_error_code_counts,
+    "terminal_status": q_terminal_status,
     "idempotent_insert": q_idempotent_insert,
     "replay_counts": q_replay_counts,
     "import_status": q_import_status,

@@ -170,3 +170,24 @@ def q_file_fingerprint(spark, sf):
 
 FILE_QUERIES["synthetic_rows"] = q_synthetic_rows
 FILE_QUERIES["file_fingerprint"] = q_file_fingerprint
+
+
+# --------------------------------------------------------------------------- numbering
+def q_source_row_numbering(spark, sf):
+    """Every logical record of every file is numbered exactly once: accepted
+    and rejected rows together cover 2..n+1 with no gap or duplicate."""
+    root, keys = _ingest_orders(spark, sf, multiline=True)
+    rows = (read_transactions(spark, root).select("import_id", "source_row")
+            .unionByName(read_errors(spark, root).select("import_id", "source_row")))
+    return (rows.join(F.broadcast(keys), "import_id").groupBy("file_key")
+            .agg(F.count("*").alias("records"), F.countDistinct("source_row").alias("distinct_rows"),
+                 F.min("source_row").alias("first_row"), F.max("source_row").alias("last_row"),
+                 F.sum("source_row").alias("row_sum")))
+
+
+FILE_ORACLE["source_row_numbering"] = """SELECT o_orderstatus AS file_key, count(*) AS records,
+  count(*) AS distinct_rows, CAST(2 AS BIGINT) AS first_row, CAST(count(*) + 1 AS BIGINT) AS last_row,
+  CAST(sum(rn + 1) AS BIGINT) AS row_sum
+FROM (SELECT o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS rn FROM orders)
+GROUP BY o_orderstatus"""
+FILE_QUERIES["source_row_numbering"] = q_source_row_numbering

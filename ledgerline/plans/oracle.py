@@ -125,6 +125,8 @@ FROM r WHERE rn <= {PAGE + 1} QUALIFY rn <= {PAGE}""",
     "import_counts": f"""SELECT import_id, count(*) FILTER (WHERE error_code IS NULL) AS accepted_rows,
   count(*) FILTER (WHERE error_code IS NOT NULL) AS rejected_rows, count(*) AS processed_rows
 FROM ({SQL_LADDER}) GROUP BY import_id""",
+    "terminal_status": f"""SELECT import_id, CASE WHEN count(*) FILTER (WHERE error_code IS NOT NULL) = 0
+  THEN 'COMPLETED' ELSE 'COMPLETED_WITH_ERRORS' END AS status FROM ({SQL_LADDER}) GROUP BY import_id""",
     "error_code_counts": f"""SELECT import_id, error_code, count(*) AS n FROM ({SQL_LADDER})
 WHERE error_code IS NOT NULL GROUP BY import_id, error_code""",
     "idempotent_insert": f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag,

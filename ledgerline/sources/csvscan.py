@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from ledgerline import contract as C
 from ledgerline.functions import csvfields as CF
 from ledgerline.functions.text import utf16_length
+from ledgerline.operators.ledger import bounded_failure_reason
 
 try:  # executor-side functions of this module ship by value (workers need no install)
     import sys as _sys
@@ -385,7 +386,8 @@ def file_verdicts(spark: SparkSession, files: DataFrame, staged: DataFrame,
         F.floor((bad_row - 2) / B) * B + 2)
     return v.select(
         "import_id", "path", "original_filename", "file_size", "modification_time", "max_chars",
-        fault_kind.alias("fault"), bad_row.alias("bad_record"), msg.alias("failure_reason"),
+        fault_kind.alias("fault"), bad_row.alias("bad_record"),
+        F.when(fault_kind.isNotNull(), bounded_failure_reason(msg)).alias("failure_reason"),
         F.greatest(F.when(bad_row.isNotNull(), cut).otherwise(F.coalesce(F.col("n_records"), F.lit(1)) + 1),
                    F.lit(2)).cast("long").alias("cut_row"))
 
