@@ -12,35 +12,15 @@ from pyspark.sql import functions as F
 
 from ledgerline import contract as C
 from ledgerline.functions.csvfields import unquote
-from ledgerline.functions.decimals import bigdecimal_stages, parse_bigdecimal
+from ledgerline.functions.decimals import bigdecimal_stages
 from ledgerline.functions.text import is_blank, utf16_longer_than
-from ledgerline.functions.timestamps import datetime_stages, parse_offset_datetime
+from ledgerline.functions.timestamps import datetime_stages
 
 
 def _field(fields: Column, i: int) -> Column:
     return F.get(fields, i)  # null when out of bounds (ANSI-safe)
 
 
-def ladder_columns(fields: Column) -> dict[str, Column]:
-    """Error code (null = accepted) plus the typed values, from a field array."""
-    tid, occ, amt, cat = (_field(fields, i) for i in range(4))
-    ts = parse_offset_datetime(occ)
-    dec = parse_bigdecimal(amt)
-    code = (F.when(F.size(fields) != 4, F.lit(C.COLUMN_COUNT))
-            .when(is_blank(tid), F.lit(C.TRANSACTION_ID_REQUIRED))
-            .when(utf16_longer_than(tid, C.TRANSACTION_ID_MAX), F.lit(C.TRANSACTION_ID_TOO_LONG))
-            .when(~ts["valid"], F.lit(C.OCCURRED_AT_INVALID))
-            .when(~ts["utc"], F.lit(C.OCCURRED_AT_NOT_UTC))
-            .when(~dec["valid"], F.lit(C.AMOUNT_INVALID))
-            .when(dec["scale"] != C.AMOUNT_SCALE, F.lit(C.AMOUNT_SCALE_INVALID))
-            .when(dec["precision"] > C.AMOUNT_PRECISION, F.lit(C.AMOUNT_PRECISION_INVALID))
-            .when(dec["zero"], F.lit(C.AMOUNT_ZERO))
-            .when(is_blank(cat), F.lit(C.CATEGORY_REQUIRED))
-            .when(utf16_longer_than(cat, C.CATEGORY_MAX), F.lit(C.CATEGORY_TOO_LONG)))
-    return {"error_code": code, "transaction_id": tid, "occurred_at": ts["ts"],
-            "amount": dec["value"], "category": cat}
-
-
 def reason_for(code: Column) -> Column:
     """Fixed reason text per code (a literal map lookup, JVM-side)."""
     pairs = []

@@ -194,21 +194,6 @@ def block_summary(facts: DataFrame) -> DataFrame:
     )
 
 
-def _join_summary(facts: DataFrame, summary: DataFrame, broadcast_ok: bool) -> DataFrame:
-    s = F.broadcast(summary) if broadcast_ok else summary
-    return facts.join(s, ["path", "block"], "inner")
-
-
-def number_lines(spark: SparkSession, lines: DataFrame, max_chars: int,
-                 bound_bytes: int | None = None) -> DataFrame:
-    """Lines with exact 1-based ``line_no`` per file and the file's path flag."""
-    facts = _line_facts(lines, max_chars)
-    summary = block_summary(facts)
-    ok = bound_bytes is not None and bound_bytes <= BROADCAST_SUMMARY_BYTES
-    joined = _join_summary(facts, summary, ok)
-    return joined.withColumn("line_no", F.col("mid") - F.col("min_mid") + F.col("line_offset") + 1)
-
-
 # --------------------------------------------------------------------------- S5 fast
 def fast_records(numbered: DataFrame) -> DataFrame:
     """Every line of the file is a complete record: record = line."""
