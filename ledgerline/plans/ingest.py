@@ -129,12 +129,12 @@ def ingest(spark: SparkSession, paths: list[str] | str, root: str,
     trace("manifest")
     refused = [r.asDict() for r in listing if not r["admitted"]]
     admitted = [r.asDict() for r in listing if r["admitted"]]
+    has_ledger = exists(spark, table_path(root, "ledger"))
     # known jobs of the listed files: a semi join with the manifest, not a literal list
     jobs = {r["import_id"]: r.asDict() for r in read_jobs(spark, root)
             .join(files.filter("admitted").select("import_id"), "import_id", "left_semi").collect()} \
-        if admitted else {}
-    max_no_row = read_events(spark, root).agg(F.max("import_no")).first()
-    next_no = (max_no_row[0] or 0) + 1
+        if admitted and has_ledger else {}
+    next_no = ((read_events(spark, root).agg(F.max("import_no")).first()[0] or 0) if has_ledger else 0) + 1
     todo, skipped, events = [], [], []
     t0 = _now()
     seq0 = int(t0.timestamp() * 1_000_000) * 16

@@ -58,29 +58,25 @@ def manifest(spark: SparkSession, paths: list[str] | str, recursive: bool = True
     """List files with metadata only and decide admission.
 
     ``binaryFile`` prunes the content column when it is not selected, so this
-    reads no file bytes."""
+    reads no file bytes. The listing (one row per file, which the driver's
+    file index holds anyway) is taken once; 0-byte files, which yield no
+    split and so no row, come from the same file index."""
     reader = spark.read.format("binaryFile")
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
     src = reader.load(paths)
-    files = src.select("path", "length", "modificationTime")
-    # 0-byte files yield no split and so no row; the file index (a listing
-    # the driver already holds) still names them
-    norm = lambda u: re.sub(r"^file:///", "file:/", u)
-    listed = {norm(u) for u in src.inputFiles()}
-    seen = {norm(r["path"]) for r in files.select("path").collect()} if listed else set()
-    missing = sorted(listed - seen)
-    if missing:
-        extra = spark.createDataFrame([(p, 0, None) for p in missing],
-                                      "path string, length long, modificationTime timestamp")
-        files = files.unionByName(extra)
+    listed = [(r["path"], int(r["length"]), r["modificationTime"])
+              for r in src.select("path", "length", "modificationTime").collect()]
+    norm = lambda u: re.sub(r"^file:/+", "file:/", u)
+    seen = {norm(p) for p, _, _ in listed}
+    listed += [(norm(u), 0, None) for u in sorted({norm(u) for u in src.inputFiles()} - seen)]
+    files = spark.createDataFrame(listed, "path string, length long, modificationTime timestamp")
     name = F.element_at(F.split(F.col("path"), "/"), -1)
-    norm = F.lower(F.trim(name))
-    refusal = (F.when((F.length(F.trim(name)) == 0) | ~norm.endswith(".csv"), F.lit(C.FILE_REFUSED_NAME))
+    norm_name = F.lower(F.trim(name))
+    refusal = (F.when((F.length(F.trim(name)) == 0) | ~norm_name.endswith(".csv"), F.lit(C.FILE_REFUSED_NAME))
                .when(F.col("length") <= 0, F.lit(C.FILE_REFUSED_EMPTY)))
     return files.select(
         "path",
-        F.expr("try_url_decode(path)").alias("decoded_path"),
         name.alias("original_filename"),
         F.col("length").alias("file_size"),
         F.col("modificationTime").alias("modification_time"),
