@@ -88,6 +88,8 @@ def accepted(classified: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def rejected(classified: DataFrame, keys: list[str]) -> DataFrame:
-    """Rejected side with code and reason."""
+    """Rejected side with code and reason (reason derived from the code
+    when the input does not carry it)."""
+    reason = F.col("reason") if "reason" in classified.columns else reason_for(F.col("error_code"))
     return (classified.filter(F.col("error_code").isNotNull())
-            .select(*keys, "error_code", "reason"))
+            .select(*keys, "error_code", reason.alias("reason")))

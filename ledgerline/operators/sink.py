@@ -56,3 +56,13 @@ def append_partitioned(df: DataFrame, path: str, sort_cols: list[str]) -> None:
     task."""
     (df.sortWithinPartitions("import_id", *sort_cols)
        .write.mode("append").partitionBy("import_id", "attempt").parquet(path))
+
+
+BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+
+
+def broadcast_if_small(df: DataFrame, n_rows: int, row_bytes: int) -> DataFrame:
+    """Broadcast a driver-built table only behind its known size (rows are
+    counted on the driver when it is built); otherwise leave the join
+    strategy to Catalyst/AQE."""
+    return F.broadcast(df) if n_rows * row_bytes <= BROADCAST_LIMIT_BYTES else df

@@ -21,7 +21,8 @@ from pyspark.sql import types as T
 from ledgerline import contract as C
 from ledgerline.operators import ladder
 from ledgerline.operators.ledger import BATCH, current_jobs
-from ledgerline.operators.sink import ID_SHIFT, append_partitioned, exists, new_rows, table_path
+from ledgerline.operators.sink import (ID_SHIFT, append_partitioned, broadcast_if_small, exists, new_rows,
+                                       table_path)
 from ledgerline.session import apply_conf, scratch_dir
 from ledgerline.sources import csvscan
 
@@ -181,13 +182,15 @@ def ingest(spark: SparkSession, paths: list[str] | str, root: str,
     # classification happened while staging: here only stored columns are
     # filtered (record range, error_code), pushed down into the Parquet scan
     kept = (staged.filter(F.col("record_no") >= 2)
-            .join(F.broadcast(cut), "path")  # one row per file of this run
+            .join(broadcast_if_small(cut, len(vrows), 300), "path")  # one row per file of this run
             .filter(F.col("record_no") < F.col("cut_row"))
             .withColumnRenamed("record_no", "source_row"))
     acc = (ladder.accepted(kept, ["import_id", "import_no", "source_row"])
            .withColumn("id", F.col("import_no") * F.lit(ID_SHIFT) + F.col("source_row"))
            .withColumn("attempt", F.lit(run_id)))
-    rej = ladder.rejected(kept, ["import_id", "source_row"]).withColumn("attempt", F.lit(run_id))
+    rej = (ladder.rejected(kept, ["import_id", "source_row"])
+           .withColumn("reason", ladder.reason_for(F.col("error_code")))  # derived, not staged
+           .withColumn("attempt", F.lit(run_id)))
     resumed = [a["import_id"] for a in todo if a["resumed"]]
     if resumed:
         acc = new_rows(acc, read_transactions(spark, root).filter(F.col("import_id").isin(resumed)),

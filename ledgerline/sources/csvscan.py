@@ -325,7 +325,7 @@ def record_faults(records: DataFrame) -> DataFrame:
     data = F.col("fault").isNull() & (F.col("record_no") >= 2)
     return classified.select(
         *[c for c in records.columns], "fault",
-        *[F.when(data, F.col(c)).alias(c) for c in ("error_code", "reason", "transaction_id", "occurred_at",
+        *[F.when(data, F.col(c)).alias(c) for c in ("error_code", "transaction_id", "occurred_at",
                                                      "amount", "category")])
 
 
@@ -386,7 +386,7 @@ def stage_lines(lines: DataFrame, max_chars: int) -> DataFrame:
     return classified.select(
         "path", "block", "mid", "value", "utf8_ok", "u16", "complete",
         F.coalesce(header_ok(F.col("_raw")), F.lit(False)).alias("hdr_ok"),
-        "error_code", "reason", "transaction_id", "occurred_at", "amount", "category")
+        "error_code", "transaction_id", "occurred_at", "amount", "category")
 
 
 def fast_view(lines: DataFrame, summary: DataFrame, bound_ok: bool, max_chars: int) -> DataFrame:
@@ -403,7 +403,7 @@ def fast_view(lines: DataFrame, summary: DataFrame, bound_ok: bool, max_chars: i
     return j.select(
         "path", "record_no", F.col("value").alias("record"), "utf8_ok", F.col("u16").cast("long").alias("rec_len"),
         F.lit(False).alias("syntax_bad"), F.lit(max_chars).alias("max_chars"), "fault",
-        *[F.when(data, F.col(c)).alias(c) for c in ("error_code", "reason", "transaction_id", "occurred_at",
+        *[F.when(data, F.col(c)).alias(c) for c in ("error_code", "transaction_id", "occurred_at",
                                                      "amount", "category")])
 
 
@@ -446,5 +446,5 @@ def stage_records(spark: SparkSession, admitted: DataFrame, staging_path: str,
 
 
 STAGED_SCHEMA = ("path string, record_no long, record string, utf8_ok boolean, rec_len long, "
-                 "syntax_bad boolean, max_chars int, fault string, error_code string, reason string, "
+                 "syntax_bad boolean, max_chars int, fault string, error_code string, "
                  "transaction_id string, occurred_at timestamp, amount decimal(19,2), category string")
