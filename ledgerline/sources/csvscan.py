@@ -228,7 +228,11 @@ def _compose(df: DataFrame, part: list[str], order: str, f_out: str, f_in: str,
               .drop("_sw", "_ksw", "_kv"))
 
 
-def slow_records(numbered: DataFrame, bound_ok: bool, cut_path: str | None = None) -> DataFrame:
+CARRIED = ["hdr_ok", "error_code", "transaction_id", "occurred_at", "amount", "category"]
+
+
+def slow_records(numbered: DataFrame, bound_ok: bool, cut_path: str | None = None,
+                 carry: list[str] | None = None) -> DataFrame:
     """S5 slow path for files with quoted newlines (or oversize lines).
 
     One shuffle of the slow files' lines by (file, block) — each block is
@@ -238,8 +242,9 @@ def slow_records(numbered: DataFrame, bound_ok: bool, cut_path: str | None = Non
     records within the limit)."""
     v = F.col("value")
     guard = F.col("u16") > F.col("max_chars")
+    carry = carry or []
     lines = numbered.filter(F.col("slow")).select(
-        "path", "block", "mid", "value", "utf8_ok", "u16", "max_chars",
+        "path", "block", "mid", "value", "utf8_ok", "u16", "max_chars", *carry,
         F.when(guard, F.lit(CF.ERR)).otherwise(CF.end_state_from_outside(v)).alias("a"),
         F.when(guard, F.lit(CF.ERR)).otherwise(CF.end_state_from_inside(v)).alias("b"))
     # ERR folds to "outside" for composition; states up to the first real
@@ -265,7 +270,7 @@ def slow_records(numbered: DataFrame, bound_ok: bool, cut_path: str | None = Non
     h1 = F.col("s_start") == 1
     st = F.when(h1, F.col("st1")).otherwise(F.col("st0"))
     lines = lines.select(
-        "path", "mid", "value", "utf8_ok", "u16", "max_chars",
+        "path", "mid", "value", "utf8_ok", "u16", "max_chars", *carry,
         st.alias("st"),
         F.when(st == 0, F.col("fa")).otherwise(F.col("fb")).alias("end"),
         (F.when(st == 0, F.col("a")).otherwise(F.col("b")) == CF.ERR).alias("err"),
@@ -277,7 +282,8 @@ def slow_records(numbered: DataFrame, bound_ok: bool, cut_path: str | None = Non
     single = lines.filter(one_line).select(
         "path", "record_no",
         F.when(F.col("u16") <= F.col("max_chars"), F.col("value")).alias("record"),
-        "utf8_ok", F.col("u16").alias("rec_len"), F.col("err").alias("syntax_bad"))
+        "utf8_ok", F.col("u16").alias("rec_len"), F.col("err").alias("syntax_bad"), *carry,
+        F.lit(True).alias("_single"))
     multi = lines.filter(~one_line)
     facts = multi.groupBy("path", "record_no").agg(
         (F.sum("u16") + F.count("*") - 1).alias("rec_len"),
@@ -295,8 +301,10 @@ def slow_records(numbered: DataFrame, bound_ok: bool, cut_path: str | None = Non
             .groupBy("path", "record_no")
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("mid", "value"))),
                                           lambda x: x["value"]), "\n").alias("record")))
+    carried_types = dict(numbered.dtypes)
     multi_rec = facts.join(text, ["path", "record_no"], "left").select(
-        "path", "record_no", "record", "utf8_ok", "rec_len", "syntax_bad")
+        "path", "record_no", "record", "utf8_ok", "rec_len", "syntax_bad",
+        *[F.lit(None).cast(carried_types[c]).alias(c) for c in carry], F.lit(False).alias("_single"))
     return single.unionByName(multi_rec)
 
 
@@ -309,6 +317,23 @@ def header_ok(raw):
     return ok
 
 
+def _fault(hdr_ok_col) -> "F.Column":
+    return (F.when(~F.col("utf8_ok"), F.lit(C.FILE_BAD_UTF8))
+            .when(F.col("rec_len") > F.col("max_chars"), F.lit(C.FILE_OVERSIZE))
+            .when(F.col("syntax_bad"), F.lit(C.FILE_SYNTAX))
+            .when((F.col("record_no") == 1) & ~hdr_ok_col, F.lit(C.FILE_HEADER)))
+
+
+def classified_single_faults(records: DataFrame) -> DataFrame:
+    """Single-line records of slow-path files: their ladder result was
+    computed while staging the line; only the record-level faults remain."""
+    out = records.withColumn("fault", _fault(F.coalesce(F.col("hdr_ok"), F.lit(False))))
+    data = F.col("fault").isNull() & (F.col("record_no") >= 2)
+    return out.select("path", "record_no", "record", "utf8_ok", "rec_len", "syntax_bad", "max_chars", "fault",
+                      *[F.when(data, F.col(c)).alias(c) for c in ("error_code", "transaction_id", "occurred_at",
+                                                                   "amount", "category")])
+
+
 def record_faults(records: DataFrame) -> DataFrame:
     """Per-record fault kind by precedence (UTF-8, oversize, syntax), the
     header check on record 1, and the row ladder on data records — all in the
@@ -316,11 +341,7 @@ def record_faults(records: DataFrame) -> DataFrame:
     columns (pushed down into the Parquet scan)."""
     from ledgerline.operators import ladder
     raw = CF.raw_fields(F.col("record"))
-    kind = (F.when(~F.col("utf8_ok"), F.lit(C.FILE_BAD_UTF8))
-            .when(F.col("rec_len") > F.col("max_chars"), F.lit(C.FILE_OVERSIZE))
-            .when(F.col("syntax_bad"), F.lit(C.FILE_SYNTAX))
-            .when((F.col("record_no") == 1) & ~header_ok(raw), F.lit(C.FILE_HEADER)))
-    out = records.withColumn("fault", kind).withColumn("_raw", raw)
+    out = records.withColumn("fault", _fault(header_ok(raw))).withColumn("_raw", raw)
     classified = ladder.classify(out, "_raw", quoted=True)
     data = F.col("fault").isNull() & (F.col("record_no") >= 2)
     return classified.select(
@@ -434,10 +455,12 @@ def stage_records(spark: SparkSession, admitted: DataFrame, staging_path: str,
         s = F.broadcast(summary) if bound_ok else summary
         numbered = (lines.join(s.filter(F.col("slow")), ["path", "block"])
                     .select("path", "block", "mid", "value", "utf8_ok", "u16", F.lit(max_chars).alias("max_chars"),
-                            F.lit(True).alias("slow")))
-        recs = slow_records(numbered, bound_ok, cut_path=staging_path + "/_slowlines") \
+                            F.lit(True).alias("slow"), *CARRIED))
+        recs = slow_records(numbered, bound_ok, cut_path=staging_path + "/_slowlines", carry=CARRIED) \
             .withColumn("max_chars", F.lit(max_chars))
-        record_faults(recs).write.mode("overwrite").parquet(staging_path + "/slow")
+        single = classified_single_faults(recs.filter(F.col("_single")))
+        multi = record_faults(recs.filter(~F.col("_single")).drop(*CARRIED, "_single"))
+        single.unionByName(multi).write.mode("overwrite").parquet(staging_path + "/slow")
         parts.append(spark.read.schema(STAGED_SCHEMA).parquet(staging_path + "/slow"))
     out = parts[0]
     for p_ in parts[1:]:
