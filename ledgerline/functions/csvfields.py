@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 _WS = r"\p{javaWhitespace}"
 QUOTED = r'"(?:[^"]++|"")*+"' + _WS + "*+"
 UNQUOTED = r'[^",][^,]*+'
-FIELD = "(?:" + QUOTED + "|" + UNQUOTED + "|)"
+# An empty field exists only before a separator or at the end of the line
+# (a field that starts with a quote is a quoted field); stating it keeps the
+# possessive loops from taking a separator that precedes an open quote.
+FIELD = "(?:" + QUOTED + "|" + UNQUOTED + "|(?=,|\\z))"
 # A complete record starting outside quotes.
 RECORD_RE = "^" + FIELD + "(?:," + FIELD + ")*+\\z"
 # Starting outside quotes, the line ends inside an open quoted field.
