@@ -57,11 +57,15 @@ def apply_conf(spark: SparkSession) -> None:
 def shared_root(spark: SparkSession) -> str:
     """The cluster-shared folder named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (local tests) a private folder is
-    created and registered, so later lineage cuts land in the same place.
+    Only a local master (tests) may name none: then a private folder is
+    created and registered, so later lineage cuts land in the same place. On a
+    cluster a machine-local folder would lose data, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master {master})")
         root = tempfile.mkdtemp(prefix="ledgerline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
