@@ -199,7 +199,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sigs = rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sk").alias("sk"))
     sk = sigs.select("node", F.posexplode("sk").alias("j", "h")).select(
         F.xxhash64("j", "h").alias("bucket"), "node")
-    shared = sk.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    # small sides are stored before a join, so that the adaptive join can split a hot bucket
+    sk = staged(sk, "omh-sketches")
+    shared = cut(sk.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"))
     members = staged(sk.join(shared, "bucket"), "omh-buckets")
     weight = members.groupBy("node").agg(F.sum("size").alias("w"))
     members = staged(members.join(weight, "node").select("bucket", "node", "w"), "omh-members")
@@ -209,7 +211,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bodies = staged(texts.join(sized(sigs.select("node")), "node", "left_semi").dropDuplicates(["node"]), "omh-bodies")
 
     # first round: every node against the heaviest representative of its buckets
-    star = members.groupBy("bucket").agg(F.max(F.struct("w", "node")).alias("rep"))
+    star = cut(members.groupBy("bucket").agg(F.max(F.struct("w", "node")).alias("rep")))
     pairs = (members.join(star, "bucket").filter("node <> rep.node").groupBy(F.col("node").alias("b"))
              .agg(F.max("rep").alias("rep")).select(F.col("rep.node").alias("a"), "b"))
     links = _verified(_likely(pairs, sigs), bodies)
@@ -218,11 +220,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     reps = 1
     while True:
         # members with their component; buckets of a single component are done
-        open_ = open_.select("bucket", "node", "w").join(
-            comp.select("node", "label"), "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+        open_ = cut(open_.select("bucket", "node", "w").join(comp, "node", "left")
+                    .select("bucket", "node", "w", F.coalesce("label", "node").alias("comp")))
         sizes = open_.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-        main = (sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("main"), F.count("*").alias("parts"))
-                .filter("parts > 1").select("bucket", F.col("main.comp").alias("main")))
+        main = cut(sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("main"), F.count("*").alias("parts"))
+                   .filter("parts > 1").select("bucket", F.col("main.comp").alias("main")))
         open_ = cut(open_.join(main, "bucket"))
         if open_.isEmpty():
             break
@@ -244,12 +246,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         reps *= 4
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(
         F.count("*").alias("n_links"))
-    named = rows.select("id", "node", "n").join(comp, "node", "left").join(degree, "node", "left")
+    info = cut(comp.join(degree, "node", "left"))
+    named = rows.select("id", "node", "n").join(info, "node", "left")
     # rows without words stay alone: their class is their own id
-    named = named.withColumn("label", F.coalesce("label", "node"))
+    named = cut(named.withColumn("label", F.coalesce("label", "node")))
     lead = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id"))
-    classes = named.filter("n > 0").groupBy("label").agg(lead.alias("lead"), F.count("*").alias("size"))
-    out = named.join(classes.withColumnRenamed("label", "c_label"), (F.col("label") == F.col("c_label")) & (F.col("n") > 0), "left")
+    classes = cut(named.filter("n > 0").groupBy(F.col("label").alias("c_label")).agg(
+        lead.alias("lead"), F.count("*").alias("size")))
+    out = named.join(classes, (F.col("label") == F.col("c_label")) & (F.col("n") > 0), "left")
     return out.select("id", "node", F.when(F.col("n") > 0, F.col("lead.id")).otherwise(F.col("id")).alias("class_id"),
                       F.coalesce("size", F.lit(1)).cast("long").alias("class_size"),
                       F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
