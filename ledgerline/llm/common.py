@@ -65,6 +65,25 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def keep_one(df: DataFrame, twice: DataFrame, on: dict[str, str]) -> DataFrame:
+    """Of the rows of ``df`` that share a key listed in the stored table
+    ``twice`` one stays: the smallest hash of all columns. ``on`` maps columns
+    of ``df`` to those of ``twice``; nulls are equal."""
+    if twice.isEmpty():
+        return df
+    mark = fresh(df, "mark")
+    same = F.lit(True)
+    for a, b in on.items():
+        same = same & df[a].eqNullSafe(F.col(b))
+    marked = df.join(sized(twice), same, "left_semi").withColumn(mark, F.xxhash64(*df.columns))
+    least = cut(marked.groupBy(*[F.col(a).alias("p_" + b) for a, b in on.items()]).agg(F.min(mark).alias("p_mark")))
+    pick = marked[mark] == F.col("p_mark")
+    for a, b in on.items():
+        pick = pick & marked[a].eqNullSafe(F.col("p_" + b))
+    one = marked.join(sized(least), pick, "left_semi").dropDuplicates(list(on)).drop(mark)
+    return df.join(sized(twice), same, "left_anti").unionByName(one)
+
+
 # ---- Arrow text and words ------------------------------------------------
 
 _SEP = np.zeros(256, dtype=bool)

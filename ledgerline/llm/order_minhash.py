@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import common as K
-from ledgerline.llm.common import cut, fresh, mix, sized, staged, table
+from ledgerline.llm.common import cut, keep_one, mix, sized, staged, table
 from ledgerline.llm.components import components
 
 SHINGLE = 5
@@ -271,15 +271,7 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     twice = cut(rest.groupBy(F.col(id_col).alias("t_id")).agg(F.count("*").alias("n")).filter("n > 1").select("t_id")
                 .join(found.filter("id <=> class_id").select(F.col("id").alias("f_id")),
                       F.col("t_id").eqNullSafe(F.col("f_id")), "left_semi"))
-    if twice.isEmpty():
-        return rest
-    mark = fresh(docs, "mark")
-    same = rest[id_col].eqNullSafe(F.col("t_id"))
-    marked = rest.join(sized(twice), same, "left_semi").withColumn(mark, F.xxhash64(*docs.columns))
-    least = marked.groupBy(F.col(id_col).alias("p_id")).agg(F.min(mark).alias("p_mark"))
-    one = marked.join(least, marked[id_col].eqNullSafe(F.col("p_id")) & (marked[mark] == F.col("p_mark")),
-                      "left_semi").dropDuplicates([id_col]).drop(mark)
-    return rest.join(sized(twice), same, "left_anti").unionByName(one)
+    return keep_one(rest, twice, {id_col: "t_id"})
 
 
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

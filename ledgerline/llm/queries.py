@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from ledgerline.llm.curriculum import OP6_SQL, op6_curriculum
 from ledgerline.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from ledgerline.llm.language_id import op3_language_mixture
 from ledgerline.llm.order_minhash import op4_order_minhash
+from ledgerline.llm.packing import op2_best_fit_packing
 
 QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_language_mixture": op3_language_mixture,
     "op4_order_minhash": op4_order_minhash,
+    "op6_curriculum": op6_curriculum,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLE = {
+    "op6_curriculum": OP6_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
