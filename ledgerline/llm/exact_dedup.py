@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import BROADCAST_ROWS, cut, fresh, normalised, sized, staged, table
+from ledgerline.llm.common import BROADCAST_ROWS, cut, fresh, keep_one, normalised, sized, staged, table
 
 PREFIX_CHARS = 128
 
@@ -49,8 +49,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         hashed = slim.join(live, met, "left").select("id", F.col("g_len").isNotNull().alias("live"), "sha")
     rows = staged(hashed.withColumn("row", F.monotonically_increasing_id()), "exact")
     first = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
-    groups = rows.filter("live").groupBy(F.col("sha").alias("g_sha")).agg(
-        F.min(first).alias("first"), F.count("*").alias("size")).filter("size > 1")
+    # stored before the join, so that the adaptive join can split a hot group
+    groups = cut(rows.filter("live").groupBy(F.col("sha").alias("g_sha")).agg(
+        F.min(first).alias("first"), F.count("*").alias("size")).filter("size > 1"))
     joined = rows.join(groups, F.col("live") & (F.col("sha") == F.col("g_sha")), "left")
     alone = F.col("g_sha").isNull()
     return joined.select(
@@ -68,19 +69,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = found.groupBy("id", "sha256").agg(F.max("kept").alias("any_kept"), F.count("*").alias("n"))
     gone = cut(gone.filter("not any_kept or n > 1").select(
         F.col("id").alias("g_id"), F.col("sha256").alias("g_sha"), "any_kept"))
-    sha, mark = fresh(docs, "sha"), fresh(docs, "mark")
-    norm = F.unhex(F.sha2(normalised(docs[text_col]), 256))
-    hashed = docs.withColumn(sha, norm)
+    sha = fresh(docs, "sha")
+    hashed = docs.withColumn(sha, F.unhex(F.sha2(normalised(docs[text_col]), 256)))
+    copies = gone.filter("not any_kept")
     same = hashed[id_col].eqNullSafe(F.col("g_id")) & (hashed[sha] == F.col("g_sha"))
-    rest = hashed.join(sized(gone), same, "left_anti").drop(sha)
-    again = gone.filter("any_kept")
-    if again.isEmpty():
-        return rest
-    repeats = hashed.join(sized(again), same, "left_semi").withColumn(mark, F.xxhash64(*docs.columns))
-    pick = repeats.groupBy(F.col(id_col).alias("p_id"), F.col(sha).alias("p_sha")).agg(F.min(mark).alias("p_mark"))
-    one = repeats.join(pick, repeats[id_col].eqNullSafe(F.col("p_id")) & (repeats[sha] == F.col("p_sha"))
-                       & (repeats[mark] == F.col("p_mark")), "left_semi").dropDuplicates([id_col, sha])
-    return rest.unionByName(one.drop(sha, mark))
+    rest = hashed.join(sized(copies), same, "left_anti")
+    return keep_one(rest, cut(gone.filter("any_kept").drop("any_kept")), {id_col: "g_id", sha: "g_sha"}).drop(sha)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
