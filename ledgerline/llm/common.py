@@ -41,9 +41,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder (small intermediate tables)."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``staged`` for small intermediate tables. A written table costs one job
+    (``checkpoint()`` computes the rows twice) and has a known size."""
+    return staged(df, "cut")
 
 
 def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

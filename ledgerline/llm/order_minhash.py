@@ -15,9 +15,11 @@
    inside a band that is wide enough for any pair at the threshold) gives
    shared / (all - shared) >= 0.8.
 4. Verified links are contracted to components. A bucket whose members are
-   all in one component is done; otherwise representatives of its smaller
-   components are compared with all its members, with four times as many in
-   each round, until no bucket is left. Nothing is capped.
+   all in one component is done. In the others, the members outside the main
+   component meet the members of other components in blocks of ``BLOCK`` by
+   ``BLOCK`` rows inside the tasks: first by sketches, then, for rows that
+   still have a likely partner, by shared shingles and alignment. Only links
+   that join two components leave a block. Nothing is capped.
 
 Chance that a pair just at the threshold is missed: sketches agree with about
 0.8**3 = 0.51 each, so fewer than 2 of 16 happen with probability 2e-4.
@@ -46,6 +48,8 @@ SIMILARITY = 0.8
 SKETCHES = 16
 TUPLE = 3
 AGREE = 2
+#: Rows on each side of a block.
+BLOCK = 128
 _BASE2 = 0xD1342543DE82EF95
 
 
@@ -191,20 +195,139 @@ def _likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(fits & (agree >= AGREE)).select("a", "b")
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Runs of rows with equal leading key columns, across batch borders."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = np.stack([b.column(i).to_numpy() for i in range(keys)], axis=1)
+        at = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+        edges = [0, *at.tolist(), b.num_rows]
+        for lo, hi in zip(edges, edges[1:]):
+            here = tuple(k[lo])
+            if held and here != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(lo, hi - lo))
+            last = here
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _likely_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block (bucket, mb, qb, j, query, node, comp, n, sk) the rows
+    that have a likely partner there. A pair counts in the first sketch that
+    it shares, so that it is looked at once."""
+    out: list[pa.Table] = []
+    rows = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if out:
+            yield from pa.concat_tables(out).combine_chunks().to_batches()
+            out.clear()
+
+    for g in _groups(batches, 3):
+        query = np.asarray(g.column("query").to_numpy(), dtype=bool)
+        if query.all() or not query.any():
+            continue
+        sk = g.column("sk").combine_chunks().flatten().to_numpy().reshape(g.num_rows, -1)
+        comp, n = g.column("comp").to_numpy(), g.column("n").to_numpy().astype(np.float64)
+        q, m = np.flatnonzero(query), np.flatnonzero(~query)
+        eq = sk[q][:, None, :] == sk[m][None, :, :]
+        ok = (eq.sum(axis=2) >= AGREE) & (eq.argmax(axis=2) == g.column("j")[0].as_py())
+        ok &= comp[q][:, None] != comp[m][None, :]
+        ok &= np.minimum(n[q][:, None], n[m][None, :]) >= SIMILARITY * np.maximum(n[q][:, None], n[m][None, :])
+        keep = np.concatenate((q[ok.any(axis=1)], m[ok.any(axis=0)]))
+        if len(keep):
+            out.append(g.select(["bucket", "mb", "qb", "query", "node", "comp"]).take(pa.array(keep)))
+            rows += len(keep)
+            if rows >= 4096:
+                yield from flush()
+                rows = 0
+    yield from flush()
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between components, from blocks (bucket, mb, qb, query, node,
+    comp, body): shared shingles bound the similarity from above, then the
+    alignment decides."""
+    a_out: list[bytes] = []
+    b_out: list[bytes] = []
+    for g in _groups(batches, 3):
+        query = np.asarray(g.column("query").to_numpy(), dtype=bool)
+        if query.all() or not query.any():
+            continue
+        bodies = [np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in g.column("body")]
+        nodes, comp = g.column("node").to_pylist(), g.column("comp").to_pylist()
+        sizes = np.array([len(x) for x in bodies])
+        vocab, ix = np.unique(np.concatenate(bodies), return_inverse=True)
+        starts = np.concatenate(([0], np.cumsum(sizes)))
+        m = np.flatnonzero(~query)
+        flat = np.concatenate([ix[starts[i]:starts[i + 1]] for i in m])
+        m_starts = np.concatenate(([0], np.cumsum(sizes[m])[:-1]))
+        parent = {c: c for c in comp}
+
+        def find(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        for q in np.flatnonzero(query):
+            flag = np.zeros(len(vocab), dtype=np.int32)
+            flag[ix[starts[q]:starts[q + 1]]] = 1
+            both = np.add.reduceat(flag[flat], m_starts)
+            near = both >= SIMILARITY * (sizes[q] + sizes[m] - both)
+            for i in m[near]:
+                if find(comp[q]) != find(comp[i]) and aligned(bodies[q], bodies[i]) >= SIMILARITY:
+                    parent[find(comp[q])] = find(comp[i])
+                    a_out.append(nodes[q])
+                    b_out.append(nodes[i])
+    yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.binary()), pa.array(b_out, pa.binary())], names=["a", "b"])
+
+
+def _joining_links(members: DataFrame, comp: DataFrame, sigs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Links between different components of ``comp`` inside buckets."""
+    open_ = staged(members.select("bucket", "j", "node").join(comp, "node", "left")
+                   .select("bucket", "j", "node", F.coalesce("label", "node").alias("label")), "omh-open")
+    sizes = open_.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    main = cut(sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("parts"),
+                                           F.sum("n").alias("size"))
+               .filter("parts > 1").select("bucket", F.col("main.label").alias("main"), "size",
+                                           (F.col("size") - F.col("main.n")).alias("others")))
+    rows = open_.join(main, "bucket").withColumns({
+        "nb": F.ceil(F.col("size") / BLOCK).cast("long"), "nq": F.ceil(F.col("others") / BLOCK).cast("long")})
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    slot = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n))
+    common = ["bucket", "j", "node", F.xxhash64("label").alias("comp")]
+    as_member = rows.select(*common, F.lit(0).alias("query"), slot("nb", 1).alias("mb"), every("nq").alias("qb"))
+    as_query = rows.filter("label <> main").select(*common, F.lit(1).alias("query"), every("nb").alias("mb"),
+                                                   slot("nq", 2).alias("qb"))
+    key = ["bucket", "mb", "qb"]
+    both = as_member.unionByName(as_query).join(sigs, "node")
+    both = both.select(*key, "j", "query", "node", "comp", "n", "sk").repartition(*key).sortWithinPartitions(*key)
+    likely = staged(both.mapInArrow(_likely_rows, "bucket long, mb long, qb long, query int, node binary, comp long"),
+                    "omh-likely")
+    full = likely.join(bodies, "node").select(*key, "query", "node", "comp", "body")
+    full = full.repartition(*key).sortWithinPartitions(*key)
+    return cut(full.mapInArrow(_block_links, "a binary, b binary"))
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, node, class_id, class_size, n_links) for each row of ``docs``;
-    n_links counts the verified links of the row's word sequence."""
+    """(id, node, class_id, class_size, no_words) for each row of ``docs``."""
     rows = staged(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
                   .mapInArrow(_sketch_batches, f"id long, node binary, n long, sk array<long>"), "omh")
     sigs = rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sk").alias("sk"))
     sk = sigs.select("node", F.posexplode("sk").alias("j", "h")).select(
-        F.xxhash64("j", "h").alias("bucket"), "node")
+        F.xxhash64("j", "h").alias("bucket"), "j", "node")
     # small sides are stored before a join, so that the adaptive join can split a hot bucket
     sk = staged(sk, "omh-sketches")
     shared = cut(sk.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"))
     members = staged(sk.join(shared, "bucket"), "omh-buckets")
     weight = members.groupBy("node").agg(F.sum("size").alias("w"))
-    members = staged(members.join(weight, "node").select("bucket", "node", "w"), "omh-members")
+    members = staged(members.join(weight, "node").select("bucket", "j", "node", "w"), "omh-members")
     near = members.select("node").distinct()
     sigs = staged(sigs.join(near, "node", "left_semi"), "omh-sigs")
     texts = docs.select(docs[text_col].alias("text")).mapInArrow(_body_batches, "node binary, body binary")
@@ -216,38 +339,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
              .agg(F.max("rep").alias("rep")).select(F.col("rep.node").alias("a"), "b"))
     links = _verified(_likely(pairs, sigs), bodies)
     comp = components(links)
-    open_ = members
-    reps = 1
-    while True:
-        # members with their component; buckets of a single component are done
-        open_ = cut(open_.select("bucket", "node", "w").join(comp, "node", "left")
-                    .select("bucket", "node", "w", F.coalesce("label", "node").alias("comp")))
-        sizes = open_.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-        main = cut(sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("main"), F.count("*").alias("parts"))
-                   .filter("parts > 1").select("bucket", F.col("main.comp").alias("main")))
-        open_ = cut(open_.join(main, "bucket"))
-        if open_.isEmpty():
-            break
-        # representatives of the smaller components meet every member
-        salt = F.pmod(F.xxhash64("node", F.lit(reps)), F.lit(reps))
-        picked = (open_.filter("comp <> main").withColumn("salt", salt).groupBy("bucket", "salt")
-                  .agg(F.max(F.struct("w", "node", "comp")).alias("r"))
-                  .select("bucket", F.col("r.node").alias("rep"), F.col("r.comp").alias("rep_comp")))
-        picked = cut(picked)
-        pairs = (open_.join(picked, "bucket").filter("comp <> rep_comp")
-                 .select(F.least("rep", "node").alias("a"), F.greatest("rep", "node").alias("b")).distinct())
-        new = _verified(_likely(pairs, sigs), bodies)
-        if not new.isEmpty():
-            links = cut(links.union(new))
-            comp = components(links)
-        # a representative has met all of its bucket: it has no open question left there
-        open_ = open_.drop("main", "comp").join(picked.select("bucket", F.col("rep").alias("node")),
-                                                ["bucket", "node"], "left_anti")
-        reps *= 4
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(
-        F.count("*").alias("n_links"))
-    info = cut(comp.join(degree, "node", "left"))
-    named = rows.select("id", "node", "n").join(info, "node", "left")
+    more = _joining_links(members, comp, sigs, bodies)
+    if not more.isEmpty():
+        comp = components(links.union(more))
+    named = rows.select("id", "node", "n").join(comp, "node", "left")
     # rows without words stay alone: their class is their own id
     named = cut(named.withColumn("label", F.coalesce("label", "node")))
     lead = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id"))
@@ -256,7 +351,6 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = named.join(classes, (F.col("label") == F.col("c_label")) & (F.col("n") > 0), "left")
     return out.select("id", "node", F.when(F.col("n") > 0, F.col("lead.id")).otherwise(F.col("id")).alias("class_id"),
                       F.coalesce("size", F.lit(1)).cast("long").alias("class_size"),
-                      F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                       (F.col("n") == 0).alias("no_words"))
 
 
@@ -276,5 +370,5 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_classes(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", "n_links",
+    return found.select(F.col("id").alias("doc_id"), "class_id", "class_size",
                         F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
