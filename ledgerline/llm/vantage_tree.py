@@ -175,7 +175,9 @@ def _searched(index: DataFrame, asked: DataFrame, k: int, factor: float) -> Data
     blocks = asked.join(sized(staged(n, "vp-blocks")), F.col("cell") == F.col("n_cell")).groupBy(
         "cell", F.pmod(F.xxhash64("query_id"), F.col("nb")).alias("qb")).agg(
         F.collect_list(F.struct("query_id", "qv", "bound")).alias("qs"))
-    jobs = staged(blocks, "vp-jobs").join(index, "cell").drop("qb", "sub").repartition()
+    # a shard and a block of queries are one job; jobs are dealt out evenly
+    tasks = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    jobs = staged(blocks, "vp-jobs").join(index, "cell").drop("qb", "sub").repartition(tasks)
     return jobs.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
