@@ -49,7 +49,7 @@ SKETCHES = 16
 TUPLE = 3
 AGREE = 2
 #: Rows on each side of a block.
-BLOCK = 128
+BLOCK = 512
 _BASE2 = 0xD1342543DE82EF95
 
 
