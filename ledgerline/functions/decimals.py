@@ -6,6 +6,8 @@ and trims blanks, which the contract rejects.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,16 @@ from pyspark.sql import functions as F
 AMOUNT_RE = r"^[+-]?(?:[0-9]+(?:[.][0-9]*)?|[.][0-9]+)(?:[eE][+-]?[0-9]+)?\z"
 PARTS_RE = r"^([+-]?)([0-9]*)(?:[.]([0-9]*))?(?:[eE]([+-]?[0-9]+))?\z"
 INT_MAX = 2147483647
+# Decimal digits of other scripts (general category Nd, basic plane) and the
+# ASCII digits they stand for, from the Unicode database.
+_OTHER_DIGITS = [ch for ch in map(chr, range(0x80, 0x10000)) if unicodedata.category(ch) == "Nd"]
+_THEIR_VALUES = "".join(str(unicodedata.decimal(ch)) for ch in _OTHER_DIGITS)
+
+
+def ascii_digits(c: Column) -> Column:
+    """Decimal digits of any script as ASCII digits; other text unchanged."""
+    return F.when(c.rlike(r"\p{Nd}") & c.rlike(r"[^\x00-\x7F]"),
+                  F.translate(c, "".join(_OTHER_DIGITS), _THEIR_VALUES)).otherwise(c)
 
 
 def parse_bigdecimal(c: Column) -> dict[str, Column]:
@@ -47,8 +59,9 @@ def bigdecimal_stages(src: str, p: str) -> list[dict[str, Column]]:
     """The same parse as :func:`parse_bigdecimal`, as stacked projections of
     named columns (prefix ``p``) so that every part is computed once per
     row. One regex (the lexical check); the rest are plain string ops."""
-    c = F.col(src)
     col = lambda n: F.col(p + n)
+    s0 = {p + "txt": ascii_digits(F.col(src))}
+    c = col("txt")
     s1 = {p + "lex": F.coalesce(c.rlike(AMOUNT_RE), F.lit(False)), p + "low": F.lower(c)}
     s2 = {p + "has_e": F.instr(col("low"), "e") > 0}
     s3 = {p + "mant": F.when(col("has_e"), F.substring_index(col("low"), "e", 1)).otherwise(col("low")),
@@ -57,7 +70,7 @@ def bigdecimal_stages(src: str, p: str) -> list[dict[str, Column]]:
           .otherwise(F.lit("")),
           p + "exp_neg": F.startswith(col("exp_text"), F.lit("-")),
           p + "exp_digits": F.ltrim(F.regexp_replace(col("exp_text"), r"^[+-]", ""), F.lit("0"))}
-    s5 = {p + "body": F.when(col("sign") != "", F.substring(col("mant"), 2, 1 << 20)).otherwise(col("mant")),
+    s5 = {p + "body": F.when(col("sign") != "", F.substring(col("mant"), F.lit(2), F.length(col("mant")))).otherwise(col("mant")),
           p + "exp_abs": F.when(F.length(col("exp_digits")) == 0, F.lit(0).cast("decimal(38,0)")).otherwise(
               F.when(F.length(col("exp_digits")) <= 30, col("exp_digits").try_cast("decimal(38,0)")))}
     s6 = {p + "int": F.substring_index(col("body"), ".", 1),
@@ -76,4 +89,4 @@ def bigdecimal_stages(src: str, p: str) -> list[dict[str, Column]]:
     text = F.concat(col("sign"), F.substring(col("padded"), F.lit(1), n - 2), F.lit("."),
                     F.substring(col("padded"), n - 1, F.lit(2)))
     s9 = {p + "scale": F.when(col("valid"), col("scale_d").cast("long")), p + "value": text.try_cast("decimal(19,2)")}
-    return [s1, s2, s3, s4, s5, s6, s7, s8, s9]
+    return [s0, s1, s2, s3, s4, s5, s6, s7, s8, s9]

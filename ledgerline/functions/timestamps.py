@@ -46,6 +46,7 @@ def parse_offset_datetime(c: Column) -> dict[str, Column]:
 
 
 CANONICAL_MASK = "0000-00-00T00:00:00Z"
+LAST_MICROS = 253402300799999999  # 9999-12-31T23:59:59.999999Z
 
 
 def datetime_stages(src: str, p: str) -> list[dict[str, Column]]:
@@ -62,7 +63,7 @@ def datetime_stages(src: str, p: str) -> list[dict[str, Column]]:
     fast_ts = F.concat(F.substring(c, 1, 10), F.lit(" "), F.substring(c, 12, 8)).try_cast("timestamp")
     s1 = {p + "shape": F.when(col("canon"), F.lit(True)).otherwise(F.coalesce(c.rlike(DATETIME_RE), F.lit(False))),
           p + "off": F.when(col("canon"), F.lit("Z")).otherwise(F.regexp_extract(c, OFFSET_EXTRACT_RE, 1)),
-          p + "rest": F.substring(c, 17, 1 << 20),
+          p + "rest": F.substring(c, F.lit(17), F.length(c)),
           p + "fast": F.when(col("canon"), fast_ts)}
     sec = F.when(F.startswith(col("rest"), F.lit(":")), F.substring(col("rest"), 2, 2)).otherwise(F.lit("00"))
     local = F.concat(F.substring(c, 1, 10), F.lit(" "), F.substring(c, 12, 5), F.lit(":"), sec)
@@ -75,6 +76,7 @@ def datetime_stages(src: str, p: str) -> list[dict[str, Column]]:
     nanos = F.when(F.length(col("frac")) > 0, F.rpad(col("frac"), 9, "0").cast("long")).otherwise(F.lit(0))
     micros = F.floor((nanos + F.lit(500)) / F.lit(1000))
     s3 = {p + "valid": (col("shape") & (F.substring(c, 1, 4) != F.lit("0000")) & col("base").isNotNull()
+                        & (F.unix_micros(col("base")) + micros <= F.lit(LAST_MICROS))  # also after rounding
                         & (col("utc") | col("off").rlike(OFFSET_VALID_RE))),
           p + "ts": F.timestamp_micros(F.unix_micros(col("base")) + micros)}
     return [s0, s1, s2, s3]

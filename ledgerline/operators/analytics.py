@@ -41,27 +41,27 @@ def import_analytics(facts: DataFrame, imports: DataFrame | None = None) -> Data
 
     ``imports`` (one row per known import) makes empty imports appear with
     a zero TOTAL; without it the imports are those present in the facts."""
-    pre = _pre_aggregate(facts)
-    per_cat = pre.groupBy("import_id", "category").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    per_month = pre.groupBy("import_id", "month_start").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    per_import = pre.groupBy("import_id").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    pre = _pre_aggregate(facts).withColumn("listed", F.lit(0 if imports is not None else 1))
     if imports is not None:
-        per_import = imports.select("import_id").distinct().join(per_import, "import_id", "left")
-    total = per_import.select(
-        "import_id", F.lit(TOTAL).alias("aggregation_type"), F.lit(None).cast("string").alias("category"),
-        F.lit(None).cast("string").alias("month"),
-        F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("transaction_count"),
-        F.coalesce(F.col("s"), F.lit(0)).cast(AMOUNT_T).alias("total_amount"))
-    cat = per_cat.select(
+        # a known import is a row of nothing, so one pass over the facts is enough
+        none = imports.select("import_id").distinct().select(
+            "import_id", F.lit(None).cast("string").alias("category"), F.lit(None).cast("date").alias("month_start"),
+            F.lit(0).cast("long").alias("n"), F.lit(0).cast(AMOUNT_T).alias("s"), F.lit(1).alias("listed"))
+        pre = pre.withColumn("s", F.col("s").cast(AMOUNT_T)).unionByName(none)
+    sets = [["import_id"], ["import_id", "category"], ["import_id", "month_start"]]
+    keys = ["import_id", "category", "month_start"]
+    g = pre.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in keys]).agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("listed").alias("listed"),
+        F.grouping("category").alias("no_category"), F.grouping("month_start").alias("no_month"))
+    kind = F.when(F.col("no_category") == 0, F.lit(CATEGORY)).when(F.col("no_month") == 0, F.lit(MONTH)).otherwise(F.lit(TOTAL))
+    g = g.withColumn("aggregation_type", kind)
+    g = g.filter(F.when(F.col("aggregation_type") == TOTAL, F.col("listed") == 1).otherwise(F.col("n") > 0))
+    return g.select(
         # The label is trimmed after grouping (" a" and "a" stay two groups)
-        "import_id", F.lit(CATEGORY).alias("aggregation_type"), java_trim(F.col("category")).alias("category"),
-        F.lit(None).cast("string").alias("month"),
-        F.col("n").cast("long").alias("transaction_count"), F.col("s").cast(AMOUNT_T).alias("total_amount"))
-    mon = per_month.select(
-        "import_id", F.lit(MONTH).alias("aggregation_type"), F.lit(None).cast("string").alias("category"),
+        "import_id", "aggregation_type", java_trim(F.col("category")).alias("category"),
         month_label(F.col("month_start")).alias("month"),
-        F.col("n").cast("long").alias("transaction_count"), F.col("s").cast(AMOUNT_T).alias("total_amount"))
-    return total.unionByName(cat).unionByName(mon)
+        F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("transaction_count"),
+        F.coalesce(F.col("s"), F.lit(0)).cast(AMOUNT_T).alias("total_amount"))
 
 
 def import_analytics_sql(facts: DataFrame, imports: DataFrame) -> DataFrame:

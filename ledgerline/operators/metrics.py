@@ -1,26 +1,77 @@
 """Run metrics: discrete percentile (A10), latency summary (A11), peak per
-group (A12). All are built-in aggregates — partial per key, no collect."""
+group (A12).
+
+Percentiles are exact, but no task holds a group: a mergeable sketch
+(`percentile_approx`) brackets the wanted rank, values below the bracket are
+counted, and only the distinct values inside it (about ``4 / SKETCH`` of a
+group) are put in order.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Accuracy of the bracket: ranks are off by at most 1 / SKETCH of a group.
+SKETCH = 10_000
+
+
+def _values_at(df: DataFrame, group: list[str], value: str, q: float, interpolate: bool, name: str) -> DataFrame:
+    """One row per group: ``name`` = the value at nearest rank ``q``, or the
+    linear interpolation at (n - 1) q. Null values are left out."""
+    keys = [f"_g{i}" for i in range(len(group))]
+    rows = df.select(*[F.col(g).alias(k) for g, k in zip(group, keys)], F.col(value).alias("_v")).filter("_v is not null")
+    e = 2.0 / SKETCH
+    lo, hi = max(0.0, q - e), min(1.0, q + e)
+    bracket = rows.groupBy(*keys).agg(
+        F.percentile_approx("_v", F.lit(lo), F.lit(SKETCH)).alias("_lo"),
+        F.percentile_approx("_v", F.lit(hi), F.lit(SKETCH)).alias("_hi"), F.count("*").alias("_n"))
+    # one more value on each side is needed when the ranks around it are interpolated
+    bkeys = [f"_b{i}" for i in range(len(keys))]
+    b = bracket.select(*[F.col(k).alias(x) for k, x in zip(keys, bkeys)], "_lo", "_hi", "_n")
+    same = F.lit(True)
+    for k, x in zip(keys, bkeys):
+        same = same & F.col(k).eqNullSafe(F.col(x))
+    joined = rows.join(b, same) if keys else rows.crossJoin(F.broadcast(b))  # without keys: one row
+    inside = F.col("_v").between(F.col("_lo"), F.col("_hi"))
+    counted = joined.groupBy(*keys, "_n", F.when(inside, F.col("_v")).alias("_x"),
+                             (F.col("_v") > F.col("_hi")).alias("_above")).agg(F.count("*").alias("_c"))
+    counted = counted.filter(~F.col("_above"))
+    # rows below the bracket are one group whose value is null: first in order
+    upto = Window.partitionBy(*keys).orderBy(F.col("_x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("_to", F.sum("_c").over(upto))
+    if interpolate:
+        at = (F.col("_n") - 1) * F.lit(q)
+        first, second = F.floor(at) + 1, F.ceil(at) + 1
+        part = at - F.floor(at)
+        got = ranked.groupBy(*keys).agg(
+            F.min(F.when(F.col("_to") >= first, F.col("_x"))).alias("_a"),
+            F.min(F.when(F.col("_to") >= second, F.col("_x"))).alias("_z"), F.first(part).alias("_p"))
+        picked = F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_p")
+        picked = F.when(F.col("_z").isNull() | (F.col("_p") == 0), F.col("_a")).otherwise(picked)
+    else:
+        rank = F.greatest(F.ceil(F.col("_n") * F.lit(q)), F.lit(1))
+        got = ranked.groupBy(*keys).agg(F.min(F.when(F.col("_to") >= rank, F.col("_x"))).alias("_a"))
+        picked = F.col("_a")
+    return got.select(*[F.col(k).alias(g) for k, g in zip(keys, group)], picked.alias(name))
+
 
 def percentile_disc(df: DataFrame, group: list[str], value: str, q: float, name: str) -> DataFrame:
     """A10: nearest-rank percentile (smallest x with cume_dist >= q)."""
-    return df.groupBy(*group).agg(
-        F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})").alias(name))
+    return _values_at(df, group, value, q, False, name)
 
 
 def latency_summary(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """N, min, median (interpolated), p95 (nearest rank), max; rounded 3."""
-    return df.groupBy(*group).agg(
+    rounded = lambda c: F.round(F.col(c).cast("double"), 3)
+    out = df.groupBy(*group).agg(
         F.count(value).alias("samples"),
         F.round(F.min(value).cast("double"), 3).alias("min_ms"),
-        F.round(F.expr(f"percentile({value}, 0.5)"), 3).alias("p50_ms"),
-        F.round(F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").cast("double"), 3).alias("p95_ms"),
         F.round(F.max(value).cast("double"), 3).alias("max_ms"))
+    p50 = _values_at(df, group, value, 0.5, True, "p50_ms").withColumn("p50_ms", rounded("p50_ms"))
+    p95 = _values_at(df, group, value, 0.95, False, "p95_ms").withColumn("p95_ms", rounded("p95_ms"))
+    return out.join(p50, group, "left").join(p95, group, "left").select(
+        *group, "samples", "min_ms", "p50_ms", "p95_ms", "max_ms")
 
 
 def peak_by_group(df: DataFrame, group: list[str], value: str, name: str = "peak") -> DataFrame:

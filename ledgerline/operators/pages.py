@@ -19,6 +19,32 @@ class InvalidPagination(ValueError):
     pass
 
 
+class ImportNotFound(LookupError):
+    """The ledger has no such import (a known one without rows is an empty page)."""
+
+
+def require_import(jobs: DataFrame, import_id: str) -> None:
+    """Raise unless the ledger's jobs hold ``import_id``."""
+    if jobs.filter(F.col("import_id") == import_id).isEmpty():
+        raise ImportNotFound(f"import {import_id} does not exist")
+
+
+def import_page(jobs: DataFrame, rows: DataFrame, import_id: str, key: str, limit: int | None = None,
+                after: int | None = None) -> DataFrame:
+    """The page a reader gets: arguments first (L4), then existence (J1), then
+    the rows (L1–L3), trimmed (P6)."""
+    check_page_args(limit, after)
+    require_import(jobs, import_id)
+    return trimmed(keyset_page(rows, import_id, key, limit, after))
+
+
+def existence(jobs: DataFrame, asked: DataFrame) -> DataFrame:
+    """J1 for many imports at once: ``asked`` (import_id) with ``known``."""
+    have = jobs.select(F.col("import_id").alias("_known")).distinct()
+    return asked.join(have, F.col("import_id") == F.col("_known"), "left").select(
+        "import_id", F.col("_known").isNotNull().alias("known"))
+
+
 def check_page_args(limit: int | None, after: int | None) -> tuple[int, int]:
     """L4: limit 1..200 (default 50), after >= 0 (null -> 0)."""
     limit = C.PAGE_LIMIT_DEFAULT if limit is None else limit

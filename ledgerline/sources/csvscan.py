@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -69,9 +70,11 @@ def manifest(spark: SparkSession, paths: list[str] | str, recursive: bool = True
               for r in src.select("path", "length", "modificationTime").collect()]
     norm = lambda u: re.sub(r"^file:/+", "file:/", u)
     seen = {norm(p) for p, _, _ in listed}
-    listed += [(norm(u), 0, None) for u in sorted({norm(u) for u in src.inputFiles()} - seen)]
-    files = spark.createDataFrame(listed, "path string, length long, modificationTime timestamp")
-    name = F.element_at(F.split(F.col("path"), "/"), -1)
+    # inputFiles() are encoded URIs, the listing's paths are plain: one spelling for both
+    listed += [(u, 0, None) for u in sorted({norm(unquote(u)) for u in src.inputFiles()} - seen)]
+    files = spark.createDataFrame([(norm(p), n, t) for p, n, t in listed],
+                                  "path string, length long, modificationTime timestamp")
+    name =F.element_at(F.split(F.col("path"), "/"), -1)
     norm_name = F.lower(F.trim(name))
     refusal = (F.when((F.length(F.trim(name)) == 0) | ~norm_name.endswith(".csv"), F.lit(C.FILE_REFUSED_NAME))
                .when(F.col("length") <= 0, F.lit(C.FILE_REFUSED_EMPTY)))
@@ -93,13 +96,13 @@ def _bom_probe(batches):
     for pdf in batches:
         flags = []
         for p in pdf["path"]:
-            uri = re.sub(r"^file:/+", "file:///", p)
-            try:
-                fs, rel = pafs.FileSystem.from_uri(uri)
-                with fs.open_input_stream(rel) as f:
-                    flags.append(f.read(3) == b"\xef\xbb\xbf")
-            except Exception:  # a store pyarrow cannot open: no BOM check
-                flags.append(False)
+            # a store that cannot be opened is an error: the verdict must not depend on it
+            if p.startswith(("file:", "/")):
+                fs, rel = pafs.LocalFileSystem(), re.sub(r"^file:/+", "/", p)
+            else:
+                fs, rel = pafs.FileSystem.from_uri(quote(p, safe=":/@"))
+            with fs.open_input_stream(rel) as f:
+                flags.append(f.read(3) == b"\xef\xbb\xbf")
         yield pd.DataFrame({"path": pdf["path"], "bom": flags})
 
 
@@ -154,9 +157,12 @@ def scan_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
 
     The default line separator splits on LF, CRLF and lone CR — the same
     record separators as the contract."""
-    return (spark.read.format("text").load(paths)
+    names = [re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in paths]  # paths, not patterns
+    # the metadata column is an encoded URI; the manifest has plain paths ("+" is no space in a path)
+    plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return (spark.read.format("text").load(names)
             .select(F.col("value"),
-                    F.col("_metadata.file_path").alias("path"),
+                    F.regexp_replace(plain, "^file:/+", "file:/").alias("path"),
                     F.col("_metadata.file_block_start").alias("block"),
                     F.monotonically_increasing_id().alias("mid")))
 
