@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import common as K
-from ledgerline.llm.common import cut, keep_one, mix, sized, staged, table
+from ledgerline.llm.common import cut, fresh, keep_one, mix, sized, staged, table
 from ledgerline.llm.components import components
 
 SHINGLE = 5
@@ -123,8 +123,8 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sk.size + 1, SKETCHES, dtype=np.int32)), flat)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).slice(lo, hi - lo), pa.array([r.tobytes() for r in node], pa.binary()),
-                 pa.array(n.astype(np.int64)), lists],
-                names=["id", "node", "n", "sk"])
+                 pa.array(n.astype(np.int64)), lists, b.column(2).slice(lo, hi - lo)],
+                names=["id", "node", "n", "sk", "t"])
 
 
 def _body_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,9 +316,11 @@ def _joining_links(members: DataFrame, comp: DataFrame, sigs: DataFrame, bodies:
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, node, class_id, class_size, no_words) for each row of ``docs``."""
-    rows = staged(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-                  .mapInArrow(_sketch_batches, f"id long, node binary, n long, sk array<long>"), "omh")
+    """(id, node, class_id, class_size, no_words, label, t) for each row of
+    ``docs``; label names the class, t is a hash of the text."""
+    texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"),
+                        F.xxhash64(docs[text_col]).alias("t"))
+    rows = staged(texts.mapInArrow(_sketch_batches, "id long, node binary, n long, sk array<long>, t long"), "omh")
     sigs = rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sk").alias("sk"))
     sk = sigs.select("node", F.posexplode("sk").alias("j", "h")).select(
         F.xxhash64("j", "h").alias("bucket"), "j", "node")
@@ -342,7 +344,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     more = _joining_links(members, comp, sigs, bodies)
     if not more.isEmpty():
         comp = components(links.union(more))
-    named = rows.select("id", "node", "n").join(comp, "node", "left")
+    named = rows.select("id", "node", "n", "t").join(comp, "node", "left")
     # rows without words stay alone: their class is their own id
     named = cut(named.withColumn("label", F.coalesce("label", "node")))
     lead = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id"))
@@ -351,21 +353,26 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = named.join(classes, (F.col("label") == F.col("c_label")) & (F.col("n") > 0), "left")
     return out.select("id", "node", F.when(F.col("n") > 0, F.col("lead.id")).otherwise(F.col("id")).alias("class_id"),
                       F.coalesce("size", F.lit(1)).cast("long").alias("class_size"),
-                      (F.col("n") == 0).alias("no_words"))
+                      (F.col("n") == 0).alias("no_words"), "label", "t")
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class stays (smallest id, then smallest row hash); rows
-    without words all stay. All columns are kept."""
-    found = staged(near_classes(docs, id_col, text_col).filter("class_size > 1").select("id", "class_id").distinct(),
-                   "omh-found")
-    gone = found.filter("not (id <=> class_id)").select(F.col("id").alias("g_id"))
-    rest = docs.join(sized(cut(gone)), docs[id_col].eqNullSafe(F.col("g_id")), "left_anti")
-    # rows that share an id with the one that stays
-    twice = cut(rest.groupBy(F.col(id_col).alias("t_id")).agg(F.count("*").alias("n")).filter("n > 1").select("t_id")
-                .join(found.filter("id <=> class_id").select(F.col("id").alias("f_id")),
-                      F.col("t_id").eqNullSafe(F.col("f_id")), "left_semi"))
-    return keep_one(rest, twice, {id_col: "t_id"})
+    """One row of each class stays (smallest id, then smallest hash of text and
+    row); rows without words all stay. All columns are kept."""
+    found = staged(near_classes(docs, id_col, text_col).filter("class_size > 1").select("label", "id", "t"), "omh-found")
+    first = F.struct(F.col("id").isNull().alias("no_id"), "id", "t")
+    lead = cut(found.groupBy(F.col("label").alias("l_label")).agg(F.min(first).alias("lead")))
+    per = found.groupBy("label", "id", "t").agg(F.count("*").alias("n")).join(lead, F.col("label") == F.col("l_label"))
+    stays = F.col("id").eqNullSafe(F.col("lead.id")) & (F.col("t") == F.col("lead.t"))
+    per = staged(per.select(F.col("id").alias("g_id"), F.col("t").alias("g_t"), "n", stays.alias("stays")), "omh-per")
+    gone = cut(per.filter("not stays").select("g_id", "g_t"))
+    # rows are told apart by id and text, so that a null id is no identity
+    key = fresh(docs, "t")
+    keyed = docs.withColumn(key, F.xxhash64(docs[text_col]))
+    same = keyed[id_col].eqNullSafe(F.col("g_id")) & (keyed[key] == F.col("g_t"))
+    rest = keyed.join(sized(gone), same, "left_anti")
+    twice = cut(per.filter("stays and n > 1").select("g_id", "g_t"))
+    return keep_one(rest, twice, {id_col: "g_id", key: "g_t"}).drop(key)
 
 
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,7 +161,8 @@ def test_mix(docs, none):
         by.setdefault(r.source, []).append(r)
     total = sum(r.size for r in got)
     for source, rows in by.items():
-        assert sum(r.taken for r in rows) == round(rows[0].target) <= 2 * rows[0].source_size
+        taken = sum(r.taken for r in rows)
+        assert abs(taken - rows[0].target) <= 0.5 and taken <= 2 * rows[0].source_size
     assert abs(sum(r.taken for r in got) - 1.5 * total) <= len(by)
     again = curriculum.mix(docs.repartition(5)).collect()
     key = lambda r: (str(r.id), r.key, r.size, r.taken)
@@ -218,8 +219,11 @@ def test_packing_plan():
         for n in pattern:
             used[n] += times
     assert (used == counts).all()
-    least = -(-int((counts * np.arange(2049)).sum()) // 2048)
-    assert sum(t for _, t in plan) <= 1.01 * least
+    # pieces of 1500 share no sequence, and none with a piece over 548
+    long = counts.copy()
+    long[:549] = long[1500] = 0
+    least = int(counts[1500]) - (-int((long * np.arange(2049)).sum()) // 2048)
+    assert sum(t for _, t in plan) <= 1.02 * least
 
 
 def test_url_filter(spark):
