@@ -16,6 +16,7 @@ from ledgerline.functions.text import sql_btrim_blank
 STATUS_RANK = {C.RECEIVED: 0, C.QUEUED: 1, C.PROCESSING: 2,
                C.COMPLETED: 3, C.COMPLETED_WITH_ERRORS: 3, C.FAILED: 3}
 BATCH = "BATCH"  # ledger event carrying counters of committed rows
+PURGED = "PURGED"  # ledger event that ends a job: earlier events no longer count
 
 
 def _rank(c: Column) -> Column:
@@ -43,6 +44,14 @@ def bounded_failure_reason(reason: Column) -> Column:
             .otherwise(F.substring(stripped, 1, C.FAILURE_REASON_MAX)))
 
 
+def after_purge(events: DataFrame) -> DataFrame:
+    """K8: the events after the last purge of their import. The purge side is
+    one row per purged import; the adaptive join picks its strategy."""
+    gone = events.filter(F.col("status") == PURGED).groupBy("import_id").agg(F.max("seq").alias("_gone"))
+    live = F.col("_gone").isNull() | (F.col("seq") > F.col("_gone"))
+    return events.join(gone, "import_id", "left").filter(live).select(*events.columns)
+
+
 def current_jobs(events: DataFrame) -> DataFrame:
     """Fold an append-only event history into one job row per import.
 

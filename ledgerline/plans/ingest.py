@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from ledgerline import contract as C
 from ledgerline.operators import ladder
-from ledgerline.operators.ledger import BATCH, current_jobs
+from ledgerline.operators.ledger import BATCH, PURGED, after_purge, current_jobs
 from ledgerline.operators.sink import (ID_SHIFT, append_partitioned, broadcast_if_small, exists, new_rows,
                                        table_path)
 from ledgerline.session import apply_conf, scratch_dir
@@ -35,13 +35,19 @@ ERR_READ_SCHEMA = T.StructType([f for f in C.ERROR_SCHEMA.fields if f.name != "i
 
 
 # --------------------------------------------------------------------------- readers
-def read_events(spark: SparkSession, root: str) -> DataFrame:
+def read_history(spark: SparkSession, root: str) -> DataFrame:
+    """Every ledger event ever appended, purged imports included."""
     p = table_path(root, "ledger")
     if not exists(spark, p):
         return spark.createDataFrame([], C.LEDGER_SCHEMA)
     return spark.read.schema(C.LEDGER_SCHEMA).parquet(p)
 
 
+def read_events(spark: SparkSession, root: str) -> DataFrame:
+    """The events of imports that exist: those after an import's last purge."""
+    return after_purge(read_history(spark, root))
+
+
 def read_jobs(spark: SparkSession, root: str) -> DataFrame:
     return current_jobs(read_events(spark, root))
 
@@ -75,12 +81,20 @@ def read_errors(spark: SparkSession, root: str, import_id: str | None = None) ->
 
 
 def purge_import(spark: SparkSession, root: str, import_id: str) -> None:
-    """K8: drop an import's data folders (cascade of a deleted job)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    """K8: delete a job with its rows. The ledger event is the commit point: from
+    then on readers see neither the job nor its attempts, and the file may be
+    ingested again. The data folders go afterwards; a purge that was cut off
+    there can be repeated. An unknown import is left alone."""
+    last = (read_history(spark, root).filter(F.col("import_id") == import_id)
+            .agg(F.max("seq").alias("seq"), F.max("import_no").alias("import_no")).first())
+    if last["seq"] is None:
+        return
+    now = _now()
+    _append_events(spark, root, [dict(
+        import_id=import_id, seq=max(int(now.timestamp() * 1_000_000) * 16, last["seq"] + 1), status=PURGED,
+        import_no=last["import_no"], accepted_rows=0, rejected_rows=0, event_at=now)])
     for name in ("transactions", "errors"):
-        p = jvm.org.apache.hadoop.fs.Path(os.path.join(table_path(root, name), f"import_id={import_id}"))
-        p.getFileSystem(conf).delete(p, True)
+        _delete(spark, os.path.join(table_path(root, name), f"import_id={import_id}"))
 
 
 # --------------------------------------------------------------------------- writer
@@ -135,7 +149,8 @@ def ingest(spark: SparkSession, paths: list[str] | str, root: str,
     jobs = {r["import_id"]: r.asDict() for r in read_jobs(spark, root)
             .join(files.filter("admitted").select("import_id"), "import_id", "left_semi").collect()} \
         if admitted and has_ledger else {}
-    next_no = ((read_events(spark, root).agg(F.max("import_no")).first()[0] or 0) if has_ledger else 0) + 1
+    # numbers of purged imports are not given again
+    next_no = ((read_history(spark, root).agg(F.max("import_no")).first()[0] or 0) if has_ledger else 0) + 1
     todo, skipped, events = [], [], []
     t0 = _now()
     seq0 = int(t0.timestamp() * 1_000_000) * 16

@@ -12,7 +12,8 @@ from conftest import write
 from ledgerline import contract as C
 from ledgerline.operators.ledger import bounded_failure_reason, transition_audit
 from ledgerline.operators.pages import keyset_page, trimmed
-from ledgerline.plans.ingest import ingest, purge_import, read_errors, read_transactions, write_run_report
+from ledgerline.plans.ingest import (ingest, purge_import, read_errors, read_events, read_jobs, read_transactions,
+                                     write_run_report)
 
 HDR = "transaction_id,occurred_at,amount,category\n"
 
@@ -35,6 +36,19 @@ def test_purge_and_report(spark, tmp):
     assert read_transactions(spark, f"{tmp}/store").filter(F.col("import_id") == a).count() == 0
     assert read_errors(spark, f"{tmp}/store").filter(F.col("import_id") == a).count() == 0
     assert read_transactions(spark, f"{tmp}/store").count() == 1
+    # the job is gone from the ledger, the other one is untouched
+    assert [r["import_id"] for r in read_jobs(spark, f"{tmp}/store").collect()] == [
+        i["import_id"] for i in rep["imports"] if i["import_id"] != a]
+    purge_import(spark, f"{tmp}/store", "unknown")
+    # the file is let in again, under a new number
+    again = ingest(spark, f"{tmp}/in", f"{tmp}/store")
+    assert [(i["import_id"], i["accepted"], i["rejected"]) for i in again["imports"]] == [(a, 1, 1)]
+    assert len(again["skipped_terminal"]) == 1
+    jobs = {r["import_id"]: r for r in read_jobs(spark, f"{tmp}/store").collect()}
+    assert jobs[a]["import_no"] == 3 and jobs[a]["accepted_rows"] == 1 and jobs[a]["status"] == C.COMPLETED_WITH_ERRORS
+    assert read_transactions(spark, f"{tmp}/store").count() == 2 and read_errors(spark, f"{tmp}/store").count() == 1
+    audit = transition_audit(read_events(spark, f"{tmp}/store")).collect()
+    assert [r["illegal_steps"] for r in audit] == [0, 0]
 
 
 def test_stream_archives_consumed_files(spark, tmp):
