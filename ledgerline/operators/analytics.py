@@ -48,14 +48,17 @@ def import_analytics(facts: DataFrame, imports: DataFrame | None = None) -> Data
             "import_id", F.lit(None).cast("string").alias("category"), F.lit(None).cast("date").alias("month_start"),
             F.lit(0).cast("long").alias("n"), F.lit(0).cast(AMOUNT_T).alias("s"), F.lit(1).alias("listed"))
         pre = pre.withColumn("s", F.col("s").cast(AMOUNT_T)).unionByName(none)
-    sets = [["import_id"], ["import_id", "category"], ["import_id", "month_start"]]
-    keys = ["import_id", "category", "month_start"]
-    g = pre.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in keys]).agg(
-        F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("listed").alias("listed"),
-        F.grouping("category").alias("no_category"), F.grouping("month_start").alias("no_month"))
-    kind = F.when(F.col("no_category") == 0, F.lit(CATEGORY)).when(F.col("no_month") == 0, F.lit(MONTH)).otherwise(F.lit(TOTAL))
-    g = g.withColumn("aggregation_type", kind)
-    g = g.filter(F.when(F.col("aggregation_type") == TOTAL, F.col("listed") == 1).otherwise(F.col("n") > 0))
+
+    def level(kind: str, key: str | None) -> DataFrame:
+        g = pre.groupBy("import_id", *([key] if key else [])).agg(
+            F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("listed").alias("listed"))
+        g = g.filter(F.col("listed") == 1 if key is None else F.col("n") > 0)
+        return g.select("import_id", F.lit(kind).alias("aggregation_type"),
+                        *[F.col(c) if c == key else F.lit(None).cast(t).alias(c)
+                          for c, t in (("category", "string"), ("month_start", "date"))], "n", "s")
+
+    # the three levels share the exchange of the pre-aggregate: one pass over the facts
+    g = level(TOTAL, None).unionByName(level(CATEGORY, "category")).unionByName(level(MONTH, "month_start"))
     return g.select(
         # The label is trimmed after grouping (" a" and "a" stay two groups)
         "import_id", "aggregation_type", java_trim(F.col("category")).alias("category"),
