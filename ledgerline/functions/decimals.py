@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 # fixed values: `BigDecimal(String)` grammar (optional sign, digits with an
 # optional point, optional exponent; no blanks, no grouping, no suffix).
 AMOUNT_RE = r"^[+-]?(?:[0-9]+(?:[.][0-9]*)?|[.][0-9]+)(?:[eE][+-]?[0-9]+)?\z"
-PARTS_RE = r"^([+-]?)([0-9]*)(?:[.]([0-9]*))?(?:[eE]([+-]?[0-9]+))?\z"
 INT_MAX = 2147483647
 # Decimal digits of other scripts (general category Nd, basic plane) and the
 # ASCII digits they stand for, from the Unicode database.
@@ -28,37 +27,10 @@ def ascii_digits(c: Column) -> Column:
                   F.translate(c, "".join(_OTHER_DIGITS), _THEIR_VALUES)).otherwise(c)
 
 
-def parse_bigdecimal(c: Column) -> dict[str, Column]:
-    """Return ``valid``, ``scale``, ``precision``, ``zero`` and ``value``
-    (decimal(19,2); only meaningful when the row passes every check)."""
-    lexical = F.coalesce(c.rlike(AMOUNT_RE), F.lit(False))
-    sign = F.regexp_extract(c, PARTS_RE, 1)
-    int_digits = F.regexp_extract(c, PARTS_RE, 2)
-    frac_digits = F.regexp_extract(c, PARTS_RE, 3)
-    exp_text = F.regexp_extract(c, PARTS_RE, 4)
-    exp_digits = F.regexp_replace(F.regexp_replace(exp_text, r"^[+-]", ""), r"^0+", "")
-    exp_neg = F.startswith(exp_text, F.lit("-"))
-    exp_abs = F.when(F.length(exp_digits) == 0, F.lit(0).cast("decimal(38,0)")).otherwise(
-        F.when(F.length(exp_digits) <= 30, exp_digits.cast("decimal(38,0)")))
-    exponent = F.when(exp_neg, -exp_abs).otherwise(exp_abs)
-    scale = F.length(frac_digits).cast("decimal(38,0)") - exponent
-    valid = (lexical & exp_abs.isNotNull() & (F.abs(exponent) <= INT_MAX)
-             & (F.abs(scale) <= INT_MAX))
-    unscaled = F.regexp_replace(F.concat(int_digits, frac_digits), r"^0+", "")
-    precision = F.greatest(F.length(unscaled), F.lit(1))
-    zero = F.length(unscaled) == 0
-    padded = F.when(F.length(unscaled) < 3, F.lpad(unscaled, 3, "0")).otherwise(unscaled)
-    n = F.length(padded)
-    text = F.concat(sign, F.substring(padded, F.lit(1), n - 2), F.lit("."), F.substring(padded, n - 1, F.lit(2)))
-    value = text.try_cast("decimal(19,2)")
-    return {"valid": valid, "scale": F.when(valid, scale.cast("long")), "precision": precision,
-            "zero": zero, "value": value}
-
-
 def bigdecimal_stages(src: str, p: str) -> list[dict[str, Column]]:
-    """The same parse as :func:`parse_bigdecimal`, as stacked projections of
-    named columns (prefix ``p``) so that every part is computed once per
-    row. One regex (the lexical check); the rest are plain string ops."""
+    """``valid``, ``scale``, ``precision``, ``zero`` and ``value`` (decimal(19,2);
+    only meaningful when the row passes every check) as stacked projections of
+    named columns (prefix ``p``), so that every part is computed once per row. One regex (the lexical check); the rest are plain string ops."""
     col = lambda n: F.col(p + n)
     s0 = {p + "txt": ascii_digits(F.col(src))}
     c = col("txt")

@@ -16,41 +16,18 @@ DATETIME_RE = (r"^\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}(?::\d{2}(?:[.]\d{0,9})?)?"
                r"(?:Z|z|[+-]\d{2}(?::\d{2}(?::\d{2})?)?)\z")
 OFFSET_VALID_RE = (r"^(?:[Zz]|[+-](?:(?:0\d|1[0-7])(?::[0-5]\d(?::[0-5]\d)?)?"
                    r"|18(?::00(?::00)?)?))\z")
-OFFSET_UTC_RE = r"^(?:[Zz]|[+-]00(?::00){0,2})\z"
 OFFSET_EXTRACT_RE = r"([Zz]|[+-][0-9:]+)\z"
-FRACTION_EXTRACT_RE = r"^:\d{2}[.](\d*)"
-# Every spelling of a zero offset the grammar admits (equals OFFSET_UTC_RE).
+# Every spelling of a zero offset the grammar admits.
 UTC_OFFSETS = ["Z", "z", "+00", "-00", "+00:00", "-00:00", "+00:00:00", "-00:00:00"]
 
 
-def parse_offset_datetime(c: Column) -> dict[str, Column]:
-    """Return ``valid`` (parses), ``utc`` (offset is zero) and ``ts``
-    (the instant, only meaningful when valid and utc)."""
-    shape_ok = c.rlike(DATETIME_RE)
-    rest = F.substring(c, 17, 1 << 20)              # after yyyy-MM-ddTHH:mm
-    sec = F.when(F.startswith(rest, F.lit(":")), F.substring(rest, 2, 2)).otherwise(F.lit("00"))
-    offset = F.regexp_extract(c, OFFSET_EXTRACT_RE, 1)
-    local = F.concat(F.substring(c, 1, 10), F.lit(" "), F.substring(c, 12, 5), F.lit(":"), sec)
-    base = F.try_to_timestamp(local, F.lit("yyyy-MM-dd HH:mm:ss"))
-    frac = F.when(F.substring(rest, 4, 1) == F.lit("."),
-                  F.substring(rest, F.lit(5), F.length(rest) - F.length(offset) - 4)).otherwise(F.lit(""))
-    nanos = F.when(F.length(frac) > 0, F.rpad(frac, 9, "0").cast("long")).otherwise(F.lit(0))
-    micros = F.floor((nanos + F.lit(500)) / F.lit(1000))
-    ts = F.timestamp_micros(F.unix_micros(base) + micros)
-    utc = offset.isin(*UTC_OFFSETS)
-    valid = (F.coalesce(shape_ok, F.lit(False))
-             & (F.substring(c, 1, 4) != F.lit("0000"))
-             & base.isNotNull()
-             & (utc | offset.rlike(OFFSET_VALID_RE)))
-    return {"valid": valid, "utc": utc, "ts": ts}
-
-
 CANONICAL_MASK = "0000-00-00T00:00:00Z"
 LAST_MICROS = 253402300799999999  # 9999-12-31T23:59:59.999999Z
 
 
 def datetime_stages(src: str, p: str) -> list[dict[str, Column]]:
-    """:func:`parse_offset_datetime` as stacked projections (prefix ``p``).
+    """``valid`` (parses), ``utc`` (offset is zero) and ``ts`` (the instant, only
+    meaningful when valid and utc) as stacked projections (prefix ``p``).
 
     Fast path for the canonical ``yyyy-MM-ddTHH:mm:ssZ`` (checked with a
     digit mask, no regex): a plain cast parses it (and rejects impossible

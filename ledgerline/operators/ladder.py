@@ -56,7 +56,10 @@ def classify(df: DataFrame, fields_col: str = "fields", quoted: bool = False) ->
             .when(F.col("_dc_zero"), F.lit(C.AMOUNT_ZERO))
             .when(is_blank(F.col("_cat")), F.lit(C.CATEGORY_REQUIRED))
             .when(utf16_longer_than(F.col("_cat"), C.CATEGORY_MAX), F.lit(C.CATEGORY_TOO_LONG)))
-    coded = parsed.withColumn("error_code", code)
+    # the partition id is never negative; naming it keeps filters on the result
+    # above this projection (pushed through the stack, each alias would be
+    # substituted and the condition grow exponentially)
+    coded = parsed.withColumn("error_code", F.when(F.spark_partition_id() >= 0, code))
     ok = F.col("error_code").isNull()
     out = coded.select(
         *[c for c in df.columns if c not in ("error_code", "reason", "transaction_id", "occurred_at",
@@ -69,18 +72,6 @@ def classify(df: DataFrame, fields_col: str = "fields", quoted: bool = False) ->
     return out
 
 
-def classify_staged(df: DataFrame, fields_col: str, path: str, quoted: bool = False) -> DataFrame:
-    """:func:`classify`, materialised to ``path`` (a folder under the shared
-    root) and read back.
-
-    The ladder is a stack of projections whose stages reference earlier
-    stages several times; a Filter on ``error_code`` pushed down through them
-    would substitute every alias and grow exponentially. Splitting the
-    written result only filters stored columns (and reaches the Parquet scan)."""
-    classify(df, fields_col, quoted).write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def accepted(classified: DataFrame, keys: list[str]) -> DataFrame:
     """Accepted side, typed projection."""
     return (classified.filter(F.col("error_code").isNull())

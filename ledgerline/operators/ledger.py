@@ -12,20 +12,10 @@ from pyspark.sql import functions as F
 from ledgerline import contract as C
 from ledgerline.functions.text import sql_btrim_blank
 
-# fixed values: status order along the legal path
-STATUS_RANK = {C.RECEIVED: 0, C.QUEUED: 1, C.PROCESSING: 2,
-               C.COMPLETED: 3, C.COMPLETED_WITH_ERRORS: 3, C.FAILED: 3}
 BATCH = "BATCH"  # ledger event carrying counters of committed rows
 PURGED = "PURGED"  # ledger event that ends a job: earlier events no longer count
 
 
-def _rank(c: Column) -> Column:
-    pairs = []
-    for k, v in STATUS_RANK.items():
-        pairs += [F.lit(k), F.lit(v)]
-    return F.element_at(F.create_map(*pairs), c)
-
-
 def is_terminal(status: Column) -> Column:
     return status.isin(*C.TERMINAL_STATUSES)
 

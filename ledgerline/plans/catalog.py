@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline import contract as C
-from ledgerline.functions.csvfields import raw_fields
+from ledgerline.functions.csvfields import is_complete_record, raw_fields, unquote
 from ledgerline.operators import analytics as AN
 from ledgerline.operators import ladder
 from ledgerline.operators import ledger as LG
@@ -20,7 +20,6 @@ from ledgerline.operators import metrics as M
 from ledgerline.operators import pages as PG
 from ledgerline.operators.sink import first_wins, new_rows
 from ledgerline.plans import derived as D
-from ledgerline.session import scratch_dir
 
 PAGE = 100
 
@@ -52,35 +51,27 @@ SQL_REFUND_FACTS = """SELECT l_linestatus AS import_id, l_returnflag AS category
        ELSE CAST(l_extendedprice AS DECIMAL(19,2)) END AS amount FROM lineitem"""
 
 
-def sql_analytics(facts_sql: str, imports_sql: str | None = None) -> str:
-    """The reference's one-statement GROUPING SETS, per import."""
-    if imports_sql is None:
-        return f"""WITH f AS ({facts_sql}),
-p AS (SELECT import_id, category, date_trunc('month', occurred_at) AS month_start, amount FROM f)
-SELECT import_id,
-  CASE WHEN GROUPING(category) = 0 THEN 'CATEGORY' WHEN GROUPING(month_start) = 0 THEN 'MONTH' ELSE 'TOTAL' END
-    AS aggregation_type,
-  category, strftime(month_start, '%Y-%m') AS month,
-  CAST(COUNT(*) AS BIGINT) AS transaction_count,
-  CAST(COALESCE(SUM(amount), 0) AS DECIMAL(38,2)) AS total_amount
-FROM p GROUP BY GROUPING SETS ((import_id), (import_id, category), (import_id, month_start))"""
-    return f"""WITH f AS ({facts_sql}), i AS ({imports_sql}),
-p AS (SELECT import_id, category, date_trunc('month', occurred_at) AS month_start, amount FROM f),
-t AS (SELECT i.import_id, 'TOTAL' AS aggregation_type, CAST(NULL AS VARCHAR) AS category,
-        CAST(NULL AS VARCHAR) AS month, CAST(COUNT(p.amount) AS BIGINT) AS transaction_count,
-        CAST(COALESCE(SUM(p.amount), 0) AS DECIMAL(38,2)) AS total_amount
-      FROM i LEFT JOIN p ON p.import_id = i.import_id GROUP BY i.import_id),
-g AS (SELECT import_id,
-        CASE WHEN GROUPING(category) = 0 THEN 'CATEGORY' ELSE 'MONTH' END AS aggregation_type,
-        category, strftime(month_start, '%Y-%m') AS month,
-        CAST(COUNT(*) AS BIGINT) AS transaction_count, CAST(SUM(amount) AS DECIMAL(38,2)) AS total_amount
-      FROM p GROUP BY GROUPING SETS ((import_id, category), (import_id, month_start)))
-SELECT * FROM t UNION ALL SELECT * FROM g"""
-
-
-SQL_URGENT = ("SELECT CAST(o_custkey AS VARCHAR) AS import_id, o_orderpriority AS category, o_orderdate AS occurred_at, "
-              "CAST(o_totalprice AS DECIMAL(19,2)) AS amount FROM orders WHERE o_orderpriority = '1-URGENT'")
-SQL_CUSTOMERS = "SELECT CAST(c_custkey AS VARCHAR) AS import_id FROM customer"
+def sql_analytics(facts_sql: str, imports_sql: str | None = None, key: str = "import_id") -> str:
+    """Totals, categories and months as three plain GROUP BYs. With
+    ``imports_sql`` its imports without facts have a zero total."""
+    ids = imports_sql or f"SELECT DISTINCT {key} FROM ({facts_sql})"
+    return f"""WITH f AS ({facts_sql}), ids AS ({ids})
+SELECT {key}, 'TOTAL' AS aggregation_type, CAST(NULL AS VARCHAR) AS category, CAST(NULL AS VARCHAR) AS month,
+  CAST(count(f.amount) AS BIGINT) AS transaction_count, CAST(coalesce(sum(f.amount), 0) AS DECIMAL(38,2)) AS total_amount
+FROM ids LEFT JOIN f USING ({key}) GROUP BY {key}
+UNION ALL
+SELECT {key}, 'CATEGORY', category, NULL, CAST(count(*) AS BIGINT), CAST(sum(amount) AS DECIMAL(38,2))
+FROM f GROUP BY {key}, category
+UNION ALL
+SELECT {key}, 'MONTH', NULL, strftime(occurred_at, '%Y-%m'), CAST(count(*) AS BIGINT), CAST(sum(amount) AS DECIMAL(38,2))
+FROM f GROUP BY {key}, strftime(occurred_at, '%Y-%m')"""
+
+
+SQL_CUSTOMER_FACTS = ("SELECT CAST(o_custkey AS VARCHAR) AS import_id, o_orderpriority AS category, "
+                      "o_orderdate AS occurred_at, CAST(o_totalprice AS DECIMAL(19,2)) AS amount FROM orders")
+# every customer is an import, and has a second one that never got a row
+SQL_CUSTOMERS = ("SELECT CAST(c_custkey AS VARCHAR) AS import_id FROM customer "
+                 "UNION ALL SELECT 'none-' || CAST(c_custkey AS VARCHAR) FROM customer")
 
 # The same raw fields as derived.order_fields, built in SQL.
 SQL_ORDER_FIELDS = f"""SELECT o_orderstatus AS import_id, o_orderkey, o_orderkey + 2 AS source_row,
@@ -148,7 +139,7 @@ def _ladder_orders(spark: SparkSession, sf: str) -> DataFrame:
     """Records built from orders, split and validated by the library."""
     rec = D.order_fields(spark, sf).select("import_id", "source_row", "o_orderkey",
                                            raw_fields(F.col("record")).alias("fields"))
-    return ladder.classify_staged(rec, "fields", scratch_dir(spark, "ladder"), quoted=True).drop("fields")
+    return ladder.classify(rec, "fields", quoted=True).drop("fields")
 
 
 def q_analytics_grouping_sets(spark, sf):
@@ -156,12 +147,18 @@ def q_analytics_grouping_sets(spark, sf):
     return AN.import_analytics(facts, facts.select("import_id").distinct())
 
 
+def _customer_imports(spark, sf):
+    """Every customer is an import, and has a second one that never got a row."""
+    key = F.col("c_custkey").cast("string")
+    return D.table(spark, sf, "customer").select(
+        F.explode(F.array(key, F.concat(F.lit("none-"), key))).alias("import_id"))
+
+
 def q_analytics_zero_filled(spark, sf):
-    o = D.table(spark, sf, "orders").filter(F.col("o_orderpriority") == "1-URGENT")
-    facts = o.select(F.col("o_custkey").cast("string").alias("import_id"), F.col("o_orderpriority").alias("category"),
-                     D.ts("o_orderdate").alias("occurred_at"), F.col("o_totalprice").cast("decimal(19,2)").alias("amount"))
-    imports = D.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("import_id"))
-    return AN.import_analytics(facts, imports)
+    facts = D.table(spark, sf, "orders").select(
+        F.col("o_custkey").cast("string").alias("import_id"), F.col("o_orderpriority").alias("category"),
+        D.ts("o_orderdate").alias("occurred_at"), F.col("o_totalprice").cast("decimal(19,2)").alias("amount"))
+    return AN.import_analytics(facts, _customer_imports(spark, sf))
 
 
 def q_analytics_signed(spark, sf):
@@ -321,18 +318,54 @@ def q_ledger_audit(spark, sf):
 def q_record_audit(spark, sf):
     facts = D.order_facts(spark, sf)
     rej = ladder.rejected(_ladder_orders(spark, sf), ["import_id", "source_row"])
-    imports = D.table(spark, sf, "orders").select(F.col("o_orderstatus").alias("import_id")).filter(
-        F.col("import_id") != "P")  # the ledger knows F and O only: P rows are orphans
+    # the ledger knows P under another name: its rows are orphans
+    imports = D.table(spark, sf, "orders").select(
+        F.regexp_replace("o_orderstatus", "P", "renamed").alias("import_id"))
     return LG.record_audit(facts, rej, imports)
 
 
 def q_orphan_rows(spark, sf):
-    o = D.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    parent = D.table(spark, sf, "customer").filter(F.col("c_mktsegment") == "BUILDING").select(
-        F.col("c_custkey").alias("o_custkey"))
+    # every fifth order names a customer that does not exist
+    key = F.when(F.col("o_orderkey") % 5 == 0, -F.col("o_custkey") - 1).otherwise(F.col("o_custkey"))
+    o = D.table(spark, sf, "orders").select("o_orderkey", key.alias("o_custkey"))
+    parent = D.table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"))
     return LG.orphan_rows(o, parent, "o_custkey")
 
 
+def q_existence_gate(spark, sf):
+    """J1 for many imports: the rows of a known import (maybe none), null for an unknown one."""
+    jobs = D.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("import_id"))
+    rows = (D.table(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias("import_id"))
+            .agg(F.count("*").alias("n")))
+    found = PG.existence(jobs, _customer_imports(spark, sf)).join(rows, "import_id", "left")
+    return found.select("import_id", "known", F.when(F.col("known"), F.coalesce("n", F.lit(0))).alias("n_rows"))
+
+
+def q_page_trimmed(spark, sf):
+    """Stored texts are padded, a page shows them trimmed."""
+    facts = D.order_facts(spark, sf)
+    padded = facts.withColumns({c: F.concat(F.lit(" \t"), F.col(c), F.lit("\r\n ")) for c in ("transaction_id", "category")})
+    return _page_cols(PG.import_page(facts, padded, "F", "id", PAGE, 0))
+
+
+QUOTED_MAX = 4000
+
+
+def q_quoted_field_lengths(spark, sf):
+    """Quoted categories of 1 to 4000 characters, a third with
+    escaped quotes and a third with line breaks."""
+    o, key = D.table(spark, sf, "orders"), F.col("o_orderkey")
+    n = (key % QUOTED_MAX + 1).cast("int")
+    unit = F.element_at(F.array(F.lit("x"), F.lit('a"'), F.lit("b\n")), (key % 3 + 1).cast("int"))
+    cat = F.substring(F.repeat(unit, n), F.lit(1), n)
+    record = F.concat(F.lit("ord-"), key.cast("string"), F.lit(",2025-01-01T00:00:00Z,1.00,\""),
+                      F.replace(cat, F.lit('"'), F.lit('""')), F.lit('"'))
+    rec = o.select("o_orderkey", record.alias("record")).select(
+        "o_orderkey", is_complete_record(F.col("record")).alias("complete"), raw_fields(F.col("record")).alias("fields"))
+    return ladder.classify(rec.withColumn("text", unquote(F.get("fields", 3))), "fields", quoted=True).select(
+        "o_orderkey", "complete", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"), "error_code")
+
+
 def q_zero_filled_imports(spark, sf):
     a = q_analytics_zero_filled(spark, sf).filter(F.col("aggregation_type") == AN.TOTAL)
     return a.select("import_id", "transaction_count", "total_amount")
@@ -393,6 +426,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "record_audit": q_record_audit,
     "orphan_rows": q_orphan_rows,
     "zero_filled_imports": q_zero_filled_imports,
+    "existence_gate": q_existence_gate,
+    "page_trimmed": q_page_trimmed,
+    "quoted_field_lengths": q_quoted_field_lengths,
     "latency_summary": q_latency_summary,
     "deep_cursor_p90": q_deep_cursor_p90,
     "peak_by_group": q_peak_by_group,

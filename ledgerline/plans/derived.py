@@ -90,7 +90,7 @@ def order_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
                     record.alias("record"))
 
 
-def write_order_csv_files(spark: SparkSession, sf_dir: str, multiline: bool = True) -> str:
+def write_order_csv_files(spark: SparkSession, sf_dir: str) -> str:
     """Write one CSV file per order status (header + records by order key)
     into a fresh folder under the shared root; returns the folder.
 
@@ -98,8 +98,6 @@ def write_order_csv_files(spark: SparkSession, sf_dir: str, multiline: bool = Tr
     get a ``.csv`` name afterwards (metadata only)."""
     out = scratch_dir(spark, "orders-csv")
     rows = order_fields(spark, sf_dir)
-    if not multiline:
-        rows = rows.filter(F.col("k") != 15)
     header = (rows.select("import_id").distinct()
               .select("import_id", F.lit(-1).cast("long").alias("o_orderkey"),
                       F.lit(",".join(C.EXPECTED_HEADER)).alias("record")))

@@ -7,8 +7,9 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline import contract as C
 from ledgerline.plans import derived as D
-from ledgerline.plans.catalog import SQL_LADDER, iso, sql_iso
+from ledgerline.plans.catalog import SQL_LADDER, SQL_ORDER_FIELDS, iso, sql_analytics, sql_iso
 from ledgerline.plans.ingest import ingest, read_errors, read_events, read_transactions
 from ledgerline.session import scratch_dir
 
@@ -16,13 +17,13 @@ from ledgerline.session import scratch_dir
 _STORES: dict = {}
 
 
-def _ingest_orders(spark: SparkSession, sf: str, multiline: bool, batch_size: int = 1000):
+def _ingest_orders(spark: SparkSession, sf: str, batch_size: int = 1000):
     """Write the order CSV files and ingest them — once per session and
     input; later queries read the same committed store (ingest once, query
     many times)."""
-    key = (spark.sparkContext.applicationId, sf, multiline, batch_size)
+    key = (spark.sparkContext.applicationId, sf, batch_size)
     if key not in _STORES:
-        src = D.write_order_csv_files(spark, sf, multiline=multiline)
+        src = D.write_order_csv_files(spark, sf)
         root = scratch_dir(spark, "store")
         ingest(spark, src, root, batch_size=batch_size)
         _STORES[key] = root
@@ -33,22 +34,22 @@ def _ingest_orders(spark: SparkSession, sf: str, multiline: bool, batch_size: in
 
 
 def q_file_ingest_accepted(spark, sf):
-    root, keys = _ingest_orders(spark, sf, multiline=True)
-    t = read_transactions(spark, root).join(F.broadcast(keys), "import_id")
+    root, keys = _ingest_orders(spark, sf)
+    t = read_transactions(spark, root).join(keys, "import_id")
     return t.select("file_key", "source_row", "transaction_id", iso("occurred_at").alias("occurred_at"),
                     "amount", "category")
 
 
 def q_file_ingest_rejected(spark, sf):
-    root, keys = _ingest_orders(spark, sf, multiline=False)
-    e = read_errors(spark, root).join(F.broadcast(keys), "import_id")
+    root, keys = _ingest_orders(spark, sf)
+    e = read_errors(spark, root).join(keys, "import_id")
     return e.select("file_key", "source_row", "error_code")
 
 
 def q_file_ingest_status(spark, sf):
-    root, keys = _ingest_orders(spark, sf, multiline=True)
+    root, keys = _ingest_orders(spark, sf)
     from ledgerline.operators.ledger import current_jobs, status_view
-    s = status_view(current_jobs(read_events(spark, root))).join(F.broadcast(keys), "import_id")
+    s = status_view(current_jobs(read_events(spark, root))).join(keys, "import_id")
     return s.select("file_key", "status", "processed_rows", "accepted_rows", "rejected_rows", "terminal")
 
 
@@ -59,8 +60,7 @@ FILE_ORACLE = {
     "file_ingest_accepted": f"""SELECT import_id AS file_key, file_row AS source_row, transaction_id,
   {sql_iso('occurred_at')} AS occurred_at, amount, category FROM ({_NUMBERED}) WHERE error_code IS NULL""",
     "file_ingest_rejected": f"""SELECT import_id AS file_key, file_row AS source_row, error_code
-FROM (SELECT *, 1 + row_number() OVER (PARTITION BY import_id ORDER BY o_orderkey) AS file_row
-      FROM ({SQL_LADDER}) WHERE k <> 15) WHERE error_code IS NOT NULL""",
+FROM ({_NUMBERED}) WHERE error_code IS NOT NULL""",
     "file_ingest_status": f"""SELECT import_id AS file_key,
   CASE WHEN count(*) FILTER (WHERE error_code IS NOT NULL) = 0 THEN 'COMPLETED' ELSE 'COMPLETED_WITH_ERRORS' END AS status,
   CAST(count(*) AS BIGINT) AS processed_rows,
@@ -80,14 +80,14 @@ FILE_QUERIES = {
 def q_stream_ingest_status(spark, sf):
     from ledgerline.operators.ledger import current_jobs, status_view
     from ledgerline.streaming.file_stream import start_ingest_stream
-    src = D.write_order_csv_files(spark, sf, multiline=True)
+    src = D.write_order_csv_files(spark, sf)
     root = scratch_dir(spark, "stream-store")
     q = start_ingest_stream(spark, src, root, scratch_dir(spark, "stream-ckpt"),
                             max_files_per_trigger=1, available_now=True)
     q.awaitTermination()
     keys = (read_events(spark, root).filter(F.col("status") == "RECEIVED")
             .select("import_id", F.regexp_extract("path", r"import_id=([^/]+)/", 1).alias("file_key")))
-    s = status_view(current_jobs(read_events(spark, root))).join(F.broadcast(keys), "import_id")
+    s = status_view(current_jobs(read_events(spark, root))).join(keys, "import_id")
     return s.select("file_key", "status", "processed_rows", "accepted_rows", "rejected_rows", "terminal")
 
 
@@ -139,7 +139,7 @@ def q_file_verdicts(spark, sf):
     ingest(spark, src, root, batch_size=VERDICT_BATCH)
     keys = (read_events(spark, root).filter(F.col("status") == "RECEIVED")
             .select("import_id", F.regexp_extract("path", r"prio=([^/]+)/", 1).alias("file_key")))
-    j = current_jobs(read_events(spark, root)).join(F.broadcast(keys), "import_id")
+    j = current_jobs(read_events(spark, root)).join(keys, "import_id")
     kind = F.regexp_extract(F.coalesce("failure_reason", F.lit("")),
                             r"^(Invalid CSV header|Syntactically|CSV record \d+ exceeds)", 1)
     return j.select("file_key", "status", "accepted_rows", "rejected_rows", kind.alias("failure_kind"))
@@ -173,23 +173,31 @@ def q_synthetic_rows(spark, sf):
 
 def q_file_fingerprint(spark, sf):
     from ledgerline.sources.synth import fingerprint
-    src = D.write_order_csv_files(spark, sf, multiline=False)
+    src = D.write_order_csv_files(spark, sf)
     fp = fingerprint(spark, src)
     return fp.select(F.regexp_extract("path", r"import_id=([^/]+)/", 1).alias("file_key"), "bytes", "rows", "sha256")
 
 
 FILE_QUERIES["synthetic_rows"] = q_synthetic_rows
 FILE_QUERIES["file_fingerprint"] = q_file_fingerprint
+# the whole file of each import as one text: the header, then a record (of one or two lines) per order
+FILE_ORACLE["file_fingerprint"] = f"""WITH r AS (SELECT import_id, o_orderkey, k, CASE k WHEN 0 THEN ''
+    WHEN 1 THEN f_tid || ',' || f_ts || ',' || f_amt
+    ELSE f_tid || ',' || f_ts || ',' || f_amt || ',' || CASE WHEN k IN (14, 15) THEN '"' || f_cat || '"' ELSE f_cat END
+    END AS record FROM ({SQL_ORDER_FIELDS})),
+t AS (SELECT import_id, '{",".join(C.EXPECTED_HEADER)}' || chr(10) || string_agg(record, chr(10) ORDER BY o_orderkey) || chr(10) AS body,
+    count(*) + count(*) FILTER (WHERE k = 15) AS rows FROM r GROUP BY import_id)
+SELECT import_id AS file_key, CAST(strlen(body) AS BIGINT) AS bytes, CAST(rows AS BIGINT) AS rows, sha256(body) AS sha256 FROM t"""
 
 
 # --------------------------------------------------------------------------- numbering
 def q_source_row_numbering(spark, sf):
     """Every logical record of every file is numbered exactly once: accepted
     and rejected rows together cover 2..n+1 with no gap or duplicate."""
-    root, keys = _ingest_orders(spark, sf, multiline=True)
+    root, keys = _ingest_orders(spark, sf)
     rows = (read_transactions(spark, root).select("import_id", "source_row")
             .unionByName(read_errors(spark, root).select("import_id", "source_row")))
-    return (rows.join(F.broadcast(keys), "import_id").groupBy("file_key")
+    return (rows.join(keys, "import_id").groupBy("file_key")
             .agg(F.count("*").alias("records"), F.countDistinct("source_row").alias("distinct_rows"),
                  F.min("source_row").alias("first_row"), F.max("source_row").alias("last_row"),
                  F.sum("source_row").alias("row_sum")))
@@ -208,15 +216,15 @@ def q_file_ingest_analytics(spark, sf):
     """CSV files -> ingest -> committed snapshot -> per-import analytics."""
     from ledgerline.operators.analytics import import_analytics
     from ledgerline.operators.ledger import current_jobs
-    root, keys = _ingest_orders(spark, sf, multiline=True)
+    root, keys = _ingest_orders(spark, sf)
     a = import_analytics(read_transactions(spark, root), current_jobs(read_events(spark, root)))
-    return a.join(F.broadcast(keys), "import_id").drop("import_id")
+    return a.join(keys, "import_id").drop("import_id")
 
 
 def q_file_ingest_page(spark, sf):
     """Keyset page (by source_row, after 100) of the stored import of file F."""
     from ledgerline.operators.pages import keyset_page
-    root, keys = _ingest_orders(spark, sf, multiline=True)
+    root, keys = _ingest_orders(spark, sf)
     imp = keys.filter(F.col("file_key") == "F").first()["import_id"]  # the client's import id
     page = keyset_page(read_transactions(spark, root, imp), imp, "source_row", 100, 100)
     return page.select(F.lit("F").alias("file_key"), "source_row", "transaction_id",
@@ -226,14 +234,7 @@ def q_file_ingest_page(spark, sf):
 _ACCEPTED_NUMBERED = f"""SELECT import_id AS file_key, file_row AS source_row, transaction_id, occurred_at,
   amount, category FROM ({_NUMBERED}) WHERE error_code IS NULL"""
 
-FILE_ORACLE["file_ingest_analytics"] = f"""WITH p AS (SELECT file_key, category,
-    date_trunc('month', occurred_at) AS month_start, amount FROM ({_ACCEPTED_NUMBERED}))
-SELECT file_key,
-  CASE WHEN GROUPING(category) = 0 THEN 'CATEGORY' WHEN GROUPING(month_start) = 0 THEN 'MONTH' ELSE 'TOTAL' END
-    AS aggregation_type,
-  category, strftime(month_start, '%Y-%m') AS month, CAST(COUNT(*) AS BIGINT) AS transaction_count,
-  CAST(COALESCE(SUM(amount), 0) AS DECIMAL(38,2)) AS total_amount
-FROM p GROUP BY GROUPING SETS ((file_key), (file_key, category), (file_key, month_start))"""
+FILE_ORACLE["file_ingest_analytics"] = sql_analytics(_ACCEPTED_NUMBERED, key="file_key")
 
 FILE_ORACLE["file_ingest_page"] = f"""WITH f AS ({_ACCEPTED_NUMBERED}),
 p AS (SELECT * FROM f WHERE file_key = 'F' AND source_row > 100 ORDER BY source_row LIMIT 101),

@@ -126,12 +126,14 @@ def _now() -> dt.datetime:
 def ingest(spark: SparkSession, paths: list[str] | str, root: str,
            batch_size: int = C.BATCH_SIZE_DEFAULT,
            max_chars: int = C.MAX_RECORD_CHARS_DEFAULT,
-           run_id: str | None = None, keep_staging: bool = False) -> dict:
+           run_id: str | None = None, keep_staging: bool = False, consume: bool = False) -> dict:
     """Ingest every admitted CSV file under ``paths`` as one import each.
 
     Idempotent: imports already terminal in the ledger are skipped (R3), rows
     already committed for a resumed import are not inserted twice (K1/K2),
-    and counters count rows actually inserted (K3)."""
+    and counters count rows actually inserted (K3). With ``consume`` the files
+    of terminal imports are deleted after the commit (K6), those of an earlier
+    run that was cut off before it included."""
     if not (C.BATCH_SIZE_MIN <= batch_size <= C.BATCH_SIZE_MAX):
         raise ValueError("batch_size out of range")
     if not (C.MAX_RECORD_CHARS_MIN <= max_chars <= C.MAX_RECORD_CHARS_MAX):
@@ -158,6 +160,8 @@ def ingest(spark: SparkSession, paths: list[str] | str, root: str,
         job = jobs.get(a["import_id"])
         if job and job["status"] in C.TERMINAL_STATUSES:
             skipped.append(a["import_id"])
+            if consume:
+                _delete(spark, a["path"])
             continue
         if job is None:
             a["import_no"] = next_no
@@ -248,6 +252,9 @@ def ingest(spark: SparkSession, paths: list[str] | str, root: str,
                                       bad_record=v["bad_record"], failure_reason=reason))
     _append_events(spark, root, ev)  # commit point
     trace("ledger commit")
+    if consume:
+        for a in todo:
+            _delete(spark, a["path"])
     if not keep_staging:  # this run's own staging folder only
         _delete(spark, staging)
     return report
@@ -273,6 +280,17 @@ def _attempt_counts(spark: SparkSession, root: str, run_id: str) -> dict:
     return out
 
 
+def report_text(report: dict) -> str:
+    """K7: the run report as text, one line per file."""
+    n = {s: sum(i["status"] == s for i in report["imports"]) for s in C.TERMINAL_STATUSES}
+    lines = [f"run {report['run_id']}: " + ", ".join(f"{s} {k}" for s, k in n.items())
+             + f", refused {len(report['refused'])}, already terminal {len(report['skipped_terminal'])}"]
+    lines += [f"{i['status']} {i['path']}: {i['accepted']} accepted, {i['rejected']} rejected"
+              + (f" ({i['failure_reason']})" if i["failure_reason"] else "") for i in report["imports"]]
+    lines += [f"REFUSED {r['path']}: {r['reason']}" for r in report["refused"]]
+    return "\n".join(lines)
+
+
 def write_run_report(spark: SparkSession, report: dict, path: str) -> DataFrame:
     """K7: the run report as JSON (one line per import plus refused files),
     written with the DataFrame writer; returns the report DataFrame."""

@@ -55,6 +55,11 @@ def import_id_for(path, mtime):
                        F.substring(h, 17, 4), F.substring(h, 21, 12))
 
 
+def literal_path(path: str) -> str:
+    """A path for Spark's readers, which take patterns."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
 def manifest(spark: SparkSession, paths: list[str] | str, recursive: bool = True) -> DataFrame:
     """List files with metadata only and decide admission.
 
@@ -157,7 +162,7 @@ def scan_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
 
     The default line separator splits on LF, CRLF and lone CR — the same
     record separators as the contract."""
-    names = [re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in paths]  # paths, not patterns
+    names = [literal_path(p) for p in paths]
     # the metadata column is an encoded URI; the manifest has plain paths ("+" is no space in a path)
     plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return (spark.read.format("text").load(names)

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerline import contract as C
 from ledgerline.plans.ingest import ingest
+from ledgerline.sources.csvscan import literal_path
 
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -40,7 +41,7 @@ def start_ingest_stream(spark: SparkSession, watch_dir: str, root: str, checkpoi
     arrivals = reader.load(watch_dir).select("path", "length", "modificationTime")
 
     def on_batch(batch: DataFrame, epoch_id: int) -> None:
-        paths = [r["path"] for r in batch.select("path").collect()]  # <= maxFilesPerTrigger
+        paths = [literal_path(r["path"]) for r in batch.select("path").collect()]  # <= maxFilesPerTrigger
         if not paths:
             return
         # a fresh attempt id per delivery: a replayed epoch never reuses the
