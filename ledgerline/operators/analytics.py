@@ -3,7 +3,7 @@ canonical order (L5).
 
 Plan: aggregate once by (import_id, category, month) — a partial aggregate
 that shrinks the fact table to one row per group before any shuffle — then
-run GROUPING SETS over that small result. The TOTAL row comes from the
+count each group of that small result in its three levels. The TOTAL row comes from the
 import list (ledger), not from the facts, so an import with no rows still
 gets ``TOTAL, 0, 0.00`` (Spark's GROUPING SETS returns nothing on empty
 input).
@@ -49,16 +49,17 @@ def import_analytics(facts: DataFrame, imports: DataFrame | None = None) -> Data
             F.lit(0).cast("long").alias("n"), F.lit(0).cast(AMOUNT_T).alias("s"), F.lit(1).alias("listed"))
         pre = pre.withColumn("s", F.col("s").cast(AMOUNT_T)).unionByName(none)
 
-    def level(kind: str, key: str | None) -> DataFrame:
-        g = pre.groupBy("import_id", *([key] if key else [])).agg(
-            F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("listed").alias("listed"))
-        g = g.filter(F.col("listed") == 1 if key is None else F.col("n") > 0)
-        return g.select("import_id", F.lit(kind).alias("aggregation_type"),
-                        *[F.col(c) if c == key else F.lit(None).cast(t).alias(c)
-                          for c, t in (("category", "string"), ("month_start", "date"))], "n", "s")
-
-    # the three levels share the exchange of the pre-aggregate: one pass over the facts
-    g = level(TOTAL, None).unionByName(level(CATEGORY, "category")).unionByName(level(MONTH, "month_start"))
+    # each group of the small pre-aggregate counts in three levels: the facts are
+    # read once whether or not the runtime reuses an exchange
+    none_c, none_m = F.lit(None).cast("string"), F.lit(None).cast("date")
+    levels = F.array(*[F.struct(F.lit(kind).alias("aggregation_type"), c.alias("level_category"), m.alias("level_month"))
+                       for kind, c, m in ((TOTAL, none_c, none_m), (CATEGORY, F.col("category"), none_m),
+                                          (MONTH, none_c, F.col("month_start")))])
+    g = pre.select("import_id", "n", "s", "listed", F.inline(levels)).groupBy(
+        "import_id", "aggregation_type", F.col("level_category").alias("category"),
+        F.col("level_month").alias("month_start")).agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("listed").alias("listed"))
+    g = g.filter(F.when(F.col("aggregation_type") == TOTAL, F.col("listed") == 1).otherwise(F.col("n") > 0))
     return g.select(
         # The label is trimmed after grouping (" a" and "a" stay two groups)
         "import_id", "aggregation_type", java_trim(F.col("category")).alias("category"),
