@@ -1,8 +1,8 @@
 """Token counts by offset-mapped attribution.
 
-Each whole document is encoded once. Byte-level tokens are exact pieces of the
-text's UTF-8 bytes, so the running sum of token byte lengths gives every
-token's span. Token spans meet section spans in an interval join (binary
+Each whole document is encoded once. Byte-level tokens, and the marker, are exact
+pieces of the text's UTF-8 bytes, so the running sum of token byte lengths gives
+every token's span. Token spans meet section spans in an interval join (binary
 search of sorted borders inside the task). A token that crosses a border goes
 by an explicit rule:
 
@@ -36,11 +36,6 @@ from ledgerline.llm.packing import encoder, public_vocabulary
 RULES = ("first", "last", "most", "split")
 
 
-def token_ends(encoding, sizes: np.ndarray, text: str) -> np.ndarray:
-    """End of every token in the text's UTF-8 bytes."""
-    return np.cumsum(sizes[np.array(encoding.encode_ordinary(text), dtype=np.int64)])
-
-
 def allocate(ends: np.ndarray, lo: np.ndarray, hi: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray, float]:
     """Tokens of each section [lo, hi), how many of its tokens cross its end,
     and tokens outside all sections. Sections are sorted and disjoint."""
@@ -81,12 +76,14 @@ def section_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = encoder(vocabulary or public_vocabulary())
-        sizes = np.array([len(encoding.decode_single_token_bytes(t)) for t in range(encoding.n_vocab)])
+        sizes = encoding.byte_sizes()
         for b in batches:
             rows, parts = [], []
-            for r in range(b.num_rows):
-                text = b.column(1)[r].as_py() or ""
+            for r, (text, ids) in enumerate(encoding.column(b.column(1))):
+                ends = np.cumsum(sizes[ids])
                 raw = np.frombuffer(text.encode(), dtype=np.uint8)
+                if len(raw) != (ends[-1] if len(ends) else 0):
+                    raise ValueError("tokens do not cover the text: not a byte-level vocabulary")
                 chars = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))  # characters before each byte
                 if spans_col is None:
                     cuts = np.flatnonzero(raw == 10) + 1
@@ -97,7 +94,7 @@ def section_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     at = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # byte of each character
                     lo = at[np.array([s["start"] for s in spans], dtype=np.int64)]
                     hi = at[np.array([s["end"] for s in spans], dtype=np.int64)]
-                count, crossing, outside = allocate(token_ends(encoding, sizes, text), lo, hi, rule)
+                count, crossing, outside = allocate(ends, lo, hi, rule)
                 section = np.arange(len(lo))
                 if spans_col is not None and outside > 1e-9:
                     section, lo, hi = np.append(section, -1), np.append(lo, 0), np.append(hi, 0)
