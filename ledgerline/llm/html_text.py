@@ -5,10 +5,11 @@ path of its own). For every path two ratios are taken over its nodes: text
 length per node and punctuation per node. Both are smoothed over neighbouring
 nodes in page order, fused (length ratio times one plus punctuation ratio) and
 compared with a threshold, ``THRESHOLD`` times their mean. The nodes above it
-vote, by their length, for the container that holds the article: the smallest
-sectioning element with ``MASS`` of the votes, widened to the outermost
-`article` or `main` around it. All of its blocks are the text, in page order,
-however short they are.
+are the content. If most of it stands in `article` or `main` elements, those are
+the containers. Else the container is the lowest sectioning element around all
+content nodes and all other headings, paragraphs, items, cells and sentences of
+the page that are not boilerplate; without one it is the page. All of its blocks
+are the text, in page order, however short they are.
 
 Paths through menus, headers of the page, footers, sidebars, notices, adverts,
 forms, comments and code never count: by element (`nav`, `aside`, `form`, ...)
@@ -25,6 +26,7 @@ are kept; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import html
+import os
 import re
 from collections.abc import Iterator
 
@@ -36,7 +38,6 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import table
 
 THRESHOLD = 0.25
-MASS = 0.8
 SMOOTH = (0.1, 0.2, 0.4, 0.2, 0.1)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|"
@@ -50,6 +51,10 @@ _BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "dd",
           "hgroup", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "summary",
           "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "br", "hr"}
 _SECTION = {"article", "body", "div", "html", "main", "section", "td"}
+_HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Text in these, or with the end of a sentence, is prose wherever it stands.
+_TEXT = _HEADING | {"blockquote", "caption", "dd", "dt", "figcaption", "li", "p", "pre", "td", "th"}
+_STOP = re.compile(r"[.!?…。！？]")
 _OUT = {"aside", "button", "datalist", "dialog", "fieldset", "footer", "form", "head", "input", "label", "menu", "nav",
         "option", "select"}
 _OUT_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "alert", "banner", "breadcrumb", "breadcrumbs",
@@ -166,6 +171,24 @@ def text_nodes(page: str) -> list[Node]:
         stack.append((serial, tag, up[2] + "/" + label, out, up[4] or tag == "a", up[5] + ((serial, tag),)))
 
 
+def _within(n: Node, tags: set[str]) -> bool:
+    return any(e[1] in tags for e in n.chain)
+
+
+def _containers(nodes: list[Node], live: list[int], chosen: list[int], size: list[int]) -> list[tuple[int, str]]:
+    """The elements whose text is the article's; none: the whole page."""
+    outer = {i: next((e for e in nodes[i].chain if e[1] in ("article", "main")), None) for i in live}
+    marked = [i for i in chosen if outer[i]]
+    if 2 * sum(size[i] for i in marked) > sum(size[i] for i in chosen):
+        return list(dict.fromkeys(outer[i] for i in live if outer[i]))
+    shared = os.path.commonprefix([nodes[i].chain for i in chosen])
+    sections = [e for e in shared if e[1] in _SECTION]
+    prose = [i for i in live if _within(nodes[i], _TEXT) or _STOP.search(nodes[i].text)]
+    while sections and not all(sections[-1] in nodes[i].chain for i in prose):
+        sections.pop()
+    return sections[-1:]
+
+
 def main_text(page: str | None) -> str:
     nodes = text_nodes(page or "")
     clean = [" ".join(n.text.split()) for n in nodes]
@@ -188,25 +211,16 @@ def main_text(page: str | None) -> str:
     points = smooth(np.array([paths[nodes[i].path][2] / paths[nodes[i].path][0] for i in live]))
     fused = length * (1 + points)
     least = THRESHOLD * fused.mean()
-    votes: dict[tuple[int, str], int] = {}
-    total = 0
-    for i, f in zip(live, fused):
-        if f >= least:
-            total += len(clean[i])
-            for e in nodes[i].chain:
-                if e[1] in _SECTION:
-                    votes[e] = votes.get(e, 0) + len(clean[i])
-    inside = [e for e, v in votes.items() if v >= MASS * total]
-    box = max(inside, default=None)  # the latest to open is the smallest
-    if box is not None:
-        chain = next(nodes[i].chain for i in live if box in nodes[i].chain)
-        outer = [e for e in chain if e[1] in ("article", "main")]
-        box = outer[0] if outer else box
+    chosen = [i for i, f in zip(live, fused) if f >= least]
+    boxes = _containers(nodes, live, chosen, [len(t) for t in clean])
     blocks: dict[int, list[str]] = {}
-    strict = box is None or box[1] in ("body", "html")  # no container: the ratios decide on each block
-    kept = {nodes[i].block for i, f in zip(live, fused) if not strict or f >= least}
+    whole = all(e[1] not in ("body", "html") for e in boxes) and bool(boxes)
+    first, last = nodes[chosen[0]].block, nodes[chosen[-1]].block
     for n in nodes:
-        if n.block in kept and (box is None or box in n.chain):
+        if boxes and not any(e in n.chain for e in boxes):
+            continue
+        # the page itself is the container: links alone before or after the text are menus
+        if whole or not linked.get(n.block) or first <= n.block <= last or _within(n, _HEADING):
             blocks.setdefault(n.block, []).append(n.text)
     texts = (" ".join("".join(b).split()) for _, b in sorted(blocks.items()))
     return " ".join(t for t in texts if t)
