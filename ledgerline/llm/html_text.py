@@ -13,8 +13,11 @@ are the text, in page order, however short they are.
 
 Paths through menus, headers of the page, footers, sidebars, notices, adverts,
 forms, comments and code never count: by element (`nav`, `aside`, `form`, ...)
-or by a word of their class, id or role. A block made of links only is a menu
-as well.
+or by a class, id or role that names them as a whole. Such a name does not count
+on `article`, nor on an element with most of the text if no article or main
+stands outside it. Blocks made of links only do not choose the container; inside
+it they are text, and where the page itself is the container they are menus
+before the first and after the last content block, headings apart.
 
 Defined results: null or empty html, or html without such text, gives an empty
 string; character references are decoded; white space inside a block becomes
@@ -58,56 +61,73 @@ _STOP = re.compile(r"[.!?…。！？]")
 _OUT = {"aside", "button", "datalist", "dialog", "fieldset", "footer", "form", "head", "input", "label", "menu", "nav",
         "option", "select"}
 _OUT_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "alert", "banner", "breadcrumb", "breadcrumbs",
-              "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "dialog", "discussion",
-              "disclaimer", "disqus", "footer", "gdpr", "masthead", "menu", "menubar", "modal", "nav", "navbar",
+              "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "dialog", "disclaimer",
+              "disqus", "footer", "gdpr", "masthead", "menu", "menubar", "modal", "nav", "navbar",
               "navigation", "newsletter", "notice", "notices", "notification", "pager", "pagination", "popup", "promo",
               "promoted", "promotion", "recommended", "related", "replies", "respond", "search", "share", "sharing",
               "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "tags", "teaser", "toolbar", "topbar",
               "widget"}
+#: Words of place and form beside which a word above still names boilerplate.
+_FORM_WORDS = {"area", "bar", "block", "bottom", "box", "btn", "button", "buttons", "col", "column", "container", "footer",
+               "form", "global", "group", "header", "icons", "inner", "item", "items", "left", "link", "links", "list", "main",
+               "outer", "page", "panel", "post", "posts", "primary", "region", "right", "secondary", "section", "site", "slot",
+               "thread", "top", "unit", "wrap", "wrapper"}
+_PARTS = re.compile(r"[-_\d]+")
 #: What an opening tag ends when it is open: itself or its rivals, up to a border.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
          "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
          "option": ({"option"}, {"select"})}
 
 
+def _names_boilerplate(token: str) -> bool:
+    """A class, id or role that is one of the words, or a compound of them
+    with words of place and form only (`site-footer`, not `has-sidebar`)."""
+    parts = [x for x in _PARTS.split(token) if x]
+    return any(x in _OUT_WORDS for x in parts) and all(x in _OUT_WORDS or x in _FORM_WORDS for x in parts)
+
+
 def _marks(attrs: str) -> tuple[set[str], bool]:
-    """Words of class, id and role; whether the element is hidden."""
+    """Tokens of class, id and role; whether the element is hidden."""
     found, hidden = set(), False
     for name, a, b, c in _ATTR.findall(attrs):
         value = (a or b or c).lower()
         if name.lower() in ("class", "id", "role"):
-            found.update(re.split(r"[^a-z]+", value))
+            found.update(value.split())
         else:
             hidden |= name.lower() == "hidden" or value == "true"
     return found, hidden
 
 
 class Node:
-    __slots__ = ("path", "chain", "block", "text", "link")
+    __slots__ = ("path", "chain", "block", "group", "text", "link", "named")
 
-    def __init__(self, path, chain, block, text, link):
-        self.path, self.chain, self.block, self.text, self.link = path, chain, block, text, link
+    def __init__(self, path, chain, block, group, text, link, named):
+        self.path, self.chain, self.block, self.group, self.text, self.link, self.named = (
+            path, chain, block, group, text, link, named)
 
 
 def text_nodes(page: str) -> list[Node]:
-    """Text nodes outside boilerplate: path, chain of open elements (serial
-    numbers and tags), number of the block, raw text, whether in a link."""
-    # serial, tag, path, boilerplate, inside a link, chain of (serial, tag) from the root
-    stack: list[tuple[int, str, str, bool, bool, tuple]] = []
+    """Text nodes outside boilerplate elements: path, chain of open elements
+    (serial numbers and tags), number of the block (also between two `br`) and
+    of the group (blocks that only `br` parts), raw text, whether in a link,
+    serial numbers of elements around it that are boilerplate by name."""
+    # serial, tag, path, boilerplate, inside a link, chain of (serial, tag) from the root, boilerplate by name
+    stack: list[tuple[int, str, str, bool, bool, tuple, tuple]] = []
     nodes: list[Node] = []
-    serial = block = at = 0
+    serial = block = group = at = 0
 
     def text(lo: int, hi: int) -> None:
         if hi > lo:
-            _, _, path, out, link, chain = stack[-1] if stack else (0, "", "", False, False, ())
+            _, _, path, out, link, chain, named = stack[-1] if stack else (0, "", "", False, False, (), ())
             if not out:
                 raw = page[lo:hi]
-                nodes.append(Node(path, chain, block, html.unescape(raw) if "&" in raw else raw, link))
+                nodes.append(Node(path, chain, block, group, html.unescape(raw) if "&" in raw else raw, link, named))
 
     def close(n: int) -> None:
-        nonlocal block
+        nonlocal block, group
         if any(x[1] in _BLOCK for x in stack[n:]):
             block += 1
+            group += 1
         del stack[n:]
 
     pos = 0
@@ -131,6 +151,7 @@ def text_nodes(page: str) -> list[Node]:
         if m[1]:
             if tag == "p" and not any(x[1] == "p" for x in stack):
                 block += 1
+                group += 1
             for n in range(len(stack) - 1, -1, -1):
                 if stack[n][1] == tag:
                     close(n)
@@ -153,6 +174,7 @@ def text_nodes(page: str) -> list[Node]:
                     close(n)
                     break
             block += 1
+            group += tag != "br"
         if tag in _VOID or m[3].rstrip().endswith("/"):
             continue
         if tag in _RAW:
@@ -162,19 +184,35 @@ def text_nodes(page: str) -> list[Node]:
         if tag == "body":  # what was left open before the body ends here
             del stack[sum(x[1] == "html" for x in stack[:1]):]
         words, hidden = _marks(m[3]) if m[3] else (set(), False)
-        up = stack[-1] if stack else (0, "", "", False, False, ())
+        up = stack[-1] if stack else (0, "", "", False, False, (), ())
         out = up[3] or tag in _OUT or hidden
         out = out or (tag == "header" and not any(x[1] in ("article", "main") for x in stack))
-        out = out or (tag not in ("html", "body", "main") and bool(words & _OUT_WORDS))
-        label = tag + ("." + min(words) if words - {""} else "")
+        named = tag not in ("html", "body", "main", "article") and any(map(_names_boilerplate, words))
+        label = tag + ("." + min(words) if words else "")
         serial += 1
-        stack.append((serial, tag, up[2] + "/" + label, out, up[4] or tag == "a", up[5] + ((serial, tag),)))
+        stack.append((serial, tag, up[2] + "/" + label, out, up[4] or tag == "a", up[5] + ((serial, tag),),
+                      up[6] + (serial,) if named else up[6]))
 
 
 def _within(n: Node, tags: set[str]) -> bool:
     return any(e[1] in tags for e in n.chain)
 
 
+def _unnamed(nodes: list[Node]) -> list[Node]:
+    """Nodes outside elements that are boilerplate by name. An element with
+    most of the text is none, unless an article or main stands outside."""
+    if not any(n.named for n in nodes):
+        return nodes
+    size = [len("".join(n.text.split())) for n in nodes]
+    total, inside = sum(size), {}
+    for n, k in zip(nodes, size):
+        for e in n.named:
+            inside[e] = inside.get(e, 0) + k
+    if any(k and not n.named and _within(n, {"article", "main"}) for n, k in zip(nodes, size)):
+        return [n for n in nodes if not n.named]
+    return [n for n in nodes if all(2 * inside[e] > total for e in n.named)]
+
+
 def _containers(nodes: list[Node], live: list[int], chosen: list[int], size: list[int]) -> list[tuple[int, str]]:
     """The elements whose text is the article's; none: the whole page."""
     outer = {i: next((e for e in nodes[i].chain if e[1] in ("article", "main")), None) for i in live}
@@ -190,14 +228,15 @@ def _containers(nodes: list[Node], live: list[int], chosen: list[int], size: lis
 
 
 def main_text(page: str | None) -> str:
-    nodes = text_nodes(page or "")
+    nodes = _unnamed(text_nodes(page or ""))
     clean = [" ".join(n.text.split()) for n in nodes]
-    # blocks whose text stands in links only are menus
+    # groups whose text stands in links only do not choose the container
     linked: dict[int, bool] = {}
     for n, t in zip(nodes, clean):
         if t:
-            linked[n.block] = linked.get(n.block, True) and n.link
-    live = [i for i, (n, t) in enumerate(zip(nodes, clean)) if t and not linked[n.block]]
+            linked[n.group] = linked.get(n.group, True) and n.link
+    live = [i for i, (n, t) in enumerate(zip(nodes, clean)) if t and not linked[n.group]]
+    live = live or [i for i, (n, t) in enumerate(zip(nodes, clean)) if t and _within(n, {"article", "main"})]
     if not live:
         return ""
     paths: dict[str, list[float]] = {}
@@ -220,7 +259,7 @@ def main_text(page: str | None) -> str:
         if boxes and not any(e in n.chain for e in boxes):
             continue
         # the page itself is the container: links alone before or after the text are menus
-        if whole or not linked.get(n.block) or first <= n.block <= last or _within(n, _HEADING):
+        if whole or not linked.get(n.group) or first <= n.block <= last or _within(n, _HEADING):
             blocks.setdefault(n.block, []).append(n.text)
     texts = (" ".join("".join(b).split()) for _, b in sorted(blocks.items()))
     return " ".join(t for t in texts if t)

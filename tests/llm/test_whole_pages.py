@@ -56,3 +56,31 @@ def test_nothing_else_is_dropped(body):
 def test_unmarked_menu_stays_out():
     menu = "<ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul>"
     assert main_text(f"<body>{menu}<h1>T</h1><p>{LONG}</p><p>x.</p>{menu}</body>") == f"T {LONG.strip()} x."
+
+
+@pytest.mark.parametrize("mark", [
+    "<article class='post comments-open'>%s</article>", "<div class='content has-sidebar'>%s</div>", "<div class=no-sidebar>%s</div>",
+    "<div><section id=discussion>%s</section></div>", "<div class='search-result-body'>%s</div>", "<article class=teaser>%s</article>",
+    "<div class=sidebar>%s</div>",
+])
+def test_names_do_not_drop_the_article(mark):
+    page = (mark % f"<h1>T</h1><p>{LONG}</p><p>x.</p>").join(AROUND)
+    assert main_text(page) == f"T {LONG.strip()} x." == brute(page)
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_links_alone_are_text_inside(tag):
+    body = (f"<{tag}><h1><a href=t>Title</a></h1><p>{LONG}</p><p>See<br><a href=l>a link</a><br>there.</p>"
+            f"<ul><li><a href=a>Ref one</a></li><li><a href=b>Ref two</a></li></ul></{tag}>")
+    assert main_text(body.join(AROUND)) == brute(body.join(AROUND))
+    assert main_text(body.join(AROUND)).endswith("See a link there. Ref one Ref two")
+
+
+def test_link_between_breaks_in_the_page_itself():
+    assert main_text(f"<body><p>{LONG}</p><p>A.<br><a href=l>link</a><br>B.</p></body>") == f"{LONG.strip()} A. link B."
+
+
+def test_named_boilerplate_stays_out():
+    side = "".join(f"<div class='{c}'><p>Out, of it.</p></div>" for c in ("site-footer", "comment-list", "cookie_banner", "sidebar", "related-posts"))
+    assert main_text(f"<body><article><p>{LONG}</p></article><div id=comments><p>{LONG * 3}</p></div>{side}</body>") == LONG.strip()
+    assert main_text(f"<body><div class=post><p>{LONG}</p></div>{side}</body>") == LONG.strip()
