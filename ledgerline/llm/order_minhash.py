@@ -10,7 +10,7 @@
    representative is compared with the others: the node with the largest
    buckets first, so that the middle of a group of copies is found at once.
    Only the pair (representative, other) is ever made, never all pairs.
-3. A candidate pair must agree in ``AGREE`` sketches and in length; then a
+3. A candidate pair must agree in ``AGREE`` sketch and in length; then a
    banded alignment of the labelled shingles (longest common subsequence
    inside a band that is wide enough for any pair at the threshold) gives
    shared / (all - shared) >= 0.8.
@@ -21,8 +21,9 @@
    still have a likely partner, by shared shingles and alignment. Only links
    that join two components leave a block. Nothing is capped.
 
-Chance that a pair just at the threshold is missed: sketches agree with about
-0.8**3 = 0.51 each, so fewer than 2 of 16 happen with probability 2e-4.
+Chance that a pair just at the threshold is missed, that is none of 16 sketches
+agrees: with s of n shingles shared a sketch agrees with C(s, 3) / C(n, 3), so
+3e-4 for 4 of 5 shingles, 4e-5 for 8 of 10, 1e-5 for long texts.
 
 Defined results: null and empty texts, and texts of white space, have no
 shingles and are each a class of their own; equal word sequences are always
@@ -47,7 +48,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 16
 TUPLE = 3
-AGREE = 2
+AGREE = 1
 #: Rows on each side of a block.
 BLOCK = 512
 _BASE2 = 0xD1342543DE82EF95
