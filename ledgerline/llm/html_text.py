@@ -3,21 +3,28 @@
 A page's text nodes are grouped by their root-to-leaf tag path (a class marks a
 path of its own). For every path two ratios are taken over its nodes: text
 length per node and punctuation per node. Both are smoothed over neighbouring
-nodes in page order, fused (length ratio times one plus punctuation ratio) and
-compared with a threshold, ``THRESHOLD`` times their mean. The nodes above it
-are the content. If most of it stands in `article` or `main` elements, those are
-the containers. Else the container is the lowest sectioning element around all
-content nodes and all other headings, paragraphs, items, cells and sentences of
-the page that are not boilerplate; without one it is the page. All of its blocks
-are the text, in page order, however short they are.
+nodes in page order and fused (length ratio times one plus punctuation ratio).
+A path's mean is compared with a threshold, ``THRESHOLD`` times the mean of all
+nodes; the nodes of paths at or above it are the content.
+
+If most of the content stands in `article` or `main` elements, the outermost one
+with most of it is the container; of several articles inside it that one alone
+counts that has most of the container's content, if one has. Else the container
+is the lowest sectioning element around all content nodes and the headings close
+before one of them; without one, and where that is the body, it is the page from
+the first to the last of these nodes. All blocks of the container are the text,
+in page order, however short they are.
 
 Paths through menus, headers of the page, footers, sidebars, notices, adverts,
-forms, comments and code never count: by element (`nav`, `aside`, `form`, ...)
-or by a class, id or role that names them as a whole. Such a name does not count
-on `article`, nor on an element with most of the text if no article or main
-stands outside it. Blocks made of links only do not choose the container; inside
-it they are text, and where the page itself is the container they are menus
-before the first and after the last content block, headings apart.
+forms, comments and code never count: by element (`nav`, `aside`, `form`, ...),
+by the attribute `hidden`, or by a class, id or role that names them as a whole.
+Such a name does not count on a heading or an outer `article`, as an id it does
+not count on a paragraph, and it does not count on an element with most of the
+text if no article or main stands outside it. Blocks made of links only do not
+choose the container; inside it they are text.
+
+A page is read in one pass with parent links, so its cost grows with its length,
+whatever its nesting. What a cut-off page leaves of an open tag is dropped.
 
 Defined results: null or empty html, or html without such text, gives an empty
 string; character references are decoded; white space inside a block becomes
@@ -29,7 +36,6 @@ are kept; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import html
-import os
 import re
 from collections.abc import Iterator
 
@@ -43,9 +49,12 @@ from ledgerline.llm.common import table
 THRESHOLD = 0.25
 SMOOTH = (0.1, 0.2, 0.4, 0.2, 0.1)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|"
-                    r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|"
+                    r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+#: A tag whose quotes do not match ends at the next `>`.
+_LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
+_OPEN_TAG = re.compile(r"</?(?:[A-Za-z]|\Z)")
+_ATTR = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 _PUNCT = re.compile(r"[.,;:!?…。、，！？；：¿¡]")
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "xmp", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -55,11 +64,7 @@ _BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "dd",
           "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "br", "hr"}
 _SECTION = {"article", "body", "div", "html", "main", "section", "td"}
 _HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
-#: Text in these, or with the end of a sentence, is prose wherever it stands.
-_TEXT = _HEADING | {"blockquote", "caption", "dd", "dt", "figcaption", "li", "p", "pre", "td", "th"}
-_STOP = re.compile(r"[.!?…。！？]")
-_OUT = {"aside", "button", "datalist", "dialog", "fieldset", "footer", "form", "head", "input", "label", "menu", "nav",
-        "option", "select"}
+_OUT = {"aside", "datalist", "dialog", "fieldset", "footer", "form", "head", "input", "menu", "nav", "option", "select"}
 _OUT_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "alert", "banner", "breadcrumb", "breadcrumbs",
               "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "dialog", "disclaimer",
               "disqus", "footer", "gdpr", "masthead", "menu", "menubar", "modal", "nav", "navbar",
@@ -73,6 +78,8 @@ _FORM_WORDS = {"area", "bar", "block", "bottom", "box", "btn", "button", "button
                "outer", "page", "panel", "post", "posts", "primary", "region", "right", "secondary", "section", "site", "slot",
                "thread", "top", "unit", "wrap", "wrapper"}
 _PARTS = re.compile(r"[-_\d]+")
+#: Words that name the lead of an article when they stand on a paragraph.
+_LEAD_WORDS = {"teaser"}
 #: What an opening tag ends when it is open: itself or its rivals, up to a border.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
          "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
@@ -86,181 +93,268 @@ def _names_boilerplate(token: str) -> bool:
     return any(x in _OUT_WORDS for x in parts) and all(x in _OUT_WORDS or x in _FORM_WORDS for x in parts)
 
 
-def _marks(attrs: str) -> tuple[set[str], bool]:
-    """Tokens of class, id and role; whether the element is hidden."""
-    found, hidden = set(), False
+def _marks(attrs: str) -> tuple[set[str], set[str], bool]:
+    """Tokens of class and role, and of id; whether the element is hidden."""
+    named, ids, hidden = set(), set(), False
     for name, a, b, c in _ATTR.findall(attrs):
-        value = (a or b or c).lower()
-        if name.lower() in ("class", "id", "role"):
-            found.update(value.split())
-        else:
-            hidden |= name.lower() == "hidden" or value == "true"
-    return found, hidden
+        name, value = name.lower(), (a or b or c).lower()
+        if name in ("class", "role"):
+            named.update(value.split())
+        elif name == "id":
+            ids.update(value.split())
+        elif name == "hidden" or name == "aria-hidden":
+            hidden |= value == "true" or name == "hidden"
+    return named, ids, hidden
+
+
+class Page:
+    """The elements of a page in order of their opening tags, and its text
+    nodes outside boilerplate elements."""
+
+    def __init__(self) -> None:
+        self.parent: list[int] = []
+        self.tag: list[str] = []
+        self.path: list[int] = []  # number of the root-to-here tag path
+        self.named: list[bool] = []  # boilerplate by its class, id or role
+        self.outer: list[int] = []  # the outermost article or main around, itself included; -1
+        self.text_of: list[bool] = []  # inside a heading
+        self.link: list[bool] = []
+        self.out: list[bool] = []
+        # text nodes: element (-1: none), block, group (blocks that only `br` parts), raw text
+        self.nodes: list[tuple[int, int, int, str]] = []
+
+    def sums(self, values: list[tuple[int, float]]) -> list[float]:
+        """For every element the sum of the values in and below it."""
+        total = [0.0] * len(self.tag)
+        for e, v in values:
+            if e >= 0:
+                total[e] += v
+        for e in range(len(total) - 1, 0, -1):
+            if self.parent[e] >= 0:
+                total[self.parent[e]] += total[e]
+        return total
+
+
+class _Stack:
+    """Open elements; where the last one of a tag, or of a set of tags, lies."""
+
+    def __init__(self, page: Page):
+        self.page, self.open = page, []
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def last(self, tags) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def push(self, element: int, tag: str) -> None:
+        self.at.setdefault(tag, []).append(len(self.open))
+        if tag in _BLOCK:
+            self.blocks.append(len(self.open))
+        self.open.append(element)
 
+    def cut(self, n: int) -> bool:
+        """Close all from place ``n`` on; whether a block was among them."""
+        block = False
+        while len(self.open) > n:
+            tag = self.page.tag[self.open.pop()]
+            self.at[tag].pop()
+            if tag in _BLOCK:
+                self.blocks.pop()
+                block = True
+        return block
 
-class Node:
-    __slots__ = ("path", "chain", "block", "group", "text", "link", "named")
 
-    def __init__(self, path, chain, block, group, text, link, named):
-        self.path, self.chain, self.block, self.group, self.text, self.link, self.named = (
-            path, chain, block, group, text, link, named)
+_HELD_P = frozenset(_SECTION | {"li", "table", "blockquote"})
+_HELD_END = ("table", "td", "body", "html")
 
 
-def text_nodes(page: str) -> list[Node]:
-    """Text nodes outside boilerplate elements: path, chain of open elements
-    (serial numbers and tags), number of the block (also between two `br`) and
-    of the group (blocks that only `br` parts), raw text, whether in a link,
-    serial numbers of elements around it that are boilerplate by name."""
-    # serial, tag, path, boilerplate, inside a link, chain of (serial, tag) from the root, boilerplate by name
-    stack: list[tuple[int, str, str, bool, bool, tuple, tuple]] = []
-    nodes: list[Node] = []
-    serial = block = group = at = 0
+def parse(source: str) -> Page:
+    page = Page()
+    stack = _Stack(page)
+    paths: dict[tuple[int, str], int] = {}
+    block = group = at = pos = 0
+    loose = False
+    size = len(source)
 
     def text(lo: int, hi: int) -> None:
         if hi > lo:
-            _, _, path, out, link, chain, named = stack[-1] if stack else (0, "", "", False, False, (), ())
-            if not out:
-                raw = page[lo:hi]
-                nodes.append(Node(path, chain, block, group, html.unescape(raw) if "&" in raw else raw, link, named))
+            e = stack.open[-1] if stack.open else -1
+            if e < 0 or not page.out[e]:
+                raw = source[lo:hi]
+                page.nodes.append((e, block, group, html.unescape(raw) if "&" in raw else raw))
 
     def close(n: int) -> None:
         nonlocal block, group
-        if any(x[1] in _BLOCK for x in stack[n:]):
+        if stack.cut(n):
             block += 1
             group += 1
-        del stack[n:]
 
-    pos = 0
     while True:
-        lt = page.find("<", pos)
-        m = _TOKEN.match(page, lt) if lt >= 0 else None
+        lt = source.find("<", pos)
         if lt < 0:
-            text(at, len(page))
-            return nodes
+            text(at, size)
+            return page
+        m = (_LOOSE if loose else _TOKEN).match(source, lt) or (_TOKEN.match(source, lt) if loose and source[lt + 1:lt + 2] in "!?" else None)
+        if m is None and _OPEN_TAG.match(source, lt):
+            if source.find(">", lt) < 0:  # the page ends inside a tag
+                text(at, lt)
+                return page
+            loose = True
+            m = _LOOSE.match(source, lt)
         if m is None:  # a plain character
             pos = lt + 1
             continue
-        pos = m.end()
+        text(at, lt)
+        pos = at = m.end()
         tag = (m[2] or "").lower()
         if not tag:  # comment, doctype
-            text(at, m.start())
-            at = pos
             continue
-        text(at, m.start())
-        at = pos
         if m[1]:
-            if tag == "p" and not any(x[1] == "p" for x in stack):
+            if tag == "p" and not stack.at.get("p"):
                 block += 1
                 group += 1
-            for n in range(len(stack) - 1, -1, -1):
-                if stack[n][1] == tag:
-                    close(n)
-                    break
-                if stack[n][1] in ("table", "td", "body", "html") or (tag not in _BLOCK and stack[n][1] in _BLOCK):
-                    break
+            n = stack.last((tag,))
+            held = stack.last([t for t in _HELD_END if t != tag])
+            if tag not in _BLOCK and stack.blocks:
+                held = max(held, stack.blocks[-1])
+            if n > held:
+                close(n)
             continue
         if tag in _BLOCK:
-            for n in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph
-                if stack[n][1] == "p":
-                    close(n)
-                    break
-                if stack[n][1] in _SECTION or stack[n][1] in ("li", "table", "blockquote"):
-                    break
+            n = stack.last(("p",)) if tag != "br" else -1  # a block ends an open paragraph
+            if n > stack.last(_HELD_P):
+                close(n)
             rivals, border = _ENDS.get(tag, ((), ()))
-            for n in range(len(stack) - 1, -1, -1):
-                if stack[n][1] in border:
-                    break
-                if stack[n][1] in rivals:
-                    close(n)
-                    break
+            n = stack.last(rivals)
+            if n > stack.last(border):
+                close(n)
             block += 1
             group += tag != "br"
         if tag in _VOID or m[3].rstrip().endswith("/"):
             continue
         if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
-            pos = at = end.end() if end else len(page)
+            end = re.compile(rf"</{re.escape(tag)}\s*+>", re.I).search(source, pos)
+            pos = at = end.end() if end else size
             continue
         if tag == "body":  # what was left open before the body ends here
-            del stack[sum(x[1] == "html" for x in stack[:1]):]
-        words, hidden = _marks(m[3]) if m[3] else (set(), False)
-        up = stack[-1] if stack else (0, "", "", False, False, (), ())
-        out = up[3] or tag in _OUT or hidden
-        out = out or (tag == "header" and not any(x[1] in ("article", "main") for x in stack))
-        named = tag not in ("html", "body", "main", "article") and any(map(_names_boilerplate, words))
-        label = tag + ("." + min(words) if words else "")
-        serial += 1
-        stack.append((serial, tag, up[2] + "/" + label, out, up[4] or tag == "a", up[5] + ((serial, tag),),
-                      up[6] + (serial,) if named else up[6]))
-
-
-def _within(n: Node, tags: set[str]) -> bool:
-    return any(e[1] in tags for e in n.chain)
-
-
-def _unnamed(nodes: list[Node]) -> list[Node]:
-    """Nodes outside elements that are boilerplate by name. An element with
+            stack.cut(int(bool(stack.open) and page.tag[stack.open[0]] == "html"))
+        words, ids, hidden = _marks(m[3]) if m[3] else (set(), set(), False)
+        up = stack.open[-1] if stack.open else -1
+        outer = page.outer[up] if up >= 0 else -1
+        if tag in _HEADING or tag in ("html", "body", "main") or (tag == "article" and not stack.at.get("article")):
+            named = False
+        elif tag == "p":
+            named = any(map(_names_boilerplate, words - _LEAD_WORDS))
+        else:
+            named = any(map(_names_boilerplate, words | ids))
+        out = hidden or tag in _OUT or (tag == "header" and outer < 0) or (up >= 0 and page.out[up])
+        e = len(page.tag)
+        label = tag + ("." + min(words | ids) if words or ids else "")
+        page.parent.append(up)
+        page.tag.append(tag)
+        page.path.append(paths.setdefault((page.path[up] if up >= 0 else -1, label), len(paths)))
+        page.named.append(named)
+        page.outer.append(outer if outer >= 0 else e if tag in ("article", "main") else -1)
+        page.text_of.append(tag in _HEADING or (up >= 0 and page.text_of[up]))
+        page.link.append(tag == "a" or (up >= 0 and page.link[up]))
+        page.out.append(out)
+        stack.push(e, tag)
+
+
+def _drop_named(page: Page) -> None:
+    """Drop nodes in elements that are boilerplate by name. An element with
     most of the text is none, unless an article or main stands outside."""
-    if not any(n.named for n in nodes):
-        return nodes
-    size = [len("".join(n.text.split())) for n in nodes]
-    total, inside = sum(size), {}
-    for n, k in zip(nodes, size):
-        for e in n.named:
-            inside[e] = inside.get(e, 0) + k
-    if any(k and not n.named and _within(n, {"article", "main"}) for n, k in zip(nodes, size)):
-        return [n for n in nodes if not n.named]
-    return [n for n in nodes if all(2 * inside[e] > total for e in n.named)]
-
-
-def _containers(nodes: list[Node], live: list[int], chosen: list[int], size: list[int]) -> list[tuple[int, str]]:
-    """The elements whose text is the article's; none: the whole page."""
-    outer = {i: next((e for e in nodes[i].chain if e[1] in ("article", "main")), None) for i in live}
-    marked = [i for i in chosen if outer[i]]
-    if 2 * sum(size[i] for i in marked) > sum(size[i] for i in chosen):
-        return list(dict.fromkeys(outer[i] for i in live if outer[i]))
-    shared = os.path.commonprefix([nodes[i].chain for i in chosen])
-    sections = [e for e in shared if e[1] in _SECTION]
-    prose = [i for i in live if _within(nodes[i], _TEXT) or _STOP.search(nodes[i].text)]
-    while sections and not all(sections[-1] in nodes[i].chain for i in prose):
-        sections.pop()
-    return sections[-1:]
-
-
-def main_text(page: str | None) -> str:
-    nodes = _unnamed(text_nodes(page or ""))
-    clean = [" ".join(n.text.split()) for n in nodes]
-    # groups whose text stands in links only do not choose the container
-    linked: dict[int, bool] = {}
-    for n, t in zip(nodes, clean):
-        if t:
-            linked[n.group] = linked.get(n.group, True) and n.link
-    live = [i for i, (n, t) in enumerate(zip(nodes, clean)) if t and not linked[n.group]]
-    live = live or [i for i, (n, t) in enumerate(zip(nodes, clean)) if t and _within(n, {"article", "main"})]
-    if not live:
-        return ""
-    paths: dict[str, list[float]] = {}
-    for i in live:
-        s = paths.setdefault(nodes[i].path, [0, 0, 0])
+    if not any(page.named):
+        return
+    size = [(n[0], len("".join(n[3].split()))) for n in page.nodes]
+    under = [False] * len(page.tag)  # in an element that is boilerplate by name
+    for e, p in enumerate(page.parent):
+        under[e] = page.named[e] or (p >= 0 and under[p])
+    strict = any(k and e >= 0 and not under[e] and page.outer[e] >= 0 for e, k in size)
+    if not strict:
+        total, inside = sum(k for _, k in size), page.sums(size)
+        for e, p in enumerate(page.parent):
+            under[e] = (page.named[e] and 2 * inside[e] <= total) or (p >= 0 and under[p])
+    page.nodes = [n for n in page.nodes if n[0] < 0 or not under[n[0]]]
+
+
+def content(page: Page, clean: list[str], live: list[int], threshold: float = THRESHOLD) -> list[int]:
+    """The live nodes of the paths whose smoothed, fused ratios reach the
+    threshold."""
+    paths: dict[int, list[int]] = {}
+    key = [page.path[page.nodes[i][0]] if page.nodes[i][0] >= 0 else -1 for i in live]
+    for i, k in zip(live, key):
+        s = paths.setdefault(k, [0, 0, 0])
         s[0] += 1
         s[1] += len(clean[i])
         s[2] += len(_PUNCT.findall(clean[i]))
     smooth = lambda x: np.convolve(np.pad(x, 2, mode="edge"), SMOOTH, mode="valid")
-    length = smooth(np.array([paths[nodes[i].path][1] / paths[nodes[i].path][0] for i in live]))
-    points = smooth(np.array([paths[nodes[i].path][2] / paths[nodes[i].path][0] for i in live]))
+    length = smooth(np.array([paths[k][1] / paths[k][0] for k in key]))
+    points = smooth(np.array([paths[k][2] / paths[k][0] for k in key]))
     fused = length * (1 + points)
-    least = THRESHOLD * fused.mean()
-    chosen = [i for i, f in zip(live, fused) if f >= least]
-    boxes = _containers(nodes, live, chosen, [len(t) for t in clean])
+    number = {k: n for n, k in enumerate(paths)}
+    at = np.array([number[k] for k in key])
+    of_path = np.bincount(at, fused) / np.bincount(at)
+    return [i for i, f in zip(live, of_path[at]) if f >= threshold * fused.mean()]
+
+
+def _article(page: Page, chosen: list[int], size: list[int]) -> tuple[int, set[int]] | None:
+    """The article or main that holds the content, and articles inside it that
+    are others; None if most of the content stands outside of such elements."""
+    mass = page.sums([(page.nodes[i][0], size[i]) for i in chosen])
+    outers = {o for o in page.outer if o >= 0}
+    if not outers or 2 * sum(mass[o] for o in outers) <= sum(size[i] for i in chosen):
+        return None
+    box = min(outers, key=lambda o: (-mass[o], o))
+    inner, above = [], [-1] * len(page.tag)  # articles in the box that stand in no other one
+    for e in range(box, len(page.tag)):
+        p = page.parent[e]
+        above[e] = e if page.tag[e] == "article" and e != box and (p < 0 or above[p] < 0) else above[p] if p >= 0 else -1
+        if above[e] == e and page.outer[e] == box:
+            inner.append(e)
+    if len(inner) > 1:
+        best = max(inner, key=lambda e: (mass[e], -e))
+        if 2 * mass[best] > mass[box]:
+            return box, set(inner) - {best}
+    return box, set()
+
+
+def main_text(source: str | None, threshold: float = THRESHOLD) -> str:
+    page = parse(source or "")
+    _drop_named(page)
+    nodes = page.nodes
+    clean = [" ".join(n[3].split()) for n in nodes]
+    # groups whose text stands in links only do not choose the container
+    linked: dict[int, bool] = {}
+    for (e, _, group, _), t in zip(nodes, clean):
+        if t:
+            linked[group] = linked.get(group, True) and e >= 0 and page.link[e]
+    live = [i for i, (n, t) in enumerate(zip(nodes, clean)) if t and not linked[n[2]]]
+    live = live or [i for i, (n, t) in enumerate(zip(nodes, clean)) if t and n[0] >= 0 and page.outer[n[0]] >= 0]
+    if not live:
+        return ""
+    chosen = content(page, clean, live, threshold)
+    size = [len(t) for t in clean]
+    found = _article(page, chosen, size)
+    if found:
+        box, others = found
+    else:
+        # a heading belongs to content that begins close behind it
+        hit = set(chosen)
+        needed = [i for k, i in enumerate(live) if i in hit or (
+            nodes[i][0] >= 0 and page.text_of[nodes[i][0]] and any(j in hit for j in live[k + 1:k + 4]))]
+        held = page.sums([(nodes[i][0], 1) for i in needed])
+        box = max((e for e in range(len(page.tag)) if held[e] == len(needed) and page.tag[e] in _SECTION), default=-1)
+        others = set()
+    inside = [False] * len(page.tag)
+    for e, p in enumerate(page.parent):
+        inside[e] = e == box or (p >= 0 and inside[p] and e not in others)
+    whole = box < 0 or page.tag[box] in ("body", "html")
     blocks: dict[int, list[str]] = {}
-    whole = all(e[1] not in ("body", "html") for e in boxes) and bool(boxes)
-    first, last = nodes[chosen[0]].block, nodes[chosen[-1]].block
-    for n in nodes:
-        if boxes and not any(e in n.chain for e in boxes):
-            continue
-        # the page itself is the container: links alone before or after the text are menus
-        if whole or not linked.get(n.group) or first <= n.block <= last or _within(n, _HEADING):
-            blocks.setdefault(n.block, []).append(n.text)
+    first, last = (nodes[needed[0]][1], nodes[needed[-1]][1]) if whole else (0, 0)
+    for e, block, _, raw in nodes:
+        if (box < 0 or (e >= 0 and inside[e])) and (not whole or first <= block <= last):
+            blocks.setdefault(block, []).append(raw)
     texts = (" ".join("".join(b).split()) for _, b in sorted(blocks.items()))
     return " ".join(t for t in texts if t)
 
