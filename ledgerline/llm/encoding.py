@@ -30,6 +30,10 @@ _SPACE = r" \t\n\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3
 _CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _BORDER = re.compile(f"(?<=[^{_SPACE}])[{_SPACE}]")
 _ODD = re.compile(r"[\x1c-\x1f]")
+# letters that stay letters in lower case, then at most one run of one mark: one
+# or two words to a vocabulary that drops white space
+_PLAIN = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+[.,!?;:]?")
+_MARKS = frozenset(".,!?;:")
 _WHITE = frozenset(" \t\n\x0b\x0c\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000"
                    + "".join(map(chr, range(0x2000, 0x200B))))
 
@@ -54,6 +58,7 @@ class ChunkEncoder:
         added = self.tokenizer.get_added_tokens_decoder()
         self.marker_id, self.marker = next(((i, t.content) for i, t in sorted(added.items())), (None, None))
         self.sizes = self.byte_sizes()
+        self.word_end = self._word_ends()
         self.spelled = re.compile("|".join(re.escape(t.content) for t in added.values()) or r"(?!)")
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -75,6 +80,14 @@ class ChunkEncoder:
                 bytes_before = np.cumsum(self.sizes[ids])
                 ends = np.searchsorted(bytes_before, np.cumsum([len(c.encode()) for c in joined])) + 1
                 self._cut(out, joined, ids, ends, 0)
+        elif self.word_end is not None:  # plain words make a text: cut its ids after the words' last tokens
+            plain = list(filter(_PLAIN.fullmatch, chunks))
+            if plain:
+                chunks = list(set(chunks).difference(plain))
+                ids = self.whole([" ".join(plain)])[0]
+                last = np.flatnonzero(self.word_end[ids])
+                ends = last[np.cumsum([2 if c[-1] in _MARKS else 1 for c in plain]) - 1] + 1
+                self._cut(out, plain, ids, ends, 0)
         if chunks:
             ids = self.whole([self.marker.join(chunks)])[0]
             self._cut(out, chunks, ids, np.append(np.flatnonzero(ids == self.marker_id), len(ids)), 4)
@@ -106,7 +119,7 @@ class ChunkEncoder:
         seen: set[str] = set()
         for p in pieces:
             seen.update(p)
-        lacking = [c for c in seen if c not in known]
+        lacking = list(seen.difference(known))
         if lacking:
             found = self._learn(lacking)
             long = [c for c in lacking if len(c) > MEMO_CHARS]
@@ -115,7 +128,7 @@ class ChunkEncoder:
                 for c in long:
                     del found[c]
             self.memo.update(found)
-        return [b"".join([known[c] for c in p]) for p in pieces]
+        return [b"".join(map(known.__getitem__, p)) for p in pieces]
 
     def _batch(self, texts: list[str]) -> Iterator[tuple[str, np.ndarray]]:
         if len(texts) == 1 and len(texts[0]) > BATCH_CHARS and self._whole_only(texts[0]) is False:
@@ -147,6 +160,19 @@ class ChunkEncoder:
         if held:
             yield from self._batch(held)
 
+    def _word_ends(self) -> np.ndarray | None:
+        """Which ids end a word, if the vocabulary marks that."""
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if not suffix:
+            return None
+        out = np.zeros(len(self.sizes), dtype=bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            out[i] = token.endswith(suffix)
+        return out
+
+    def encode_ordinary(self, text: str) -> list[int]:
+        return self.whole([text])[0].tolist()
+
     def byte_sizes(self) -> np.ndarray:
         """UTF-8 bytes of every id's token in a byte-level vocabulary: an entry
         spells each byte as one character, an added token its own spelling."""
