@@ -25,10 +25,8 @@ empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,61 +34,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import cut, sized, staged, table
+from ledgerline.llm.encoding import ChunkEncoder, chunk_encoder, public_path
 
 CAPACITY = 2048
 END_ID = 0
 #: Pieces a bucket holds on average once there are enough of them.
 BUCKET_ROWS = 50_000
-#: Texts that go to the encoder at once (a longer text goes alone, never cut).
-BATCH_ROWS = 64
-BATCH_CHARS = 1 << 20
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
-    import public_tokenizers
-    return public_tokenizers.path(name)
-
-
-class Encoder:
-    """The byte-level BPE of a `tokenizers` file. The spelling of an added
-    token (the end marker) in a text is that token, as the library gives it."""
-
-    def __init__(self, path: str):
-        # a Spark task has one core; the library reads this at every call
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-
-    def column(self, col: pa.Array) -> Iterator[tuple[str, np.ndarray]]:
-        """(text, ids) of every row, encoded in bounded batches; null is empty."""
-        held: list[str] = []
-        chars = 0
-        for r, x in enumerate(col):
-            held.append(x.as_py() or "")
-            chars += len(held[-1])
-            if chars >= BATCH_CHARS or len(held) >= BATCH_ROWS or r == len(col) - 1:
-                for text, e in zip(held, self.tokenizer.encode_batch_fast(held, add_special_tokens=False)):
-                    yield text, np.array(e.ids, dtype="<u4")
-                held, chars = [], 0
-
-    def encode_ordinary(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def byte_sizes(self) -> np.ndarray:
-        """UTF-8 bytes of every id's token: a vocabulary entry spells each byte
-        as one character, an added token stands for its own spelling."""
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        sizes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
-        for token, i in vocab.items():
-            sizes[i] = len(token)
-        for i, token in self.tokenizer.get_added_tokens_decoder().items():
-            sizes[i] = len(token.content.encode())
-        return sizes
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return public_path(name)
+
+
+def encoder(path: str) -> ChunkEncoder:
+    return chunk_encoder(path)
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,

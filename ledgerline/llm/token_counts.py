@@ -76,7 +76,7 @@ def section_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = encoder(vocabulary or public_vocabulary())
-        sizes = encoding.byte_sizes()
+        sizes = encoding.sizes
         for b in batches:
             rows, parts = [], []
             for r, (text, ids) in enumerate(encoding.column(b.column(1))):
