@@ -13,11 +13,10 @@ size and the excess is shared again by weight until none is above.
 
 A source's stream repeats its documents in the order of a hash of id and text.
 Running totals are built in two levels (hash bucket, then inside a bucket), so
-that a source with a third of all rows is spread over ``buckets`` groups. The
-document at the end of a stream counts with the words that are still wanted,
-so each source's words meet its target to the word; with ``whole`` (the
-pipeline) it is taken as a whole if its middle lies before the end, so each
-source's words are within half a document of its target.
+that a source with a third of all rows is spread over ``buckets`` groups. A pass
+takes a whole document if the document's middle lies before the end of the
+stream, else nothing of it, so each source's words are within half a document
+of its target.
 
 DataFrame functions only: no Python code runs on rows.
 
@@ -102,11 +101,10 @@ def order_key(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> C
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: Sequence[float] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS,
-        schedules: Sequence[Sequence[float]] = SCHEDULES, whole: bool = False) -> DataFrame:
+        schedules: Sequence[Sequence[float]] = SCHEDULES) -> DataFrame:
     """One row per row of ``docs``: id, key (order in the source), size,
     source, source_size, target, taken, takes (words taken by each pass over
-    the source) and positions (training time of each pass), both arrays.
-    ``whole``: a pass takes all of a document or nothing."""
+    the source) and positions (training time of each pass), both arrays."""
     t = F.coalesce(docs[text_col], F.lit(""))
     rows = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"),
                        F.regexp_count(t, F.lit(WORD_RE)).cast("long").alias("size"),
@@ -135,10 +133,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     passes = F.sequence(F.lit(0), F.lit(int(-(-max_epochs // 1)) - 1))
     # pass k covers stream tokens [k * source_size + start, ... + size); the stream ends at the target
     left = lambda k: wanted - k.cast("long") * F.col("source_size") - F.col("start")
-    if whole:  # the document's middle lies before the end
-        takes = F.transform(passes, lambda k: F.when(F.col("size") < 2 * left(k), F.col("size")).otherwise(F.lit(0)))
-    else:
-        takes = F.transform(passes, lambda k: F.greatest(F.lit(0), F.least(F.col("size"), left(k))))
+    takes = F.transform(passes, lambda k: F.when(F.col("size") < 2 * left(k), F.col("size")).otherwise(F.lit(0)))
     placed = placed.withColumn("takes", F.filter(takes, lambda x: x > 0))
     curve = F.element_at(F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in schedules]),
                          (F.col("nr") % len(schedules) + 1).cast("int"))
@@ -153,26 +148,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    source_col: str = "source", whole: bool = False) -> DataFrame:
-    """The training order: a row of ``docs`` for every time it is taken,
-    range-sorted by position. ``whole``: every row has its document's text;
-    else the one at the end of a source's stream keeps the words that are
-    still wanted, joined by one space."""
+                    source_col: str = "source") -> DataFrame:
+    """The training order: a row of ``docs``, with its whole text, for every
+    time it is taken, range-sorted by position."""
     row, take, pos = fresh(docs, "row_key"), fresh(docs, "take"), fresh(docs, "position")
-    plan = mix(docs, id_col, text_col, source_col, whole=whole).filter("taken > 0")
+    plan = mix(docs, id_col, text_col, source_col).filter("taken > 0")
     # repeated rows are one document that is taken as often as all of them
     plan = staged(plan.groupBy(F.col("id").alias("m_id"), F.col("key").alias("m_key")).agg(
         F.flatten(F.collect_list(F.arrays_zip("takes", "positions"))).alias("m_takes"),
-        F.max("size").alias("m_size"), F.count("*").alias("m_rows")), "mix-plan")
+        F.count("*").alias("m_rows")), "mix-plan")
     keyed = docs.withColumn(row, order_key(docs, id_col, text_col, source_col))
     twice = cut(plan.filter("m_rows > 1").select(F.col("m_id").alias("t_id"), F.col("m_key").alias("t_key")))
     keyed = keep_one(keyed, twice, {id_col: "t_id", row: "t_key"})
     met = keyed[id_col].eqNullSafe(F.col("m_id")) & (keyed[row] == F.col("m_key"))
     each = keyed.join(plan, met).withColumn(take, F.explode("m_takes"))
-    if not whole:
-        words = F.concat_ws(" ", F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD_RE), F.lit(0)), F.lit(1),
-                                         F.col(take)["takes"].cast("int")))
-        each = each.withColumn(text_col, F.when(F.col(take)["takes"] < F.col("m_size"), words).otherwise(F.col(text_col)))
     each = each.withColumn(pos, F.col(take)["positions"])
     return each.select(*docs.columns, pos).orderBy(pos, id_col).select(*docs.columns)
 
@@ -209,7 +198,8 @@ p AS (
                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 k AS (
-  SELECT *, greatest(0, least(size, wanted - start)) AS t0, greatest(0, least(size, wanted - source_size - start)) AS t1
+  SELECT *, CASE WHEN size < 2 * (wanted - start) THEN size ELSE 0 END AS t0,
+         CASE WHEN size < 2 * (wanted - source_size - start) THEN size ELSE 0 END AS t1
   FROM p),
 f AS (
   SELECT *, [[1.5, 1.0, 0.5], [1.0, 1.0, 1.0], [0.5, 1.0, 1.5]][nr % 3 + 1]::DOUBLE[] AS q,
