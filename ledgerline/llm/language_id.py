@@ -3,8 +3,9 @@
 Training: byte trigrams (lower case, centred on every letter byte, so word
 edges count) of labelled documents are counted per language into ``DIM`` hash
 buckets, on the executors, and summed by one aggregation. The labelled sample
-is bounded: about ``TRAIN_ROWS`` documents a language, chosen by a hash of the
-text (all of them if there are fewer). The model is languages x DIM floats.
+is bounded: about ``TRAIN_ROWS`` distinct texts a language, chosen by a hash of
+the text (all of them if there are fewer, one at least). The model is languages
+x DIM floats.
 
 Prediction, on whole texts: a word's likelihood under a language is the
 product of its trigram probabilities. A document is a mixture: expectation
@@ -12,7 +13,9 @@ maximisation over its words estimates each language's proportion. The set of
 languages is selected by penalised likelihood (log likelihood minus ``PENALTY``
 times the number of languages times log of the number of words), dropping the
 language of the smallest proportion in turn. The prediction is the language of
-the largest proportion in the selected set, the score that proportion.
+the largest proportion in the selected set, the score that proportion; for a set
+of one language, where it would always be 1, the score is the language's
+proportion in the mixture of all languages.
 
 Defined results: `und` with score 0 if the text is null, has no letter or no
 language was learned; ties go to the language first by code point. Null ids
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ledgerline.llm import common as K
-from ledgerline.llm.common import cut, fresh, table
+from ledgerline.llm.common import cut, fresh, staged, table
 
 DIM = 1 << 16
 #: Bound of the labelled sample: documents a language, on average.
@@ -77,12 +80,18 @@ def grams(data: np.ndarray, offs: np.ndarray):
 
 
 def _sampled(docs: DataFrame, text: Column, lang: Column, train_rows: int) -> DataFrame:
-    """About ``train_rows`` labelled texts a language."""
-    rows = docs.select(text.alias("text"), lang.alias("lang")).filter("lang is not null and text is not null")
-    share = cut(rows.groupBy("lang").agg(F.count("*").alias("n")).select(
-        F.col("lang").alias("s_lang"), (F.lit(float(train_rows)) / F.col("n")).alias("share")))
-    unit = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.join(K.sized(share), F.col("lang") == F.col("s_lang")).filter(unit < F.col("share")).select("lang", "text")
+    """About ``train_rows`` distinct labelled texts a language, one at least.
+    Which ones is decided on hashes; only their texts are brought together."""
+    rows = docs.select(text.alias("text"), lang.alias("lang")).filter("lang is not null and text is not null").withColumn(
+        "h", F.xxhash64("text"))
+    texts = staged(rows.select("lang", "h").distinct(), "lang-texts")
+    unit = F.pmod(F.xxhash64("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    share = texts.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.struct(unit.alias("u"), "h"))["h"].alias("first")).select(
+        F.col("lang").alias("s_lang"), (F.lit(float(train_rows)) / F.col("n")).alias("share"), "first")
+    picked = cut(texts.join(K.sized(cut(share)), F.col("lang") == F.col("s_lang")).filter(
+        (unit < F.col("share")) | (F.col("h") == F.col("first"))).select(F.col("lang").alias("p_lang"), F.col("h").alias("p_h")))
+    found = rows.join(K.sized(picked), (F.col("lang") == F.col("p_lang")) & (F.col("h") == F.col("p_h")))
+    return found.groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",

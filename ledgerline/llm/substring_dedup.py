@@ -46,6 +46,8 @@ _BASE2 = 0xD1342543DE82EF95
 _LOW = np.uint64(0xFFFFFF)  # positions inside a slice, under the anchor hashes
 #: Null ids as the largest id.
 NO_ID = (1 << 63) - 1
+#: Ids of documents stay at or below this; numbers above it stand for null ids.
+FLOOR = NO_ID - (1 << 40)
 
 
 def stretches(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, k: int = SEED_WORDS):
@@ -197,7 +199,11 @@ def cleaned(docs: DataFrame, length: int = LENGTH, k: int = SEED_WORDS) -> DataF
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
                    k: int = SEED_WORDS) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_removed, kept_sha256, spans."""
-    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"),
+    # rows without id stand behind all others, each text under a number of its own; FLOOR is
+    # their common rank, so none of them counts as smaller than another
+    text = F.coalesce(docs[text_col], F.lit(""))
+    spread = F.lit(NO_ID) - F.pmod(F.xxhash64(text), F.lit(NO_ID - FLOOR))
+    rows = docs.select(F.coalesce(docs[id_col].cast("long"), spread).alias("id"),
                        F.coalesce(docs[text_col], F.lit("")).alias("text"))
     found = staged(seeds(rows, length, k), "sub-seeds")
     content = found.groupBy("anchor", "c1", "c2").agg(F.min("id").alias("least"), F.count("*").alias("n"))
@@ -206,10 +212,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     many = content.filter("n > 1").select(F.col("anchor").alias("m_anchor"), F.col("c1").alias("m1"),
                                           F.col("c2").alias("m2"), "least")
     whole = found.join(many, (F.col("anchor") == F.col("m_anchor")) & (F.col("c1") == F.col("m1"))
-                       & (F.col("c2") == F.col("m2")) & (F.col("least") < F.col("id"))).select("id", "c1")
+                       & (F.col("c2") == F.col("m2")) & (F.col("least") < F.least("id", F.lit(FLOOR)))).select("id", "c1")
     # anchors with several contents: their first documents are compared window by window
     open_ = content.groupBy("anchor").agg(F.count("*").alias("contents"), F.min("least").alias("lo"),
-                                          F.max("least").alias("hi")).filter("contents > 1 and lo < hi")
+                                          F.max("least").alias("hi")).filter(
+        (F.col("contents") > 1) & (F.col("lo") < F.least("hi", F.lit(FLOOR))))
     open_ = staged(open_.select(F.col("anchor").alias("o_anchor")), "sub-open")
     want = staged(content.join(open_, F.col("anchor") == F.col("o_anchor")).groupBy(F.col("least").alias("w_id")).agg(
         F.collect_set("anchor").alias("anchors")), "sub-want")
@@ -217,10 +224,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     win = staged(windows(some.join(want, F.col("id") == F.col("w_id")).select("id", "text", "anchors"), length, k),
                  "sub-windows")
     least = win.groupBy(F.col("anchor").alias("l_anchor"), F.col("w1").alias("l1"), F.col("w2").alias("l2")).agg(
-        F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").drop("most")
+        F.min("id").alias("least"), F.max("id").alias("most")).filter(
+        F.col("least") < F.least("most", F.lit(FLOOR))).drop("most")
     least = staged(least, "sub-least")
     part = win.join(least, (F.col("anchor") == F.col("l_anchor")) & (F.col("w1") == F.col("l1"))
-                    & (F.col("w2") == F.col("l2")) & (F.col("least") < F.col("id"))).select("id", "w1")
+                    & (F.col("w2") == F.col("l2")) & (F.col("least") < F.least("id", F.lit(FLOOR)))).select("id", "w1")
     none = F.lit(None).cast("long")
     marks = whole.select("id", F.col("c1").alias("c"), none.alias("w")).union(
         part.select("id", none.alias("c"), F.col("w1").alias("w")))
@@ -234,7 +242,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rest = rows.join(ids, F.col("id") == F.col("k_id"), "left_anti").select(
         "id", "text", empty.alias("contents"), empty.alias("wins"))
     out = cleaned(hit.unionByName(rest), length, k)
-    return out.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id")))
+    return out.withColumn("id", F.when(F.col("id") <= FLOOR, F.col("id")))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

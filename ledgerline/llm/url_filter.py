@@ -70,10 +70,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     lengths = known.select(F.col("path_len").alias("cut")).distinct()
 
     urls = rows.filter("host <> ''").select("host", "path").distinct()
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(
-        F.slice(labels, i, F.size(labels)), "."))
-    hosts = urls.select("host").distinct().withColumn("x_host", F.explode(F.array_distinct(suffixes)))
+    # suffixes of as many labels as some rule's host has
+    sizes = rules.select(F.size(F.split("rule_host", r"\.")).alias("n")).agg(F.collect_set("n").alias("sizes"))
+    hosts = urls.select("host").distinct().withColumn("labels", F.split("host", r"\.")).crossJoin(F.broadcast(sizes))
+    suffixes = F.transform(F.filter("sizes", lambda n: n <= F.size("labels")), lambda n: F.array_join(
+        F.slice("labels", F.size("labels") - n + 1, n), "."))
+    hosts = hosts.select("host", F.explode(F.array_distinct(suffixes)).alias("x_host"))
     # hosts that no rule can fit leave before their paths are expanded
     rule_hosts = staged(rules.select(F.sha2("rule_host", 256).alias("r_host")).distinct(), "url-rule-hosts")
     hosts = hosts.withColumn("h_digest", F.sha2("x_host", 256))

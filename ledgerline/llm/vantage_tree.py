@@ -206,41 +206,44 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
         sets.setdefault(len(v), []).append((c, v))
     cells = {dim: (np.array([c for c, _ in s]), np.array([v for _, v in s])) for dim, s in sets.items()}
 
-    def to_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All pivots' distances; a dimension without a pivot has a cell of its own (negative)."""
+    def to_pivots(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
+        """The nearest pivot's cell and distance, with ``every`` those of all
+        pivots; a dimension without a pivot has a cell of its own (negative)."""
         for b in batches:
             lens = pa.compute.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
             for dim in np.unique(lens).tolist():
                 part = b.filter(pa.array(lens == dim))
+                cell, d = np.array([-dim]), np.zeros((part.num_rows, 1))
                 if dim in cells:
                     cell, p = cells[dim]
                     d = distances(_matrix(part.column(1)), p)
-                    own, dist = cell[d.argmin(axis=1)], d.min(axis=1)
-                    ds = pa.array([[{"cell": int(c), "d": float(x)} for c, x in zip(cell, r)] for r in d],
-                                  pa.list_(pa.struct([("cell", pa.int32()), ("d", pa.float64())])))
-                else:
-                    own, dist = np.full(part.num_rows, -dim), np.zeros(part.num_rows)
-                    ds = pa.array([[{"cell": -dim, "d": 0.0}]] * part.num_rows,
-                                  pa.list_(pa.struct([("cell", pa.int32()), ("d", pa.float64())])))
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(own.astype(np.int32)), pa.array(dist), ds], names=["id", "vec", "cell", "d", "ds"])
-    schema = "id long, vec array<double>, cell int, d double, ds array<struct<cell:int,d:double>>"
-    placed = staged(rows.mapInArrow(to_pivots, schema).drop("ds"), "vp-placed")
+                cols = [pa.array(cell[d.argmin(axis=1)].astype(np.int32)), pa.array(d.min(axis=1))]
+                if every:
+                    at = pa.array(np.arange(0, d.size + 1, len(cell), dtype=np.int32))
+                    cols += [pa.ListArray.from_arrays(at, pa.array(np.tile(cell, len(d)).astype(np.int32))),
+                             pa.ListArray.from_arrays(at, pa.array(d.ravel()))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=["id", "vec", "cell", "d", "cells", "ds"][:2 + len(cols)])
+    schema = "id long, vec array<double>, cell int, d double"
+    placed = staged(rows.mapInArrow(lambda b: to_pivots(b, False), schema), "vp-placed")
     stats = staged(placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("d").alias("r0"), F.max("d").alias("r1")), "vp-cells")
     subs = stats.select(F.col("cell").alias("s_cell"), F.ceil(F.col("n") / shard_rows).cast("long").alias("subs"))
-    shards = placed.join(F.broadcast(subs), F.col("cell") == F.col("s_cell")).select(
+    shards = placed.join(sized(subs), F.col("cell") == F.col("s_cell")).select(
         "cell", F.pmod(F.xxhash64("id"), F.col("subs")).cast("int").alias("sub"), "id", "vec")
     index = staged(shards.groupBy("cell", "sub").applyInArrow(_build_shard, INDEX_SCHEMA), "vp-index")
 
-    asked = staged(valid(queries).mapInArrow(to_pivots, schema), "vp-queries")
+    asked = staged(valid(queries).mapInArrow(lambda b: to_pivots(b, True), schema + ", cells array<int>, ds array<double>"),
+                   "vp-queries")
     home = _searched(index, asked.select("cell", F.col("id").alias("query_id"), F.col("vec").alias("qv"),
                                          F.lit(float("inf")).alias("bound")), k, factor)
     home = staged(home, "vp-home")
-    bound = home.groupBy("query_id").agg(F.sort_array(F.collect_list("score")).alias("s")).select(
-        "query_id", F.when(F.size("s") >= k, F.get("s", F.lit(k - 1))).otherwise(F.lit(float("inf"))).alias("bound"))
-    far = asked.select(F.col("id").alias("query_id"), F.col("vec").alias("qv"), F.col("cell").alias("own"), F.explode("ds").alias("p"))
-    far = far.select("query_id", "qv", "own", F.col("p.cell").alias("cell"), F.col("p.d").alias("d")).filter("cell <> own")
-    far = far.join(F.broadcast(stats), "cell").join(bound, "query_id", "left")
+    # the k-th score of what a query found at home; each task keeps k a query before the exchange
+    nth = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    bound = home.withColumn("r", F.row_number().over(nth)).filter(F.col("r") <= k).filter(F.col("r") == k).select(
+        "query_id", F.col("score").alias("bound"))
+    far = asked.select(F.col("id").alias("query_id"), F.col("vec").alias("qv"), F.col("cell").alias("own"),
+                       F.explode(F.arrays_zip("cells", "ds")).alias("p"))
+    far = far.select("query_id", "qv", "own", F.col("p.cells").alias("cell"), F.col("p.ds").alias("d")).filter("cell <> own")
+    far = far.join(sized(stats), "cell").join(bound, "query_id", "left")
     bound_col = F.coalesce("bound", F.lit(float("inf")))
     low = F.greatest(F.col("d") - F.col("r1"), F.col("r0") - F.col("d"), F.lit(0.0))
     far = far.filter(low * factor <= bound_col * (1 + 1e-9) + 1e-12).select("cell", "query_id", "qv", bound_col.alias("bound"))
