@@ -14,6 +14,9 @@ from ledgerline.functions.text import sql_btrim_blank
 
 BATCH = "BATCH"  # ledger event carrying counters of committed rows
 PURGED = "PURGED"  # ledger event that ends a job: earlier events no longer count
+IO_FAULT = "IO_FAULT"  # ledger event of an attempt that could not read its file
+#: Events that say nothing about a job's status.
+NOT_STATUS = (BATCH, PURGED, IO_FAULT)
 
 
 def is_terminal(status: Column) -> Column:
@@ -53,7 +56,7 @@ def current_jobs(events: DataFrame) -> DataFrame:
     # wins among terminals, the latest event among the others
     order = F.struct(F.when(term, 1).otherwise(0).alias("t"),
                      F.when(term, -F.col("seq")).otherwise(F.col("seq")).alias("s"))
-    jobs = events.withColumn("_is_status", F.col("status") != F.lit(BATCH)).groupBy("import_id").agg(
+    jobs = events.withColumn("_is_status", ~F.col("status").isin(*NOT_STATUS)).groupBy("import_id").agg(
         F.max_by(F.struct("status", "failure_reason"),
                  F.when(F.col("_is_status"), order)).alias("_last"),
         F.sum(F.col("accepted_rows")).alias("accepted_rows"),
@@ -212,7 +215,7 @@ def transition_audit(events: DataFrame) -> DataFrame:
     status history, ordered by seq); the first must be RECEIVED; terminal is
     sticky. One row per import with counts and the first illegal step."""
     from pyspark.sql import Window
-    st = events.filter(F.col("status") != F.lit(BATCH)).select("import_id", "seq", "status")
+    st = events.filter(~F.col("status").isin(*NOT_STATUS)).select("import_id", "seq", "status")
     w = Window.partitionBy("import_id").orderBy("seq")
     prev = F.lag("status").over(w)
     legal = F.lit(False)

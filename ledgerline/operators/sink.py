@@ -1,9 +1,5 @@
-"""Idempotent sinks (K1–K5, J2, W3) and committed-snapshot readers.
-
-Layout under a storage root (Parquet, partitioned by ``import_id`` and
-``attempt``): ``transactions/``, ``errors/``, ``ledger/``. Data is written
-first; a ledger row naming the attempt is appended last and is the commit
-point. Readers only see attempts that the ledger names.
+"""Idempotent sinks (K1–K5, J2, W3). Data is written first, into a folder of
+its attempt; a commit that names its files is appended last (``plans/store``).
 """
 
 from __future__ import annotations
@@ -46,8 +42,8 @@ def new_rows(batch: DataFrame, stored: DataFrame | None, key: list[str]) -> Data
     return batch.join(stored.select(*key), key, "left_anti")
 
 
-def append_partitioned(df: DataFrame, path: str, sort_cols: list[str]) -> None:
-    """Append under import_id/attempt folders with no shuffle.
+def append_attempt(df: DataFrame, path: str, attempt: str, sort_cols: list[str]) -> None:
+    """Write an attempt's rows under attempt/import_id folders with no shuffle.
 
     Upstream tasks are scan splits — contiguous ranges of one file — so a
     huge import is already spread over many tasks and each task's rows are
@@ -55,14 +51,4 @@ def append_partitioned(df: DataFrame, path: str, sort_cols: list[str]) -> None:
     (row-group min/max skipping for keyset reads) and one file per import per
     task."""
     (df.sortWithinPartitions("import_id", *sort_cols)
-       .write.mode("append").partitionBy("import_id", "attempt").parquet(path))
-
-
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
-
-
-def broadcast_if_small(df: DataFrame, n_rows: int, row_bytes: int) -> DataFrame:
-    """Broadcast a driver-built table only behind its known size (rows are
-    counted on the driver when it is built); otherwise leave the join
-    strategy to Catalyst/AQE."""
-    return F.broadcast(df) if n_rows * row_bytes <= BROADCAST_LIMIT_BYTES else df
+       .write.mode("append").partitionBy("import_id").parquet(os.path.join(path, f"attempt={attempt}")))

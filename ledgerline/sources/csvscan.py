@@ -3,8 +3,9 @@
 Pipeline (all DataFrame ops, no driver loops over data):
 
 1. :func:`manifest` — file admission from file metadata only (content pruned).
-2. :func:`scan_lines` — `spark.read.text` over all admitted files, tagged with
-   ``_metadata.file_path``/``file_block_start`` and
+2. :func:`scan_lines` — `spark.read.text` over all admitted files, split at LF
+   only, tagged with ``_metadata.file_path``/``file_block_start``. A line keeps
+   its separator (LF, CRLF, or a lone CR at which it is split further) and gets
    ``monotonically_increasing_id()``. Rows of one (file, block) are contiguous
    in one task, so ``mid - min(mid)`` numbers lines inside the block; a tiny
    per-block summary (one row per input split) gives block offsets.
@@ -15,14 +16,15 @@ Pipeline (all DataFrame ops, no driver loops over data):
    per-block summary composes blocks, and only records that straddle lines are
    grouped and concatenated.
 5. :func:`file_verdicts` — first faulty record per file (UTF-8, oversize,
-   syntax; header first) and the committed-prefix cut.
+   syntax; header first) and the committed-prefix cut. The bytes of a file's
+   lines must add up to its size; a file that could not be read to its end is an
+   I/O fault of that file alone, apart from its content.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from urllib.parse import quote, unquote
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -64,22 +66,23 @@ def manifest(spark: SparkSession, paths: list[str] | str, recursive: bool = True
     """List files with metadata only and decide admission.
 
     ``binaryFile`` prunes the content column when it is not selected, so this
-    reads no file bytes. The listing (one row per file, which the driver's
-    file index holds anyway) is taken once; 0-byte files, which yield no
-    split and so no row, come from the same file index."""
+    reads no file bytes. 0-byte files, which yield no split and so no row, come
+    from the names in the same file index."""
     reader = spark.read.format("binaryFile")
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
     src = reader.load(paths)
-    listed = [(r["path"], int(r["length"]), r["modificationTime"])
-              for r in src.select("path", "length", "modificationTime").collect()]
-    norm = lambda u: re.sub(r"^file:/+", "file:/", u)
-    seen = {norm(p) for p, _, _ in listed}
-    # inputFiles() are encoded URIs, the listing's paths are plain: one spelling for both
-    listed += [(u, 0, None) for u in sorted({norm(unquote(u)) for u in src.inputFiles()} - seen)]
-    files = spark.createDataFrame([(norm(p), n, t) for p, n, t in listed],
-                                  "path string, length long, modificationTime timestamp")
-    name =F.element_at(F.split(F.col("path"), "/"), -1)
+    plain = F.regexp_replace("path", "^file:/+", "file:/")
+    listed = src.select(plain.alias("path"), "length", F.col("modificationTime").alias("modification_time"))
+    # the index's names are encoded URIs, the rows' paths are plain: one spelling for both
+    names = spark._jvm.org.apache.hadoop.util.StringUtils.join("\0", src._jdf.inputFiles())
+    uri = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
+    index = (spark.createDataFrame([(names,)], "names string").select(F.explode(F.split("names", "\0")).alias("path"))
+             .select(F.regexp_replace(uri, "^file:/+", "file:/").alias("path")).filter("path <> ''").distinct())
+    empty = index.join(listed, "path", "left_anti").select(
+        "path", F.lit(0).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modification_time"))
+    files = listed.unionByName(empty)
+    name = F.element_at(F.split(F.col("path"), "/"), -1)
     norm_name = F.lower(F.trim(name))
     refusal = (F.when((F.length(F.trim(name)) == 0) | ~norm_name.endswith(".csv"), F.lit(C.FILE_REFUSED_NAME))
                .when(F.col("length") <= 0, F.lit(C.FILE_REFUSED_EMPTY)))
@@ -87,28 +90,52 @@ def manifest(spark: SparkSession, paths: list[str] | str, recursive: bool = True
         "path",
         name.alias("original_filename"),
         F.col("length").alias("file_size"),
-        F.col("modificationTime").alias("modification_time"),
-        import_id_for(F.col("path"), F.col("modificationTime")).alias("import_id"),
+        "modification_time",
+        import_id_for(F.col("path"), F.col("modification_time")).alias("import_id"),
         refusal.alias("refusal"),
         refusal.isNull().alias("admitted"),
     )
 
 
 def _bom_probe(batches):
-    """First three bytes of each file (executor-side, one small read per file)."""
+    """First three bytes of each file (executor-side, one small read per
+    file); null if it cannot be read, which its byte count will show."""
     import pandas as pd
     import pyarrow.fs as pafs
     for pdf in batches:
         flags = []
         for p in pdf["path"]:
-            # a store that cannot be opened is an error: the verdict must not depend on it
+            if p.startswith(("file:", "/")):
+                fs, rel = pafs.LocalFileSystem(), re.sub(r"^file:/+", "/", p)
+            else:  # a store that cannot be opened is an error: the verdict must not depend on it
+                fs, rel = pafs.FileSystem.from_uri(quote(p, safe=":/@"))
+            try:
+                with fs.open_input_stream(rel) as f:
+                    flags.append(f.read(3) == b"\xef\xbb\xbf")
+            except OSError:
+                flags.append(None)
+        yield pd.DataFrame({"path": pdf["path"], "bom": pd.array(flags, dtype="boolean")})
+
+
+def _delete_files(batches):
+    """Executor-side removal of one file per row; a missing one is no error."""
+    import pyarrow.fs as pafs
+    for pdf in batches:
+        for p in pdf["path"]:
             if p.startswith(("file:", "/")):
                 fs, rel = pafs.LocalFileSystem(), re.sub(r"^file:/+", "/", p)
             else:
                 fs, rel = pafs.FileSystem.from_uri(quote(p, safe=":/@"))
-            with fs.open_input_stream(rel) as f:
-                flags.append(f.read(3) == b"\xef\xbb\xbf")
-        yield pd.DataFrame({"path": pdf["path"], "bom": flags})
+            try:
+                fs.delete_file(rel)
+            except FileNotFoundError:
+                pass
+        yield pdf
+
+
+def delete_files(paths: DataFrame) -> None:
+    """K6: remove consumed input files."""
+    paths.select("path").mapInPandas(_delete_files, "path string").write.format("noop").mode("overwrite").save()
 
 
 def bom_flags(files: DataFrame) -> DataFrame:
@@ -117,59 +144,41 @@ def bom_flags(files: DataFrame) -> DataFrame:
     return files.select("path").mapInPandas(_bom_probe, "path string, bom boolean")
 
 
-def max_split_bytes(spark: SparkSession, total_bytes: int, n_files: int) -> int:
-    """Spark's FilePartition split size for this listing."""
-    conf = spark.conf
-    max_part = _bytes(conf.get("spark.sql.files.maxPartitionBytes", "128m"))
-    open_cost = _bytes(conf.get("spark.sql.files.openCostInBytes", "4m"))
-    try:
-        min_parts = int(conf.get("spark.sql.files.minPartitionNum"))
-    except Exception:
-        min_parts = spark.sparkContext.defaultParallelism
-    per_core = (total_bytes + n_files * open_cost) // max(1, min_parts)
-    return max(1, min(max_part, max(open_cost, per_core)))
-
-
-def _bytes(v: str) -> int:
-    s = str(v).strip().lower()
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-    for suffix in ("kb", "mb", "gb", "tb"):
-        if s.endswith(suffix):
-            s = s[:-1]
-    if s and s[-1] in units:
-        return int(float(s[:-1]) * units[s[-1]])
-    if s.endswith("b"):
-        s = s[:-1]
-    return int(s)
-
-
-def block_count_bound(spark: SparkSession, admitted: DataFrame) -> tuple[int, int]:
-    """Upper bound on per-block summary rows and on their bytes — from the
-    manifest (one small aggregate), never from the data."""
-    r = admitted.agg(F.count("*").alias("n"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("b"),
-                     F.coalesce(F.max(F.length("path")), F.lit(0)).alias("p")).first()
-    n, total, plen = int(r["n"]), int(r["b"]), int(r["p"])
-    if n == 0:
-        return 0, 0
-    split = max_split_bytes(spark, total, n)
-    blocks = n + math.ceil(total / split)
-    return blocks, blocks * (plen + 64)
-
-
 # --------------------------------------------------------------------------- S2/S6
-def scan_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Physical lines with file, block and a per-task ordinal.
-
-    The default line separator splits on LF, CRLF and lone CR — the same
-    record separators as the contract."""
-    names = [literal_path(p) for p in paths]
+def load_paths(spark: SparkSession, files: DataFrame):
+    """The files' paths as the reader takes them: Spark's file index lives in
+    the driver's JVM, and the names go there without passing through Python."""
+    literal = files.select(F.regexp_replace("path", r"([\\\[\]{}*?])", r"\\$1").alias("p"))
+    return getattr(literal._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING()).collect()
+
+
+def scan_lines(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """Physical lines with file, block, separator and a per-task ordinal.
+
+    LF, CRLF and lone CR end lines, as in the contract. The scan splits at LF
+    (so a split's border never falls into a CRLF); a line that holds lone CRs is
+    split at them here."""
+    reader = spark._jsparkSession.read().format("text").option("lineSep", "\n")
+    # a fault while reading ends that file's rows, not the run; the byte count tells
+    reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    text = DataFrame(reader.load(load_paths(spark, files)), spark)
     # the metadata column is an encoded URI; the manifest has plain paths ("+" is no space in a path)
     plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return (spark.read.format("text").load(names)
-            .select(F.col("value"),
-                    F.regexp_replace(plain, "^file:/+", "file:/").alias("path"),
-                    F.col("_metadata.file_block_start").alias("block"),
-                    F.monotonically_increasing_id().alias("mid")))
+    crlf = F.endswith("value", F.lit("\r"))
+    body = F.when(crlf, F.expr("left(value, char_length(value) - 1)")).otherwise(F.col("value"))
+    raw = text.select(F.regexp_replace(plain, "^file:/+", "file:/").alias("path"),
+                      F.col("_metadata.file_block_start").alias("block"),
+                      F.is_valid_utf8("value").alias("utf8_ok"),
+                      F.octet_length("value").alias("n_bytes"),
+                      F.when(crlf, F.lit("\r\n")).otherwise(F.lit("\n")).alias("last_sep"), body.alias("body"))
+    # an invalid line stays whole: splitting would repair its bytes
+    parts = F.when(F.col("utf8_ok") & F.contains("body", F.lit("\r")), F.split("body", "\r")).otherwise(F.array("body"))
+    lines = raw.select("path", "block", "utf8_ok", "last_sep", "n_bytes", F.size(parts).alias("n"),
+                       F.posexplode(parts).alias("k", "value"))
+    last = F.col("k") == F.col("n") - 1
+    return lines.select("value", F.when(last, F.col("last_sep")).otherwise(F.lit("\r")).alias("sep"), "path", "block",
+                        "utf8_ok", F.when(last, F.col("n_bytes") + 1).otherwise(0).alias("n_bytes"),
+                        F.monotonically_increasing_id().alias("mid"))
 
 
 def _line_facts(lines: DataFrame, max_chars: int) -> DataFrame:
@@ -177,8 +186,7 @@ def _line_facts(lines: DataFrame, max_chars: int) -> DataFrame:
     u16 = utf16_length(v)
     too_long = u16 > max_chars
     return lines.select(
-        "path", "block", "mid", "value",
-        F.is_valid_utf8(v).alias("utf8_ok"),
+        "path", "block", "mid", "value", "sep", "utf8_ok", "n_bytes",
         u16.alias("u16"),
         # length guard first: the regex never runs on an oversize line
         F.when(too_long, F.lit(False)).otherwise(CF.is_complete_record(v)).alias("complete"),
@@ -191,25 +199,17 @@ def block_summary(facts: DataFrame) -> DataFrame:
     per_block = facts.groupBy("path", "block").agg(
         F.min("mid").alias("min_mid"),
         F.count("*").alias("n_lines"),
+        F.sum("n_bytes").alias("n_bytes"),
         F.sum(F.when(F.col("complete"), 0).otherwise(1)).alias("n_incomplete"))
     w = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     wf = Window.partitionBy("path")
     return per_block.select(
-        "path", "block", "min_mid", "n_lines",
+        "path", "block", "min_mid", "n_lines", "n_bytes",
         F.coalesce(F.sum("n_lines").over(w), F.lit(0)).alias("line_offset"),
         (F.sum("n_incomplete").over(wf) > 0).alias("slow"),
     )
 
 
-# --------------------------------------------------------------------------- S5 fast
-def fast_records(numbered: DataFrame) -> DataFrame:
-    """Every line of the file is a complete record: record = line."""
-    return numbered.filter(~F.col("slow")).select(
-        "path", F.col("line_no").alias("record_no"),
-        F.when(F.col("u16") <= F.col("max_chars"), F.col("value")).alias("record"),
-        "utf8_ok", F.col("u16").alias("rec_len"), F.lit(False).alias("syntax_bad"))
-
-
 # --------------------------------------------------------------------------- S5 slow
 def _xor(a, b):
     return F.when(a == b, F.lit(0)).otherwise(F.lit(1))
@@ -255,7 +255,7 @@ def slow_records(numbered: DataFrame, bound_ok: bool, cut_path: str | None = Non
     guard = F.col("u16") > F.col("max_chars")
     carry = carry or []
     lines = numbered.filter(F.col("slow")).select(
-        "path", "block", "mid", "value", "utf8_ok", "u16", "max_chars", *carry,
+        "path", "block", "mid", "value", "sep", "utf8_ok", "u16", "max_chars", *carry,
         F.when(guard, F.lit(CF.ERR)).otherwise(CF.end_state_from_outside(v)).alias("a"),
         F.when(guard, F.lit(CF.ERR)).otherwise(CF.end_state_from_inside(v)).alias("b"))
     # ERR folds to "outside" for composition; states up to the first real
@@ -281,7 +281,7 @@ def slow_records(numbered: DataFrame, bound_ok: bool, cut_path: str | None = Non
     h1 = F.col("s_start") == 1
     st = F.when(h1, F.col("st1")).otherwise(F.col("st0"))
     lines = lines.select(
-        "path", "mid", "value", "utf8_ok", "u16", "max_chars", *carry,
+        "path", "mid", "value", "sep", "utf8_ok", "u16", "max_chars", *carry,
         st.alias("st"),
         F.when(st == 0, F.col("fa")).otherwise(F.col("fb")).alias("end"),
         (F.when(st == 0, F.col("a")).otherwise(F.col("b")) == CF.ERR).alias("err"),
@@ -296,8 +296,9 @@ def slow_records(numbered: DataFrame, bound_ok: bool, cut_path: str | None = Non
         "utf8_ok", F.col("u16").alias("rec_len"), F.col("err").alias("syntax_bad"), *carry,
         F.lit(True).alias("_single"))
     multi = lines.filter(~one_line)
+    # separators inside a record belong to it, the one that ends it does not
     facts = multi.groupBy("path", "record_no").agg(
-        (F.sum("u16") + F.count("*") - 1).alias("rec_len"),
+        (F.sum(F.col("u16") + F.length("sep")) - F.max_by(F.length("sep"), "mid")).alias("rec_len"),
         F.min(F.col("utf8_ok").cast("int")).alias("_u"),
         F.max(F.col("err").cast("int")).alias("_e"),
         F.max_by("end", "mid").alias("_last_end"),
@@ -310,8 +311,10 @@ def slow_records(numbered: DataFrame, bound_ok: bool, cut_path: str | None = Non
     small = facts.filter(F.col("rec_len") <= F.col("max_chars")).select("path", "record_no")
     text = (multi.join(small, ["path", "record_no"], "left_semi")
             .groupBy("path", "record_no")
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("mid", "value"))),
-                                          lambda x: x["value"]), "\n").alias("record")))
+            .agg(F.array_sort(F.collect_list(F.struct("mid", "value", "sep"))).alias("_l"))
+            .select("path", "record_no", F.concat(
+                F.array_join(F.transform(F.slice("_l", 1, F.size("_l") - 1), lambda x: F.concat(x["value"], x["sep"])), ""),
+                F.element_at("_l", -1)["value"]).alias("record")))
     carried_types = dict(numbered.dtypes)
     multi_rec = facts.join(text, ["path", "record_no"], "left").select(
         "path", "record_no", "record", "utf8_ok", "rec_len", "syntax_bad",
@@ -361,10 +364,12 @@ def record_faults(records: DataFrame) -> DataFrame:
                                                      "amount", "category")])
 
 
-def file_verdicts(spark: SparkSession, files: DataFrame, staged: DataFrame,
+def file_verdicts(spark: SparkSession, files: DataFrame, staged: DataFrame, read_bytes: DataFrame,
                   batch_size: int) -> DataFrame:
     """Per admitted file: first faulty record, its kind and message, counts of
-    records, and the committed-prefix cut (K5)."""
+    records, and the committed-prefix cut (K5). ``read_bytes`` (path, n_bytes)
+    counts the bytes of a file's lines; ``io_fault`` says that they are not the
+    file's (R4): then no other column is a statement about the file."""
     rank = F.element_at(F.create_map(*sum(([F.lit(k), F.lit(v)] for k, v in FAULT_RANK.items()), [])),
                         F.col("fault"))
     per_file = staged.groupBy("path").agg(
@@ -372,7 +377,12 @@ def file_verdicts(spark: SparkSession, files: DataFrame, staged: DataFrame,
                                                            F.col("fault").alias("kind")))).alias("ff"),
         F.max("record_no").alias("n_records"),
         F.max(F.when(F.col("record_no") == 1, F.col("record"))).alias("header_text"))
-    v = files.join(per_file, "path", "left").join(bom_flags(files), "path", "left")
+    v = files.join(per_file, "path", "left").join(bom_flags(files), "path", "left").join(
+        read_bytes.select("path", F.col("n_bytes").alias("_bytes")), "path", "left")
+    # every line is counted with a separator, which the last one may lack; a BOM is not counted
+    over = (F.coalesce(F.col("_bytes"), F.lit(0)) + F.when(F.col("bom"), F.lit(3)).otherwise(F.lit(0))
+            - F.col("file_size"))
+    io_fault = F.col("bom").isNull() | ~over.isin(0, 1)
     bom_hdr = F.coalesce(F.col("bom"), F.lit(False)) & ~F.coalesce(
         (F.col("ff.record_no") == 1) & (F.col("ff.rank") < FAULT_RANK[C.FILE_HEADER]), F.lit(False))
     v = v.withColumn("ff", F.when(bom_hdr, F.struct(F.lit(1).cast("long").alias("record_no"),
@@ -398,7 +408,7 @@ def file_verdicts(spark: SparkSession, files: DataFrame, staged: DataFrame,
     cut = F.when(bad_row.isNull(), F.lit(None).cast("long")).otherwise(
         F.floor((bad_row - 2) / B) * B + 2)
     return v.select(
-        "import_id", "path", "original_filename", "file_size", "modification_time", "max_chars",
+        *files.columns, io_fault.alias("io_fault"),
         fault_kind.alias("fault"), bad_row.alias("bad_record"),
         F.when(fault_kind.isNotNull(), bounded_failure_reason(msg)).alias("failure_reason"),
         F.greatest(F.when(bad_row.isNotNull(), cut).otherwise(F.coalesce(F.col("n_records"), F.lit(1)) + 1),
@@ -416,7 +426,7 @@ def stage_lines(lines: DataFrame, max_chars: int) -> DataFrame:
     with_raw = facts.withColumn("_raw", F.when(F.col("complete"), raw))
     classified = ladder.classify(with_raw, "_raw", quoted=True)
     return classified.select(
-        "path", "block", "mid", "value", "utf8_ok", "u16", "complete",
+        "path", "block", "mid", "value", "sep", "utf8_ok", "n_bytes", "u16", "complete",
         F.coalesce(header_ok(F.col("_raw")), F.lit(False)).alias("hdr_ok"),
         "error_code", "transaction_id", "occurred_at", "amount", "category")
 
@@ -425,7 +435,7 @@ def fast_view(lines: DataFrame, summary: DataFrame, bound_ok: bool, max_chars: i
     """Staged lines of fast-path files as records: line = record, numbered
     with the split offsets (a broadcast join of the per-split summary)."""
     s = F.broadcast(summary) if bound_ok else summary
-    j = lines.join(s.filter(~F.col("slow")), ["path", "block"])
+    j = lines.drop("n_bytes").join(s.filter(~F.col("slow")).drop("n_bytes"), ["path", "block"])
     record_no = F.col("mid") - F.col("min_mid") + F.col("line_offset") + 1
     j = j.withColumn("record_no", record_no)
     fault = (F.when(~F.col("utf8_ok"), F.lit(C.FILE_BAD_UTF8))
@@ -440,43 +450,66 @@ def fast_view(lines: DataFrame, summary: DataFrame, bound_ok: bool, max_chars: i
 
 
 def stage_records(spark: SparkSession, admitted: DataFrame, staging_path: str,
-                  max_chars: int = C.MAX_RECORD_CHARS_DEFAULT) -> DataFrame:
+                  max_chars: int = C.MAX_RECORD_CHARS_DEFAULT) -> "Staged":
     """Scan all admitted files once, number logical records, run the record
-    checks and the ladder; returns the staged records.
+    checks and the ladder.
 
     Pass A writes every line (with its checks and ladder result) to the
     shared folder — the only pass over the text and a lineage cut. The
     per-split summary, the fast-path records and the verdicts then read
     small Parquet columns. Files with multi-line records (rare) re-assemble
     their records from the staged lines, never from the source."""
-    paths = [r["path"] for r in admitted.select("path").collect()]  # the listing, not data
-    if not paths:
-        return spark.createDataFrame([], STAGED_SCHEMA)
-    _, bound_bytes = block_count_bound(spark, admitted)
-    bound_ok = bound_bytes <= BROADCAST_SUMMARY_BYTES
     # pass A: the text, once
-    stage_lines(scan_lines(spark, paths), max_chars).write.mode("overwrite").parquet(staging_path + "/lines")
+    stage_lines(scan_lines(spark, admitted), max_chars).write.mode("overwrite").parquet(staging_path + "/lines")
     lines = spark.read.parquet(staging_path + "/lines")
-    # per-split summary from four small columns -> shared folder (tiny)
-    block_summary(lines).write.mode("overwrite").parquet(staging_path + "/_summary")
-    summary = spark.read.parquet(staging_path + "/_summary")
-    slow_paths = [r["path"] for r in summary.filter("slow").select("path").distinct().collect()]  # per file
-    parts = [fast_view(lines, summary, bound_ok, max_chars)]
-    if slow_paths:
+    # per-split summary from five small columns -> shared folder (tiny)
+    block_summary(lines).write.mode("overwrite").parquet(staging_path + "/summary")
+    summary = spark.read.parquet(staging_path + "/summary")
+    size = summary.agg(F.count("*").alias("n"), F.coalesce(F.max(F.length("path")), F.lit(0)).alias("p"),
+                       F.coalesce(F.max(F.col("slow").cast("int")), F.lit(0)).alias("slow")).first()
+    bound_ok = size["n"] * (size["p"] + 64) <= BROADCAST_SUMMARY_BYTES
+    slow = None
+    if size["slow"]:
         s = F.broadcast(summary) if bound_ok else summary
-        numbered = (lines.join(s.filter(F.col("slow")), ["path", "block"])
-                    .select("path", "block", "mid", "value", "utf8_ok", "u16", F.lit(max_chars).alias("max_chars"),
+        numbered = (lines.join(s.filter(F.col("slow")).drop("n_bytes"), ["path", "block"])
+                    .select("path", "block", "mid", "value", "sep", "utf8_ok", "u16", F.lit(max_chars).alias("max_chars"),
                             F.lit(True).alias("slow"), *CARRIED))
-        recs = slow_records(numbered, bound_ok, cut_path=staging_path + "/_slowlines", carry=CARRIED) \
+        recs = slow_records(numbered, bound_ok, cut_path=staging_path + "/slowlines", carry=CARRIED) \
             .withColumn("max_chars", F.lit(max_chars))
         single = classified_single_faults(recs.filter(F.col("_single")))
         multi = record_faults(recs.filter(~F.col("_single")).drop(*CARRIED, "_single"))
         single.unionByName(multi).write.mode("overwrite").parquet(staging_path + "/slow")
-        parts.append(spark.read.schema(STAGED_SCHEMA).parquet(staging_path + "/slow"))
-    out = parts[0]
-    for p_ in parts[1:]:
-        out = out.unionByName(p_)
-    return out
+        slow = spark.read.schema(STAGED_SCHEMA).parquet(staging_path + "/slow")
+    return Staged(lines, summary, slow, bound_ok, max_chars)
+
+
+class Staged:
+    """The staged records of a run, whole or a range of record numbers."""
+
+    def __init__(self, lines: DataFrame, summary: DataFrame, slow: DataFrame | None, bound_ok: bool, max_chars: int):
+        self.lines, self.summary, self.slow = lines, summary, slow
+        self.bound_ok, self.max_chars = bound_ok, max_chars
+
+    def records(self) -> DataFrame:
+        fast = fast_view(self.lines, self.summary, self.bound_ok, self.max_chars)
+        return fast if self.slow is None else fast.unionByName(self.slow)
+
+    def between(self, first: int, last: int) -> DataFrame:
+        """Records ``first`` to ``last`` of every file. Of the staged lines only
+        the row groups of splits that hold some are read: ordinals of such
+        splits bound the scan (a file's splits lie in order)."""
+        end = F.col("line_offset") + F.col("n_lines")
+        here = self.summary.filter((F.col("line_offset") < last) & (end >= first))
+        span = here.filter(~F.col("slow")).agg(F.min("min_mid").alias("lo"), F.max(F.col("min_mid") + F.col("n_lines"))
+                                               .alias("hi")).first()
+        lo, hi = (span["lo"], span["hi"]) if span["lo"] is not None else (0, 0)
+        lines = self.lines.filter((F.col("mid") >= lo) & (F.col("mid") < hi))
+        in_range = F.col("record_no").between(first, last)
+        fast = fast_view(lines, here, self.bound_ok, self.max_chars).filter(in_range)
+        return fast if self.slow is None else fast.unionByName(self.slow.filter(in_range))
+
+    def read_bytes(self) -> DataFrame:
+        return self.summary.groupBy("path").agg(F.sum("n_bytes").alias("n_bytes"))
 
 
 STAGED_SCHEMA = ("path string, record_no long, record string, utf8_ok boolean, rec_len long, "
