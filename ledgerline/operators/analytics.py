@@ -139,6 +139,8 @@ def month_magnitude_share(analytics: DataFrame) -> DataFrame:
 
 
 def canonical_order(analytics: DataFrame) -> DataFrame:
-    """TOTAL first, then categories by string, then months ascending."""
+    """TOTAL first, then categories by string, then months ascending, each
+    row with its ``position`` in its import."""
     t = F.when(F.col("aggregation_type") == TOTAL, 0).when(F.col("aggregation_type") == CATEGORY, 1).otherwise(2)
-    return analytics.orderBy("import_id", t, "category", "month")
+    w = Window.partitionBy("import_id").orderBy(t, "category", "month")
+    return analytics.withColumn("position", F.row_number().over(w)).orderBy("import_id", "position")

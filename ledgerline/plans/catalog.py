@@ -175,6 +175,17 @@ def q_analytics_rollup_check(spark, sf):
     return AN.rollup_check(q_analytics_grouping_sets(spark, sf))
 
 
+def q_analytics_ordered(spark, sf):
+    """The served analytics, each row with its place."""
+    return AN.canonical_order(AN.import_analytics(D.refund_facts(spark, sf)))
+
+
+def q_failure_reasons(spark, sf):
+    """The documents' texts as failure reasons."""
+    d = D.table(spark, sf, "documents")
+    return d.select("doc_id", LG.bounded_failure_reason(F.col("text")).alias("failure_reason"))
+
+
 def q_category_share(spark, sf):
     return AN.category_share(q_analytics_signed(spark, sf))
 
@@ -430,6 +441,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_trimmed": q_page_trimmed,
     "quoted_field_lengths": q_quoted_field_lengths,
     "latency_summary": q_latency_summary,
+    "analytics_ordered": q_analytics_ordered,
+    "failure_reasons": q_failure_reasons,
     "deep_cursor_p90": q_deep_cursor_p90,
     "peak_by_group": q_peak_by_group,
     "snapshot_labels": q_snapshot_labels,

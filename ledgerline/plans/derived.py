@@ -90,9 +90,10 @@ def order_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
                     record.alias("record"))
 
 
-def write_order_csv_files(spark: SparkSession, sf_dir: str) -> str:
+def write_order_csv_files(spark: SparkSession, sf_dir: str, eol: str = "\n") -> str:
     """Write one CSV file per order status (header + records by order key)
-    into a fresh folder under the shared root; returns the folder.
+    into a fresh folder under the shared root; returns the folder. ``eol`` ends
+    the lines, those inside quotes as well.
 
     Written with the text writer (raw lines, blank lines kept); part files
     get a ``.csv`` name afterwards (metadata only)."""
@@ -103,8 +104,8 @@ def write_order_csv_files(spark: SparkSession, sf_dir: str) -> str:
                       F.lit(",".join(C.EXPECTED_HEADER)).alias("record")))
     allrows = header.unionByName(rows.select("import_id", "o_orderkey", "record"))
     (allrows.repartition("import_id").sortWithinPartitions("import_id", "o_orderkey")
-     .select("import_id", F.col("record").alias("value"))
-     .write.partitionBy("import_id").option("lineSep", "\n").text(out))
+     .select("import_id", F.replace("record", F.lit("\n"), F.lit(eol)).alias("value"))
+     .write.partitionBy("import_id").option("lineSep", eol).text(out))
     rename_to_csv(spark, out)
     return out
 
@@ -125,46 +126,38 @@ def rename_to_csv(spark: SparkSession, folder: str) -> None:
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A job-event history: each order is an import. Orders with status O
     are queued only, P are processing, F finished; each line item is one
-    committed batch row (R = rejected)."""
-    o = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey"), F.col("o_orderstatus"), ts("o_orderdate").alias("d"),
-        F.col("o_orderpriority"))
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", ts("l_shipdate").alias("shipped"),
-        (F.col("l_returnflag") != "R").cast("long").alias("acc"))
-    iid = F.concat(F.lit("job-"), F.col("o_orderkey").cast("string"))
-    hour = F.make_dt_interval(hours=F.lit(1))
-    base = o.select(iid.alias("import_id"), "o_orderkey", "o_orderstatus", "d",
-                    F.concat(F.lower(F.regexp_replace("o_orderpriority", "[^A-Za-z0-9]", "")),
-                             F.lit(".csv")).alias("original_filename"))
-    def ev(df, status, at, seq):
-        return df.select("import_id", F.lit(seq).cast("long").alias("seq"), F.lit(None).cast("string").alias("attempt"),
-                         "original_filename", F.lit(None).cast("string").alias("path"),
-                         F.col("o_orderkey").alias("import_no"), F.lit(status).alias("status"),
-                         F.lit(0).cast("long").alias("accepted_rows"), F.lit(0).cast("long").alias("rejected_rows"),
-                         F.lit(None).cast("long").alias("first_batch"), F.lit(None).cast("long").alias("last_batch"),
-                         F.lit(None).cast("string").alias("failure_reason"), at.alias("event_at"))
-    started = base.filter(F.col("o_orderstatus") != "O")
-    events = (ev(base, C.RECEIVED, F.col("d"), 1)
-              .unionByName(ev(base, C.QUEUED, F.col("d") + hour, 2))
-              .unionByName(ev(started, C.PROCESSING, F.col("d") + hour * 2, 3)))
-    batches = li.join(started, li.l_orderkey == started.o_orderkey).select(
-        "import_id", (F.lit(10) + F.col("l_linenumber")).cast("long").alias("seq"),
-        F.lit(None).cast("string").alias("attempt"), F.lit(None).cast("string").alias("original_filename"),
-        F.lit(None).cast("string").alias("path"), F.lit(None).cast("long").alias("import_no"),
-        F.lit(BATCH).alias("status"), F.col("acc").alias("accepted_rows"),
-        (F.lit(1) - F.col("acc")).alias("rejected_rows"), F.col("l_linenumber").cast("long").alias("first_batch"),
-        F.col("l_linenumber").cast("long").alias("last_batch"), F.lit(None).cast("string").alias("failure_reason"),
-        F.greatest(F.col("shipped"), F.col("d") + hour * 2).alias("event_at"))
-    fin = (li.groupBy("l_orderkey").agg(F.max("shipped").alias("last_ship"), F.sum(1 - F.col("acc")).alias("rej"))
-           .join(started.filter(F.col("o_orderstatus") == "F"), F.col("l_orderkey") == F.col("o_orderkey")))
-    term = fin.select("import_id", "o_orderkey", "original_filename",
-                      F.greatest(F.col("last_ship"), F.col("d") + hour * 2).alias("fin_at"),
-                      F.when(F.col("rej") == 0, F.lit(C.COMPLETED)).otherwise(F.lit(C.COMPLETED_WITH_ERRORS)).alias("st"))
-    term_ev = term.select("import_id", F.lit(1000).cast("long").alias("seq"), F.lit(None).cast("string").alias("attempt"),
-                          "original_filename", F.lit(None).cast("string").alias("path"),
-                          F.col("o_orderkey").alias("import_no"), F.col("st").alias("status"),
-                          F.lit(0).cast("long").alias("accepted_rows"), F.lit(0).cast("long").alias("rejected_rows"),
-                          F.lit(None).cast("long").alias("first_batch"), F.lit(None).cast("long").alias("last_batch"),
-                          F.lit(None).cast("string").alias("failure_reason"), F.col("fin_at").alias("event_at"))
-    return events.unionByName(batches).unionByName(term_ev)
+    committed batch row (R = rejected).
+
+    Each table is read once: an order's line items are gathered (a handful an
+    order), and an order's events are one array, exploded."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.collect_list(F.struct(F.col("l_linenumber").cast("long").alias("line"), ts("l_shipdate").alias("shipped"),
+                                (F.col("l_returnflag") != "R").cast("long").alias("acc"))).alias("lines"))
+    o = table(spark, sf_dir, "orders").join(li, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    status, at = F.col("o_orderstatus"), ts("o_orderdate")
+    hours = lambda n: at + F.make_dt_interval(hours=F.lit(n))
+    lines = F.coalesce("lines", F.array().cast("array<struct<line:bigint,shipped:timestamp,acc:bigint>>"))
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
+
+    def event(seq, st, when, acc=zero, rej=zero, batch=none):
+        return F.struct(F.lit(seq).cast("long").alias("seq") if isinstance(seq, int) else seq.alias("seq"), st.alias("status"),
+                        when.alias("event_at"), acc.alias("accepted_rows"), rej.alias("rejected_rows"), batch.alias("batch"))
+
+    batches = F.transform(lines, lambda x: event(x["line"] + 10, F.lit(BATCH), F.greatest(x["shipped"], hours(2)),
+                                                 x["acc"], 1 - x["acc"], x["line"]))
+    rejected = F.exists(lines, lambda x: x["acc"] == 0)
+    end = event(1000, F.when(rejected, F.lit(C.COMPLETED_WITH_ERRORS)).otherwise(F.lit(C.COMPLETED)),
+                F.greatest(F.array_max(F.transform(lines, lambda x: x["shipped"])), hours(2)))
+    events = F.concat(
+        F.array(event(1, F.lit(C.RECEIVED), at), event(2, F.lit(C.QUEUED), hours(1))),
+        F.filter(F.concat(F.array(event(3, F.lit(C.PROCESSING), hours(2))), batches), lambda x: status != "O"),
+        F.filter(F.array(end), lambda x: (status == "F") & (F.size(lines) > 0)))
+    e = o.select(F.concat(F.lit("job-"), F.col("o_orderkey").cast("string")).alias("import_id"), "o_orderkey",
+                 F.concat(F.lower(F.regexp_replace("o_orderpriority", "[^A-Za-z0-9]", "")), F.lit(".csv")).alias("name"),
+                 F.inline(events))
+    plain = F.col("status") != BATCH
+    return e.select("import_id", "seq", F.lit(None).cast("string").alias("attempt"),
+                    F.when(plain, F.col("name")).alias("original_filename"), F.lit(None).cast("string").alias("path"),
+                    F.when(plain, F.col("o_orderkey")).cast("long").alias("import_no"), "status", "accepted_rows",
+                    "rejected_rows", F.col("batch").alias("first_batch"), F.col("batch").alias("last_batch"),
+                    F.lit(None).cast("string").alias("failure_reason"), "event_at")

@@ -10,19 +10,29 @@ from pyspark.sql import functions as F
 from ledgerline import contract as C
 from ledgerline.plans import derived as D
 from ledgerline.plans.catalog import SQL_LADDER, SQL_ORDER_FIELDS, iso, sql_analytics, sql_iso
-from ledgerline.plans.ingest import ingest, read_errors, read_events, read_transactions
+from ledgerline.operators.sink import exists
+from ledgerline.plans.ingest import ingest, purge_import, read_errors, read_events, read_jobs, read_page, read_transactions
+from ledgerline.plans.store import Snapshot
 from ledgerline.session import scratch_dir
 
 
 _STORES: dict = {}
 
 
+def _state_of(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a table's files, from one listing."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(p)))
+
+
 def _ingest_orders(spark: SparkSession, sf: str, batch_size: int = 1000):
     """Write the order CSV files and ingest them — once per session and
-    input; later queries read the same committed store (ingest once, query
-    many times)."""
-    key = (spark.sparkContext.applicationId, sf, batch_size)
-    if key not in _STORES:
+    state of the input; later queries read the same committed store (ingest
+    once, query many times)."""
+    key = (spark.sparkContext.applicationId, sf, batch_size, _state_of(spark, f"{sf}/orders.parquet"))
+    if key not in _STORES or not exists(spark, _STORES[key]):
         src = D.write_order_csv_files(spark, sf)
         root = scratch_dir(spark, "store")
         ingest(spark, src, root, batch_size=batch_size)
@@ -110,22 +120,24 @@ def write_fault_files(spark, sf):
     o = D.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
     rec = D.order_fields(spark, sf).select("o_orderkey", "record")
     rows = o.join(rec, "o_orderkey")
+    # the tenth key of a priority: a top-k, cut to ten rows a task before its exchange
     rn = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey"))
-    # a window per priority: five groups, each numbered with a sort (whole table)
-    rows = rows.withColumn("rn", rn)
-    pr = F.col("o_orderpriority")
-    line = (F.when((pr == "3-MEDIUM") & (F.col("rn") == FAULT_AT),
+    tenth = (o.withColumn("rn", rn).filter(F.col("rn") <= FAULT_AT).filter(F.col("rn") == FAULT_AT)
+             .select(F.col("o_orderkey").alias("tenth")))
+    rows = rows.join(F.broadcast(tenth), F.col("o_orderkey") == F.col("tenth"), "left")  # a row per priority
+    pr, here = F.col("o_orderpriority"), F.col("tenth").isNotNull()
+    line = (F.when((pr == "3-MEDIUM") & here,
                    F.concat(F.lit("ord-"), F.col("o_orderkey").cast("string"), F.lit(',2025-01-01T00:00:00Z,1.00,"open')))
-            .when((pr == "4-NOT SPECIFIED") & (F.col("rn") == FAULT_AT),
+            .when((pr == "4-NOT SPECIFIED") & here,
                   F.concat(F.lit("ord-"), F.col("o_orderkey").cast("string"),
                            F.lit(",2025-01-01T00:00:00Z,1.00,"), F.repeat(F.lit("x"), 5000)))
             .otherwise(F.col("record")))
     hdr_text = F.when(pr == "2-HIGH", F.lit("id,occurred_at,amount,category")).otherwise(
         F.lit("transaction_id,occurred_at,amount,category"))
     header = o.select("o_orderpriority").distinct().select(
-        "o_orderpriority", F.lit(0).alias("rn"), hdr_text.alias("value"))
-    allrows = header.unionByName(rows.select("o_orderpriority", "rn", line.alias("value")))
-    (allrows.repartition("o_orderpriority").sortWithinPartitions("o_orderpriority", "rn")
+        "o_orderpriority", F.lit(-1).cast("long").alias("o_orderkey"), hdr_text.alias("value"))
+    allrows = header.unionByName(rows.select("o_orderpriority", "o_orderkey", line.alias("value")))
+    (allrows.repartition("o_orderpriority").sortWithinPartitions("o_orderpriority", "o_orderkey")
      .select(F.regexp_replace("o_orderpriority", "[^A-Za-z0-9]", "").alias("prio"), "value")
      .write.partitionBy("prio").option("lineSep", "\n").text(out))
     D.rename_to_csv(spark, out)
@@ -222,11 +234,11 @@ def q_file_ingest_analytics(spark, sf):
 
 
 def q_file_ingest_page(spark, sf):
-    """Keyset page (by source_row, after 100) of the stored import of file F."""
-    from ledgerline.operators.pages import keyset_page
+    """Keyset page (by source_row, after 100) of the stored import of file F,
+    from the data files that hold it."""
     root, keys = _ingest_orders(spark, sf)
     imp = keys.filter(F.col("file_key") == "F").first()["import_id"]  # the client's import id
-    page = keyset_page(read_transactions(spark, root, imp), imp, "source_row", 100, 100)
+    page = read_page(spark, root, "transactions", imp, "source_row", 100, 100)
     return page.select(F.lit("F").alias("file_key"), "source_row", "transaction_id",
                        iso("occurred_at").alias("occurred_at"), "amount", "category", "next_cursor")
 
@@ -245,3 +257,147 @@ FROM r QUALIFY rn <= 100"""
 
 FILE_QUERIES["file_ingest_analytics"] = q_file_ingest_analytics
 FILE_QUERIES["file_ingest_page"] = q_file_ingest_page
+
+
+# --------------------------------------------------------------------------- commits of ranges
+PARTIAL_BATCH = 100    # records a batch
+PARTIAL_COMMIT = 10    # batches a commit
+PARTIAL_COMMITS = 2    # the run ends after these
+
+
+def _file_keys(spark, root):
+    return (read_events(spark, root).filter(F.col("status") == "RECEIVED")
+            .select("import_id", F.regexp_extract("path", r"(?:import_id|prio)=([^/]+)/", 1).alias("file_key")))
+
+
+def q_partial_import_progress(spark, sf):
+    """A run that ends after two commits: status, counters, stored rows and
+    analytics of every import, read from one snapshot."""
+    from ledgerline.operators.analytics import import_analytics
+    from ledgerline.operators.ledger import status_view
+    root = scratch_dir(spark, "partial-store")
+    ingest(spark, D.write_order_csv_files(spark, sf), root, batch_size=PARTIAL_BATCH, commit_batches=PARTIAL_COMMIT,
+           max_commits=PARTIAL_COMMITS)
+    snap = Snapshot(spark, root)
+    tx, jobs = snap.rows("transactions"), snap.jobs()
+    stored = tx.select("import_id", "source_row").unionByName(snap.rows("errors").select("import_id", "source_row"))
+    stored = stored.groupBy("import_id").agg(F.count("*").alias("stored_rows"), F.max("source_row").alias("last_row"))
+    total = import_analytics(tx, jobs).filter("aggregation_type = 'TOTAL'").select("import_id", "transaction_count", "total_amount")
+    return (status_view(jobs).join(stored, "import_id").join(total, "import_id").join(_file_keys(spark, root), "import_id")
+            .select("file_key", "status", "terminal", "processed_rows", "accepted_rows", "rejected_rows", "stored_rows",
+                    "last_row", "transaction_count", "total_amount"))
+
+
+_DONE = PARTIAL_BATCH * PARTIAL_COMMIT * PARTIAL_COMMITS
+FILE_QUERIES["partial_import_progress"] = q_partial_import_progress
+FILE_ORACLE["partial_import_progress"] = f"""WITH n AS ({_NUMBERED}),
+s AS (SELECT import_id AS file_key, count(*) AS n, count(*) FILTER (WHERE error_code IS NOT NULL) AS bad FROM n GROUP BY 1),
+d AS (SELECT import_id AS file_key, count(*) AS done, count(*) FILTER (WHERE error_code IS NULL) AS acc,
+  max(file_row) AS last_row, sum(amount) FILTER (WHERE error_code IS NULL) AS total FROM n WHERE file_row <= {_DONE} + 1 GROUP BY 1)
+SELECT s.file_key, CASE WHEN s.n > {_DONE} THEN 'PROCESSING' WHEN s.bad = 0 THEN 'COMPLETED' ELSE 'COMPLETED_WITH_ERRORS' END AS status,
+  s.n <= {_DONE} AS terminal, CAST(d.done AS BIGINT) AS processed_rows, CAST(d.acc AS BIGINT) AS accepted_rows,
+  CAST(d.done - d.acc AS BIGINT) AS rejected_rows, CAST(d.done AS BIGINT) AS stored_rows, CAST(d.last_row AS BIGINT) AS last_row,
+  CAST(d.acc AS BIGINT) AS transaction_count, CAST(coalesce(d.total, 0) AS DECIMAL(38,2)) AS total_amount
+FROM s JOIN d ON d.file_key = s.file_key"""
+
+
+# --------------------------------------------------------------------------- replay, purge, report
+def q_replayed_ingest(spark, sf):
+    """The same files once more: every import is terminal, nothing is added."""
+    root, keys = _ingest_orders(spark, sf)
+    again = ingest(spark, _sources(spark, root), root)
+    rows = (read_transactions(spark, root).select("import_id").unionByName(read_errors(spark, root).select("import_id"))
+            .groupBy("import_id").agg(F.count("*").alias("stored_rows")))
+    return (again.frame.join(rows, "import_id").join(keys, "import_id")
+            .select("file_key", "kind", "status", "accepted", "rejected", "stored_rows"))
+
+
+def _sources(spark, root):
+    """The folder of a store's input files."""
+    first = read_events(spark, root).filter("path is not null").select("path").first()["path"]
+    return first.split("/import_id=")[0]
+
+
+FILE_QUERIES["replayed_ingest"] = q_replayed_ingest
+FILE_ORACLE["replayed_ingest"] = f"""SELECT import_id AS file_key, 'skipped_terminal' AS kind,
+  CASE WHEN count(*) FILTER (WHERE error_code IS NOT NULL) = 0 THEN 'COMPLETED' ELSE 'COMPLETED_WITH_ERRORS' END AS status,
+  CAST(count(*) FILTER (WHERE error_code IS NULL) AS BIGINT) AS accepted,
+  CAST(count(*) FILTER (WHERE error_code IS NOT NULL) AS BIGINT) AS rejected, CAST(count(*) AS BIGINT) AS stored_rows
+FROM ({SQL_LADDER}) GROUP BY import_id"""
+
+
+def q_purged_import(spark, sf):
+    """K8: of three imports the one of file F is purged; jobs and rows left."""
+    root = scratch_dir(spark, "purge-store")
+    ingest(spark, D.write_order_csv_files(spark, sf), root)
+    keys = _file_keys(spark, root)
+    purge_import(spark, root, keys.filter("file_key = 'F'").first()["import_id"])
+    rows = read_transactions(spark, root).groupBy("import_id").agg(F.count("*").alias("transactions"), F.max("source_row").alias("last_row"))
+    return (read_jobs(spark, root).join(rows, "import_id", "full_outer").join(keys, "import_id", "left")
+            .select("file_key", "status", "accepted_rows", "transactions", "last_row"))
+
+
+FILE_QUERIES["purged_import"] = q_purged_import
+FILE_ORACLE["purged_import"] = f"""SELECT import_id AS file_key,
+  CASE WHEN count(*) FILTER (WHERE error_code IS NOT NULL) = 0 THEN 'COMPLETED' ELSE 'COMPLETED_WITH_ERRORS' END AS status,
+  CAST(count(*) FILTER (WHERE error_code IS NULL) AS BIGINT) AS accepted_rows,
+  CAST(count(*) FILTER (WHERE error_code IS NULL) AS BIGINT) AS transactions,
+  CAST(max(file_row) FILTER (WHERE error_code IS NULL) AS BIGINT) AS last_row
+FROM ({_NUMBERED}) WHERE import_id <> 'F' GROUP BY import_id"""
+
+
+def q_run_report(spark, sf):
+    """K7: the report of a run over clean and faulty files."""
+    root = scratch_dir(spark, "report-store")
+    report = ingest(spark, write_fault_files(spark, sf), root, batch_size=VERDICT_BATCH)
+    return report.frame.select("kind", F.regexp_extract("path", r"prio=([^/]+)/", 1).alias("file_key"), "status",
+                               "accepted", "rejected", "fault", "bad_record")
+
+
+FILE_QUERIES["run_report"] = q_run_report
+FILE_ORACLE["run_report"] = f"""SELECT 'import' AS kind, file_key, status, accepted_rows AS accepted, rejected_rows AS rejected,
+  CASE failure_kind WHEN '' THEN NULL WHEN 'Invalid CSV header' THEN 'HEADER_MISMATCH' WHEN 'Syntactically' THEN 'CSV_SYNTAX'
+    ELSE 'RECORD_TOO_LARGE' END AS fault,
+  CAST(CASE failure_kind WHEN '' THEN NULL WHEN 'Invalid CSV header' THEN 1 ELSE {FAULT_AT + 1} END AS BIGINT) AS bad_record
+FROM ({FILE_ORACLE["file_verdicts"]})"""
+
+
+# --------------------------------------------------------------------------- CRLF files (S5), admission
+def q_quoted_crlf(spark, sf):
+    """Files with CRLF line ends: a quoted field keeps its CRLF, which counts
+    as two characters."""
+    root = scratch_dir(spark, "crlf-store")
+    ingest(spark, D.write_order_csv_files(spark, sf, eol="\r\n"), root)
+    t = read_transactions(spark, root).join(_file_keys(spark, root), "import_id")
+    return t.select("file_key", "source_row", "transaction_id", "category", F.char_length("category").alias("category_chars"))
+
+
+FILE_QUERIES["quoted_crlf"] = q_quoted_crlf
+FILE_ORACLE["quoted_crlf"] = f"""SELECT import_id AS file_key, file_row AS source_row, transaction_id,
+  replace(category, chr(10), chr(13) || chr(10)) AS category,
+  length(replace(category, chr(10), chr(13) || chr(10))) AS category_chars FROM ({_NUMBERED}) WHERE error_code IS NULL"""
+
+# fixed values: files put beside the order files of every status, and why they are refused.
+BESIDE = {"none.csv": C.FILE_REFUSED_EMPTY, "NONE.CSV": C.FILE_REFUSED_EMPTY, "notes.txt": C.FILE_REFUSED_NAME,
+          "orders.csv.bak": C.FILE_REFUSED_NAME, "csv": C.FILE_REFUSED_NAME}
+
+
+def q_file_admission(spark, sf):
+    """Admission of the order files and of files beside them."""
+    from ledgerline.sources.csvscan import manifest
+    src = D.write_order_csv_files(spark, sf)
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(src)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in [s.getPath() for s in fs.listStatus(root) if s.isDirectory()]:  # a folder per status
+        for name in BESIDE:
+            fs.createNewFile(jvm.org.apache.hadoop.fs.Path(folder, name))
+    part = F.regexp_replace("original_filename", "^part-.*", "part")
+    return manifest(spark, src).select(F.regexp_extract("path", r"import_id=([^/]+)/", 1).alias("file_key"),
+                                       part.alias("file"), "admitted", "refusal", (F.col("file_size") > 0).alias("has_bytes"))
+
+
+FILE_QUERIES["file_admission"] = q_file_admission
+FILE_ORACLE["file_admission"] = f"""WITH k AS (SELECT DISTINCT o_orderstatus AS file_key FROM orders),
+b(file, refusal) AS (VALUES ('part', NULL), {", ".join(f"('{n}', '{r}')" for n, r in BESIDE.items())})
+SELECT k.file_key, b.file, b.refusal IS NULL AS admitted, b.refusal, b.refusal IS NULL AS has_bytes FROM k CROSS JOIN b"""

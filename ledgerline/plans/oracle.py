@@ -92,6 +92,15 @@ SELECT import_id, CAST(total_count AS BIGINT) AS total_count, CAST(total_amount
   (total_rows = 1 AND category_count = total_count AND month_count = total_count
    AND category_amount = total_amount AND month_amount = total_amount AND empty_groups = 0) AS consistent
 FROM g""",
+    "analytics_ordered": f"""SELECT *, row_number() OVER (PARTITION BY import_id ORDER BY
+  CASE aggregation_type WHEN 'TOTAL' THEN 0 WHEN 'CATEGORY' THEN 1 ELSE 2 END, category NULLS FIRST, month NULLS FIRST) AS position
+FROM ({A_SIGNED})""",
+    # white space as Java has it, stated anew
+    "failure_reasons": r"""WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(text,
+    '^[\t-\r\x{1C}-\x{20}\x{1680}\x{2000}-\x{2006}\x{2008}-\x{200A}\x{2028}\x{2029}\x{205F}\x{3000}]+', ''),
+    '[\t-\r\x{1C}-\x{20}\x{1680}\x{2000}-\x{2006}\x{2008}-\x{200A}\x{2028}\x{2029}\x{205F}\x{3000}]+$', '') AS t FROM documents)
+SELECT doc_id, CASE WHEN t IS NULL OR t = '' THEN 'Ingestion failed without a reported reason.' ELSE left(t, 1000) END AS failure_reason
+FROM s""",
     "category_share": f"""WITH a AS ({A_SIGNED})
 SELECT import_id, category, transaction_count,
   CASE WHEN max(transaction_count) OVER (PARTITION BY import_id) = 0 THEN 0.0

@@ -82,12 +82,41 @@ def generate_csv(spark: SparkSession, out_dir: str, n_rows: int, seed: int = 42,
     return out_dir
 
 
+DIGEST_CHUNK = 8 << 20
+
+
+def _digests(batches):
+    """SHA-256 and size of each file, read in chunks of fixed size."""
+    import re
+    from urllib.parse import quote
+
+    import pyarrow.fs as pafs
+    for pdf in batches:
+        out = []
+        for p in pdf["path"]:
+            if p.startswith(("file:", "/")):
+                fs, rel = pafs.LocalFileSystem(), re.sub(r"^file:/+", "/", p)
+            else:
+                fs, rel = pafs.FileSystem.from_uri(quote(p, safe=":/@"))
+            digest, size = hashlib.sha256(), 0
+            with fs.open_input_stream(rel) as f:
+                while chunk := f.read(DIGEST_CHUNK):
+                    digest.update(chunk)
+                    size += len(chunk)
+            out.append((p, size, digest.hexdigest()))
+        yield pd.DataFrame(out, columns=["path", "bytes", "sha256"])
+
+
+def digests(files: DataFrame) -> DataFrame:
+    """path, bytes, sha256 for the files of ``files`` (path), of any size: a
+    file is one ordered stream through one task in constant memory."""
+    return files.select("path").mapInPandas(_digests, "path string, bytes long, sha256 string")
+
+
 def fingerprint(spark: SparkSession, paths) -> DataFrame:
-    """SHA-256, byte size and data-row count per file. The hash needs
-    the whole content of one file in one task (files must stay < 2 GB);
-    row counts come from the splittable text scan."""
-    h = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-         .select("path", F.col("length").alias("bytes"), F.sha2(F.col("content"), 256).alias("sha256")))
+    """SHA-256, byte size and data-row count per file. The digest is a
+    stream per file, the rows come from the splittable text scan."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path")
     rows = (spark.read.option("recursiveFileLookup", "true").text(paths)
             .groupBy(F.col("_metadata.file_path").alias("path")).agg((F.count("*") - 1).alias("rows")))
-    return h.join(rows, "path", "left")
+    return digests(files).join(rows, "path", "left")
