@@ -266,6 +266,7 @@ def test_stream_takes_files_by_bytes(spark, tmp):
     from ledgerline.streaming.file_stream import start_ingest_stream
     for k, n in enumerate((200, 2, 2, 200, 2)):
         write(f"{tmp}/watch/f{k}.csv", HDR + body(n))
+        os.utime(f"{tmp}/watch/f{k}.csv", (1_700_000_000 + 60 * k,) * 2)  # the source goes by time
     reports = []
     q = start_ingest_stream(spark, f"{tmp}/watch", f"{tmp}/store", f"{tmp}/ckpt", available_now=True,
                             max_files_per_trigger=None, max_bytes_per_trigger=1000, reports=reports)
