@@ -17,7 +17,7 @@ from ledgerline.session import shared_root
 BROADCAST_ROWS = 500_000
 #: Text is handled in slices of about this many bytes (a longer document is a
 #: slice of its own, never cut).
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 #: White space of the word contracts, as a class of a regular expression.
 WS_CLASS = r"[\x20\x09-\x0D]"
 WORD_RE = r"[^\x20\x09-\x0D]+"
