@@ -3,7 +3,7 @@
 A chunk is a run of white space with the other characters that follow it, or,
 for a vocabulary that drops white space, the run of other characters alone. No
 token of these vocabularies reaches over such a border, so a text's ids are its
-chunks' ids in order, and common chunks come from a bounded memo. Chunks that
+chunks' ids in order, and common chunks come from a bounded memo of two generations. Chunks that
 the memo lacks go to `tokenizers` together, one of its added tokens between
 them. Texts with an added token's own spelling, or with a separator control
 character (white space to some and not to others), go to it whole.
@@ -22,8 +22,11 @@ import pyarrow as pa
 #: Texts handled at once (a longer text is handled in segments, never cut).
 BATCH_ROWS = 64
 BATCH_CHARS = 1 << 20
-#: The memo starts anew beyond this many chunks; longer chunks stay out of it.
-MEMO_CHUNKS = 800_000
+#: A generation of the memo has about this many chunks; two are held, and chunks
+#: of the older one that occur again move to the newer. Longer chunks stay out.
+MEMO_CHUNKS = 250_000
+#: The same for jobs whose other stages need the memory.
+SMALL_MEMO = 50_000
 MEMO_CHARS = 48
 
 _SPACE = r" \t\n\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -55,12 +58,17 @@ class ChunkEncoder:
         self.drops_space = drops_space
         self.memo_chunks = memo_chunks
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         added = self.tokenizer.get_added_tokens_decoder()
         self.marker_id, self.marker = next(((i, t.content) for i, t in sorted(added.items())), (None, None))
         self.sizes = self.byte_sizes()
         self.word_end = self._word_ends()
         self.spelled = re.compile("|".join(re.escape(t.content) for t in added.values()) or r"(?!)")
 
+    def forget(self) -> None:
+        """Give the memo's memory back: the worker of this task serves others."""
+        self.memo, self.older = {}, {}
+
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         """The library's own answer."""
         return [np.array(e.ids, dtype="<u4")
@@ -114,12 +122,17 @@ class ChunkEncoder:
     def _ids(self, pieces: list[list[str]]) -> list[bytes]:
         """Ids of every list of chunks; what the memo lacks is learned in one call."""
         if len(self.memo) > self.memo_chunks:
-            self.memo.clear()
+            self.older, self.memo = self.memo, {}
         known: dict[str, bytes] = self.memo
         seen: set[str] = set()
         for p in pieces:
             seen.update(p)
-        lacking = list(seen.difference(known))
+        lacking = seen.difference(known)
+        again = self.older.keys() & lacking if self.older else ()
+        if again:
+            known.update((c, self.older[c]) for c in again)
+            lacking.difference_update(again)
+        lacking = list(lacking)
         if lacking:
             found = self._learn(lacking)
             long = [c for c in lacking if len(c) > MEMO_CHARS]
@@ -186,5 +199,5 @@ class ChunkEncoder:
 
 
 @lru_cache(maxsize=2)
-def chunk_encoder(path: str, drops_space: bool = False) -> ChunkEncoder:
-    return ChunkEncoder(path, drops_space)
+def chunk_encoder(path: str, drops_space: bool = False, memo_chunks: int = MEMO_CHUNKS) -> ChunkEncoder:
+    return ChunkEncoder(path, drops_space, memo_chunks)

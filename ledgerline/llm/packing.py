@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import cut, sized, staged, table
-from ledgerline.llm.encoding import ChunkEncoder, chunk_encoder, public_path
+from ledgerline.llm.encoding import MEMO_CHUNKS, SMALL_MEMO, ChunkEncoder, chunk_encoder, public_path
 
 CAPACITY = 2048
 END_ID = 0
@@ -51,10 +51,12 @@ def encoder(path: str) -> ChunkEncoder:
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
-           vocabulary: str | None = None) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: one row per token piece."""
+           vocabulary: str | None = None, keep_memo: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32: one row per token piece. With
+    ``keep_memo`` a worker holds the encoder's memo for its next task; a job
+    with other stages has a small one and gives its memory back."""
     def cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = encoder(vocabulary or public_vocabulary())
+        encoding = chunk_encoder(vocabulary or public_vocabulary(), False, MEMO_CHUNKS if keep_memo else SMALL_MEMO)
         for b in batches:
             rows, out = [], []
             for r, (_, ids) in enumerate(encoding.column(b.column(1))):
@@ -71,6 +73,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
                 [b.column(0).take(pa.array(rows, pa.int64())), pa.array(cols[0], pa.int32()),
                  *[pa.array(c, pa.int64()) for c in cols[1:]]],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        if not keep_memo:
+            encoding.forget()
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(
         cut_pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -196,9 +200,9 @@ def pack(found: DataFrame, capacity: int = CAPACITY, bucket_rows: int = BUCKET_R
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
-                   vocabulary: str | None = None) -> DataFrame:
-    return pack(staged(pieces(docs, id_col, text_col, capacity, vocabulary), "pieces"), capacity)
+                   vocabulary: str | None = None, keep_memo: bool = False) -> DataFrame:
+    return pack(staged(pieces(docs, id_col, text_col, capacity, vocabulary, keep_memo), "pieces"), capacity)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(table(spark, sf_dir, "documents"), keep_memo=True)
