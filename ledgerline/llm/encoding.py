@@ -68,6 +68,7 @@ class ChunkEncoder:
     def forget(self) -> None:
         """Give the memo's memory back: the worker of this task serves others."""
         self.memo, self.older = {}, {}
+        pa.default_memory_pool().release_unused()
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         """The library's own answer."""
