@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 # fixed values: the field grammar.
 _WS = r"\p{javaWhitespace}"
-QUOTED = r'"(?:[^"]++|"")*+"' + _WS + "*+"
+# the text of a quoted field: one turn of the loop per escaped quote
+_BODY = r'[^"]*+(?:""[^"]*+)*+'
+QUOTED = '"' + _BODY + '"' + _WS + "*+"
 UNQUOTED = r'[^",][^,]*+'
 # An empty field exists only before a separator or at the end of the line
 # (a field that starts with a quote is a quoted field); stating it keeps the
@@ -22,14 +24,14 @@ FIELD = "(?:" + QUOTED + "|" + UNQUOTED + "|(?=,|\\z))"
 # A complete record starting outside quotes.
 RECORD_RE = "^" + FIELD + "(?:," + FIELD + ")*+\\z"
 # Starting outside quotes, the line ends inside an open quoted field.
-OPEN_TAIL_RE = "^(?:" + FIELD + ",)*+" + r'"(?:[^"]++|"")*+\z'
+OPEN_TAIL_RE = "^(?:" + FIELD + ",)*+" + '"' + _BODY + r"\z"
 # Starting inside a quoted field: still inside at the end of the line.
-INSIDE_ALL_RE = r'^(?:[^"]++|"")*+\z'
+INSIDE_ALL_RE = "^" + _BODY + r"\z"
 # Starting inside: closes the field, then the rest is a complete record tail.
-INSIDE_CLOSE_RE = r'^(?:[^"]++|"")*+"' + _WS + "*+(?:," + FIELD + ")*+\\z"
+INSIDE_CLOSE_RE = "^" + _BODY + '"' + _WS + "*+(?:," + FIELD + ")*+\\z"
 # Starting inside: closes, then later opens another field left open.
-INSIDE_REOPEN_RE = (r'^(?:[^"]++|"")*+"' + _WS + "*+(?:," + FIELD + ")*+,"
-                    + r'"(?:[^"]++|"")*+\z')
+INSIDE_REOPEN_RE = ("^" + _BODY + '"' + _WS + "*+(?:," + FIELD + ")*+,"
+                    + '"' + _BODY + r"\z")
 SPLIT_RE = ",(" + QUOTED + "|" + UNQUOTED + "|)"
 
 # Line transfer codes: state after the line, given the state before it.
@@ -64,8 +66,13 @@ def unquote(x: Column) -> Column:
     the closing quote) and turn `""` into `"`.
 
     The field is valid, so its last quote is the closing one: positions are
-    enough, whatever its length (a regex would recurse per character)."""
-    inner = F.substring(x, F.lit(2), F.length(x) - F.instr(F.reverse(x), '"') - 1)
+    enough, whatever its length (a regex would recurse per character). Without
+    blanks after it the quotes are the first and the last byte, and no
+    character is counted."""
+    quote = F.lit('"')
+    bare = F.substring(x.cast("binary"), F.lit(2), F.octet_length(x) - 2).cast("string")
+    inner = F.when(F.endswith(x, quote), bare).otherwise(
+        F.substring(x, F.lit(2), F.length(x) - F.instr(F.reverse(x), '"') - 1))
     return F.when(F.startswith(x, F.lit('"')), F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(x)
 
 
