@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from ledgerline import contract as C
 from ledgerline.operators.ledger import BATCH
+from ledgerline.plans.store import delete, make_folder
 from ledgerline.session import scratch_dir
+from ledgerline.sources import csvscan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +61,11 @@ CORRUPTION_MOD = 17
 def order_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four raw text fields of a CSV record per order (with one
     deliberate corruption per key class), plus the record text."""
-    o = table(spark, sf_dir, "orders")
+    return with_fields(table(spark, sf_dir, "orders"))
+
+
+def with_fields(o: DataFrame, *keep: str) -> DataFrame:
+    """``order_fields`` of the given orders, with their columns ``keep``."""
     k = F.pmod(F.col("o_orderkey"), F.lit(CORRUPTION_MOD))
     tid = F.concat(F.lit("ord-"), F.col("o_orderkey").cast("string"))
     when_ = F.date_format(ts("o_orderdate"), "yyyy-MM-dd'T'HH:mm:ss")
@@ -87,42 +93,44 @@ def order_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderstatus").alias("import_id"), F.col("o_orderkey"),
                     (F.col("o_orderkey") + 2).alias("source_row"), k.alias("k"),
                     f_tid.alias("f_tid"), f_ts.alias("f_ts"), f_amt.alias("f_amt"), f_cat.alias("f_cat"),
-                    record.alias("record"))
+                    record.alias("record"), *keep)
 
 
 def write_order_csv_files(spark: SparkSession, sf_dir: str, eol: str = "\n") -> str:
     """Write one CSV file per order status (header + records by order key)
     into a fresh folder under the shared root; returns the folder. ``eol`` ends
-    the lines, those inside quotes as well.
-
-    Written with the text writer (raw lines, blank lines kept); part files
-    get a ``.csv`` name afterwards (metadata only)."""
-    out = scratch_dir(spark, "orders-csv")
-    rows = order_fields(spark, sf_dir)
-    header = (rows.select("import_id").distinct()
-              .select("import_id", F.lit(-1).cast("long").alias("o_orderkey"),
-                      F.lit(",".join(C.EXPECTED_HEADER)).alias("record")))
-    allrows = header.unionByName(rows.select("import_id", "o_orderkey", "record"))
-    (allrows.repartition("import_id").sortWithinPartitions("import_id", "o_orderkey")
-     .select("import_id", F.replace("record", F.lit("\n"), F.lit(eol)).alias("value"))
-     .write.partitionBy("import_id").option("lineSep", eol).text(out))
-    rename_to_csv(spark, out)
+    the lines, those inside quotes as well."""
+    o = table(spark, sf_dir, "orders").withColumn("header", F.lit(False))
+    header = (o.select("o_orderstatus").distinct()
+              .select("o_orderstatus", F.lit(-1).cast("long").alias("o_orderkey"), F.lit(True).alias("header")))
+    # the orders are ordered, their records are made where they are written
+    ranges = (o.unionByName(header, allowMissingColumns=True).repartitionByRange("o_orderstatus", "o_orderkey")
+              .sortWithinPartitions("o_orderstatus", "o_orderkey"))
+    record = F.when(F.col("header"), F.lit(",".join(C.EXPECTED_HEADER))).otherwise(F.col("record"))
+    lines = with_fields(ranges, "header").select("import_id", F.replace(record, F.lit("\n"), F.lit(eol)).alias("value"))
+    return write_csv_files(spark, lines, "import_id", scratch_dir(spark, "orders-csv"), eol)
+
+
+def write_csv_files(spark: SparkSession, lines: DataFrame, folder: str, out: str, eol: str = "\n") -> str:
+    """One CSV file per value of the column ``folder``, of lines (``value``) whose
+    partitions are consecutive ranges in file order; returns ``out``.
+
+    Every task writes its range of a file with the text writer (raw lines, blank
+    lines kept), so no task sorts or holds a whole file; the ranges' bytes are
+    then put behind one another."""
+    parts = f"{out}-parts"
+    lines.write.partitionBy(folder).option("lineSep", eol).text(parts)
+    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(parts)
+              .select("path", F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("folder")))
+    in_order = F.array_sort(F.collect_list(F.struct(F.length("path").alias("n"), "path")))
+    files = listed.groupBy("folder").agg(F.transform(in_order, lambda x: x["path"]).alias("parts")).select(
+        F.concat(F.lit(f"{out}/"), F.col("folder")).alias("to"), "parts")
+    make_folder(spark, out)
+    csvscan.join_files(files.repartition(spark.sparkContext.defaultParallelism, "to"))
+    delete(spark, parts)
     return out
 
 
-def rename_to_csv(spark: SparkSession, folder: str) -> None:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = root.getFileSystem(conf)
-    it = fs.listFiles(root, True)
-    while it.hasNext():
-        p = it.next().getPath()
-        name = p.getName()
-        if name.endswith(".txt"):
-            fs.rename(p, jvm.org.apache.hadoop.fs.Path(p.getParent(), name[:-4] + ".csv"))
-
-
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A job-event history: each order is an import. Orders with status O
     are queued only, P are processing, F finished; each line item is one

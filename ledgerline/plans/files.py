@@ -116,7 +116,6 @@ def write_fault_files(spark, sf):
     an unterminated quote in its 10th record, 4-NOT SPECIFIED an oversize
     10th record; the others are clean."""
     from pyspark.sql import Window
-    out = scratch_dir(spark, "fault-csv")
     o = D.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
     rec = D.order_fields(spark, sf).select("o_orderkey", "record")
     rows = o.join(rec, "o_orderkey")
@@ -136,12 +135,11 @@ def write_fault_files(spark, sf):
         F.lit("transaction_id,occurred_at,amount,category"))
     header = o.select("o_orderpriority").distinct().select(
         "o_orderpriority", F.lit(-1).cast("long").alias("o_orderkey"), hdr_text.alias("value"))
-    allrows = header.unionByName(rows.select("o_orderpriority", "o_orderkey", line.alias("value")))
-    (allrows.repartition("o_orderpriority").sortWithinPartitions("o_orderpriority", "o_orderkey")
-     .select(F.regexp_replace("o_orderpriority", "[^A-Za-z0-9]", "").alias("prio"), "value")
-     .write.partitionBy("prio").option("lineSep", "\n").text(out))
-    D.rename_to_csv(spark, out)
-    return out
+    allrows = header.unionByName(rows.select("o_orderpriority", "o_orderkey", line.alias("value"))).select(
+        F.regexp_replace("o_orderpriority", "[^A-Za-z0-9]", "").alias("prio"), "o_orderpriority", "o_orderkey", "value")
+    order = ["prio", "o_orderpriority", "o_orderkey"]
+    lines = allrows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return D.write_csv_files(spark, lines.select("prio", "value"), "prio", scratch_dir(spark, "fault-csv"))
 
 
 def q_file_verdicts(spark, sf):

@@ -62,6 +62,11 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p)
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder, sorted; those in the making (``_``) left out."""
     if not exists(spark, path):

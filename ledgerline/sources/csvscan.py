@@ -46,6 +46,9 @@ except Exception:  # pragma: no cover
 # instead of broadcast (each row is ~ path + 40 bytes).
 BROADCAST_SUMMARY_BYTES = 128 * 1024 * 1024
 
+#: Bytes held at once while files are put behind one another.
+JOIN_BYTES = 8 * 1024 * 1024
+
 FAULT_RANK = {C.FILE_BAD_UTF8: 1, C.FILE_OVERSIZE: 2, C.FILE_SYNTAX: 3, C.FILE_HEADER: 4}
 
 
@@ -138,6 +141,36 @@ def delete_files(paths: DataFrame) -> None:
     paths.select("path").mapInPandas(_delete_files, "path string").write.format("noop").mode("overwrite").save()
 
 
+def _join_files(batches):
+    """Executor-side: the bytes of ``parts`` one behind the other as one new
+    file in the folder ``to``, a block at a time. The file gets its name when it
+    is whole."""
+    import uuid
+
+    import pyarrow.fs as pafs
+    for pdf in batches:
+        for to, parts in zip(pdf["to"], pdf["parts"]):
+            if parts[0].startswith(("file:", "/")):
+                fs, rel = pafs.LocalFileSystem(), lambda p: re.sub(r"^file:/+", "/", p)
+            else:
+                fs = pafs.FileSystem.from_uri(quote(parts[0], safe=":/@"))[0]
+                rel = lambda p: pafs.FileSystem.from_uri(quote(p, safe=":/@"))[1]
+            folder, tmp = rel(to), f"_{uuid.uuid4().hex}.tmp"
+            fs.create_dir(folder, recursive=True)
+            with fs.open_output_stream(f"{folder}/{tmp}") as out:
+                for p in parts:
+                    with fs.open_input_stream(rel(p)) as f:
+                        while block := f.read(JOIN_BYTES):
+                            out.write(block)
+            fs.move(f"{folder}/{tmp}", f"{folder}/part-00000.csv")
+        yield pdf[["to"]]
+
+
+def join_files(files: DataFrame) -> None:
+    """Per row: the files ``parts``, in this order, become one CSV file in ``to``."""
+    files.mapInPandas(_join_files, "to string").write.format("noop").mode("overwrite").save()
+
+
 def bom_flags(files: DataFrame) -> DataFrame:
     """Hadoop's line reader silently drops a UTF-8 BOM; the contract treats
     it as part of the header (so a BOM fails the header check)."""
