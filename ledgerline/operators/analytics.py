@@ -41,21 +41,22 @@ def import_analytics(facts: DataFrame, imports: DataFrame | None = None) -> Data
 
     ``imports`` (one row per known import) makes empty imports appear with
     a zero TOTAL; without it the imports are those present in the facts."""
-    pre = _pre_aggregate(facts).withColumn("listed", F.lit(0 if imports is not None else 1))
-    if imports is not None:
-        # a known import is a row of nothing, so one pass over the facts is enough
-        none = imports.select("import_id").distinct().select(
-            "import_id", F.lit(None).cast("string").alias("category"), F.lit(None).cast("date").alias("month_start"),
-            F.lit(0).cast("long").alias("n"), F.lit(0).cast(AMOUNT_T).alias("s"), F.lit(1).alias("listed"))
-        pre = pre.withColumn("s", F.col("s").cast(AMOUNT_T)).unionByName(none)
-
+    pre = _pre_aggregate(facts)
     # each group of the small pre-aggregate counts in three levels: the facts are
     # read once whether or not the runtime reuses an exchange
     none_c, none_m = F.lit(None).cast("string"), F.lit(None).cast("date")
     levels = F.array(*[F.struct(F.lit(kind).alias("aggregation_type"), c.alias("level_category"), m.alias("level_month"))
                        for kind, c, m in ((TOTAL, none_c, none_m), (CATEGORY, F.col("category"), none_m),
                                           (MONTH, none_c, F.col("month_start")))])
-    g = pre.select("import_id", "n", "s", "listed", F.inline(levels)).groupBy(
+    rows = pre.select("import_id", "n", F.col("s").cast(AMOUNT_T).alias("s"),
+                      F.lit(0 if imports is not None else 1).alias("listed"), F.inline(levels))
+    if imports is not None:
+        # a known import is a total of nothing, so one pass over the facts is enough;
+        # it has no category or month, and named twice it is still one
+        rows = rows.unionByName(imports.select(
+            "import_id", F.lit(0).cast("long").alias("n"), F.lit(0).cast(AMOUNT_T).alias("s"), F.lit(1).alias("listed"),
+            F.lit(TOTAL).alias("aggregation_type"), none_c.alias("level_category"), none_m.alias("level_month")))
+    g = rows.groupBy(
         "import_id", "aggregation_type", F.col("level_category").alias("category"),
         F.col("level_month").alias("month_start")).agg(
         F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("listed").alias("listed"))

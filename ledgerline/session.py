@@ -15,6 +15,9 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # what a task reads of a shuffle bounds its hash maps and sorts: an aggregate
+    # whose groups are about as many as its rows takes many times these bytes
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
     "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # The validation ladder is a long chain of string expressions; a fused
