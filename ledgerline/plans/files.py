@@ -119,9 +119,9 @@ def write_fault_files(spark, sf):
     o = D.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
     rec = D.order_fields(spark, sf).select("o_orderkey", "record")
     rows = o.join(rec, "o_orderkey")
-    # the tenth key of a priority: a top-k, cut to ten rows a task before its exchange
+    # the key of a priority's tenth record: a top-k, cut to ten rows a task before its exchange
     rn = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey"))
-    tenth = (o.withColumn("rn", rn).filter(F.col("rn") <= FAULT_AT).filter(F.col("rn") == FAULT_AT)
+    tenth = (rows.select(*o.columns).withColumn("rn", rn).filter(F.col("rn") <= FAULT_AT).filter(F.col("rn") == FAULT_AT)
              .select(F.col("o_orderkey").alias("tenth")))
     rows = rows.join(F.broadcast(tenth), F.col("o_orderkey") == F.col("tenth"), "left")  # a row per priority
     pr, here = F.col("o_orderpriority"), F.col("tenth").isNotNull()
