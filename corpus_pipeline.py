@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm.common import staged, table
+from ledgerline.llm.common import bounded_batches, staged, table
 from ledgerline.llm.curriculum import mixed_documents
 from ledgerline.llm.exact_dedup import drop_copies
 from ledgerline.llm.language_id import keep_languages
@@ -16,6 +16,7 @@ from ledgerline.llm.packing import pack_documents
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (no letter at all, or null) go."""
+    bounded_batches(spark)
     return keep_languages(docs)
 
 
@@ -26,6 +27,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays."""
+    bounded_batches(spark)
     return drop_near(docs)
 
 
@@ -36,6 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces placed in sequences."""
+    bounded_batches(spark)
     return pack_documents(docs)
 
 

@@ -17,7 +17,10 @@ from ledgerline.session import shared_root
 BROADCAST_ROWS = 500_000
 #: Text is handled in slices of about this many bytes (a longer document is a
 #: slice of its own, never cut).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+#: Rows cross to a Python worker in batches of about this many bytes (a row is
+#: never cut) where several stages share the executors' memory.
+BATCH_BYTES = 4 << 20
 #: White space of the word contracts, as a class of a regular expression.
 WS_CLASS = r"[\x20\x09-\x0D]"
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -46,6 +49,12 @@ def cut(df: DataFrame) -> DataFrame:
     return staged(df, "cut")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches by their bytes: a batch of long texts stands
+    several times in the memory of the executor and of its Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a stored ``df`` for broadcast if its row count is within the bound;
     beyond it the join stays a shuffle join."""
