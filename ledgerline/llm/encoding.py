@@ -5,15 +5,21 @@ for a vocabulary that drops white space, the run of other characters alone. No
 token of these vocabularies reaches over such a border, so a text's ids are its
 chunks' ids in order, and common chunks come from a bounded memo of two generations. Chunks that
 the memo lacks go to `tokenizers` together, one of its added tokens between
-them. Texts with an added token's own spelling, or with a separator control
-character (white space to some and not to others), go to it whole.
+them. Where the vocabulary's own rules are ``WORD_RULES``, a chunk of Latin
+letters, digits and marks that the memo lacks is cut into words as they cut it,
+so that a word costs one call of the library's model in whatever capitals and
+beside whatever marks it stands. Texts with an added token's own spelling, or
+with a separator control character (white space to some and not to others), go
+to it whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,16 +33,32 @@ BATCH_CHARS = 1 << 20
 MEMO_CHUNKS = 250_000
 #: The same for jobs whose other stages need the memory.
 SMALL_MEMO = 50_000
+#: The same for ``WordMemo``, which also holds the words of its chunks.
+WORD_MEMO = 500_000
 MEMO_CHARS = 48
 
 _SPACE = r" \t\n\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _BORDER = re.compile(f"(?<=[^{_SPACE}])[{_SPACE}]")
 _ODD = re.compile(r"[\x1c-\x1f]")
-# letters that stay letters in lower case, then at most one run of one mark: one
-# or two words to a vocabulary that drops white space
-_PLAIN = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+[.,!?;:]?")
-_MARKS = frozenset(".,!?;:")
+#: Normaliser and splitting rules of a vocabulary whose words need no context:
+#: composed characters, lower case, then contractions, letters, digits and marks.
+WORD_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+# ASCII and composed Latin letters: in lower case they stay in the range and the
+# rules see the same classes as the pattern (a capital I with a dot becomes two characters)
+_LETTERS = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f"
+_SIMPLE = re.compile(f"[!-~{_LETTERS}]+")
+_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+")
+# how a byte-level vocabulary spells bytes: printable ones as themselves
+_SPELLED_BYTES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHARS = {b: 0x100 + k for k, b in enumerate(sorted(set(range(256)).difference(_SPELLED_BYTES)))}
 _WHITE = frozenset(" \t\n\x0b\x0c\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000"
                    + "".join(map(chr, range(0x2000, 0x200B))))
 
@@ -46,6 +68,43 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class WordMemo(dict):
+    """Ids of chunks under ``WORD_RULES``, found at first use, in two generations."""
+
+    def __init__(self, whole: Callable[[list[str]], list[np.ndarray]], model, chunks: int):
+        super().__init__()
+        self.whole, self.tokenize, self.chunks = whole, model.tokenize, chunks
+        self.older: dict[str, bytes] = {}
+
+    def ids(self, chunks: list[str]) -> bytes:
+        if len(self) > self.chunks:
+            self.older = dict(self)
+            self.clear()
+        return b"".join(map(self.__getitem__, chunks))
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.older.get(chunk)
+        if found is None:
+            stem, mark = (chunk[:-1], chunk[-1]) if chunk[-1] in ".,;:!?" else (chunk, "")
+            if stem.isalpha() and stem.isascii():  # most chunks: one word, perhaps in capitals or with a mark
+                word = stem.lower()
+                found = self[word] + self[mark] if mark else self._word(chunk) if word == chunk else self[word]
+            elif _SIMPLE.fullmatch(chunk):
+                words = _WORDS.findall(chunk.lower())
+                found = self._word(chunk) if words == [chunk] else b"".join(map(self.__getitem__, words))
+            else:
+                found = self.whole([chunk])[0].tobytes()
+        if len(chunk) <= MEMO_CHARS:
+            self[chunk] = found
+        return found
+
+    def _word(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTE_CHARS)
+        ids = [t.id for t in self.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class ChunkEncoder:
     """``tokenizers`` with ``add_special_tokens=False``; ``drops_space`` says
     that the vocabulary ignores white space between words."""
@@ -62,12 +121,18 @@ class ChunkEncoder:
         added = self.tokenizer.get_added_tokens_decoder()
         self.marker_id, self.marker = next(((i, t.content) for i, t in sorted(added.items())), (None, None))
         self.sizes = self.byte_sizes()
-        self.word_end = self._word_ends()
+        rules = json.loads(self.tokenizer.to_str())
+        self.words: WordMemo | None = None
+        if drops_space and all(rules[k] == v for k, v in WORD_RULES.items()):
+            self.words = WordMemo(self.whole, self.tokenizer.model, memo_chunks)
         self.spelled = re.compile("|".join(re.escape(t.content) for t in added.values()) or r"(?!)")
 
     def forget(self) -> None:
         """Give the memo's memory back: the worker of this task serves others."""
         self.memo, self.older = {}, {}
+        if self.words is not None:
+            self.words.older = {}
+            self.words.clear()
         pa.default_memory_pool().release_unused()
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -89,14 +154,6 @@ class ChunkEncoder:
                 bytes_before = np.cumsum(self.sizes[ids])
                 ends = np.searchsorted(bytes_before, np.cumsum([len(c.encode()) for c in joined])) + 1
                 self._cut(out, joined, ids, ends, 0)
-        elif self.word_end is not None:  # plain words make a text: cut its ids after the words' last tokens
-            plain = list(filter(_PLAIN.fullmatch, chunks))
-            if plain:
-                chunks = list(set(chunks).difference(plain))
-                ids = self.whole([" ".join(plain)])[0]
-                last = np.flatnonzero(self.word_end[ids])
-                ends = last[np.cumsum([2 if c[-1] in _MARKS else 1 for c in plain]) - 1] + 1
-                self._cut(out, plain, ids, ends, 0)
         if chunks:
             ids = self.whole([self.marker.join(chunks)])[0]
             self._cut(out, chunks, ids, np.append(np.flatnonzero(ids == self.marker_id), len(ids)), 4)
@@ -122,6 +179,8 @@ class ChunkEncoder:
 
     def _ids(self, pieces: list[list[str]]) -> list[bytes]:
         """Ids of every list of chunks; what the memo lacks is learned in one call."""
+        if self.words is not None:
+            return [self.words.ids(p) for p in pieces]
         if len(self.memo) > self.memo_chunks:
             self.older, self.memo = self.memo, {}
         known: dict[str, bytes] = self.memo
@@ -174,16 +233,6 @@ class ChunkEncoder:
         if held:
             yield from self._batch(held)
 
-    def _word_ends(self) -> np.ndarray | None:
-        """Which ids end a word, if the vocabulary marks that."""
-        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
-        if not suffix:
-            return None
-        out = np.zeros(len(self.sizes), dtype=bool)
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
-            out[i] = token.endswith(suffix)
-        return out
-
     def encode_ordinary(self, text: str) -> list[int]:
         return self.whole([text])[0].tolist()
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import cut, sized, staged, table
-from ledgerline.llm.encoding import chunk_encoder, public_path
+from ledgerline.llm.encoding import WORD_MEMO, chunk_encoder, public_path
 
 CAPACITY = 2048
 END_ID = 1
@@ -51,7 +51,7 @@ def window_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ids_crc32, doc_tokens, its place among the task's pieces of that length,
     and its ids unless it fills a window."""
     def cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = chunk_encoder(vocabulary or public_path(VOCABULARY), True)
+        encoding = chunk_encoder(vocabulary or public_path(VOCABULARY), True, WORD_MEMO)
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         done = 0
