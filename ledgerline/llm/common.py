@@ -17,7 +17,9 @@ from ledgerline.session import shared_root
 BROADCAST_ROWS = 500_000
 #: Text is handled in slices of about this many bytes (a longer document is a
 #: slice of its own, never cut).
-SLICE_BYTES = 1 << 18
+SLICE_BYTES = 1 << 20
+#: The same in operators that are stages of the pipeline.
+STAGE_SLICE_BYTES = 1 << 18
 #: Rows cross to a Python worker in batches of about this many bytes (a row is
 #: never cut) where several stages share the executors' memory.
 BATCH_BYTES = 4 << 20

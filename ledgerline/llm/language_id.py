@@ -102,7 +102,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             lang = np.array(b.column(0).to_pylist(), dtype=object)
-            for lo, hi, data, offs in K.text_slices(b.column(1)):
+            for lo, hi, data, offs in K.text_slices(b.column(1), K.STAGE_SLICE_BYTES):
                 bucket, first, row = grams(data, offs)
                 of = np.repeat(row, np.diff(np.append(first, len(bucket))))
                 names = lang[lo:hi]
@@ -212,7 +212,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lang, score = [], []
-            for lo, _, data, offs in K.text_slices(b.column(where)):
+            for lo, _, data, offs in K.text_slices(b.column(where), K.STAGE_SLICE_BYTES):
                 best, s, _ = infer(model, data, offs)
                 known = _lettered(b.column(where), data, offs, lo) & bool(model.langs)
                 # letters, but no word that the model can read: the first language, score 0

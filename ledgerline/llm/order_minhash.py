@@ -115,7 +115,7 @@ def sketches(keys: np.ndarray, before: np.ndarray, m: int = SKETCHES, size: int
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for lo, hi, data, offs in K.text_slices(b.column(1)):
+        for lo, hi, data, offs in K.text_slices(b.column(1), K.STAGE_SLICE_BYTES):
             keys, before, node, _ = shingles(data, offs)
             n = np.diff(before)
             sk = np.zeros((hi - lo, SKETCHES), dtype=np.uint64)
@@ -131,7 +131,7 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _body_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Labelled shingle keys (32 bits each) of each text."""
     for b in batches:
-        for _, hi, data, offs in K.text_slices(b.column(0)):
+        for _, hi, data, offs in K.text_slices(b.column(0), K.STAGE_SLICE_BYTES):
             keys, before, node, _ = shingles(data, offs)
             short = keys.astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
