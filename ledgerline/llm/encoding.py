@@ -1,16 +1,19 @@
-"""Token ids of whole texts, each distinct chunk encoded once.
-
-A chunk is a run of white space with the other characters that follow it, or,
-for a vocabulary that drops white space, the run of other characters alone. No
-token of these vocabularies reaches over such a border, so a text's ids are its
-chunks' ids in order, and common chunks come from a bounded memo of two generations. Chunks that
-the memo lacks go to `tokenizers` together, one of its added tokens between
-them. Where the vocabulary's own rules are ``WORD_RULES``, a chunk of Latin
-letters, digits and marks that the memo lacks is cut into words as they cut it,
-so that a word costs one call of the library's model in whatever capitals and
-beside whatever marks it stands. Texts with an added token's own spelling, or
-with a separator control character (white space to some and not to others), go
-to it whole.
+"""Token ids of whole texts, each distinct word or chunk encoded once.
+
+Where the vocabulary's own rules are known (``WORDS``), a text of Latin
+letters, digits, common marks and white space is cut into words as they cut it.
+No token reaches over such a cut, so a text's ids are its words' ids in order:
+common words come from a bounded memo of two generations, and a word that the
+memo lacks costs one call of the library's model, whatever marks it stands
+beside.
+
+Other texts are cut into chunks: a run of white space with the other characters
+that follow it, or, for a vocabulary that drops white space, the run of other
+characters alone. These come from such a memo too; of the chunks that it lacks
+those of the characters above are cut into words, the rest go to `tokenizers`
+together, one of its added tokens between them. Texts with an added token's own
+spelling, or with a separator control character (white space to some and not to
+others), go to it whole.
 """
 
 from __future__ import annotations
@@ -28,21 +31,33 @@ import pyarrow as pa
 #: Texts handled at once (a longer text is handled in segments, never cut).
 BATCH_ROWS = 64
 BATCH_CHARS = 1 << 20
-#: A generation of the memo has about this many chunks; two are held, and chunks
-#: of the older one that occur again move to the newer. Longer chunks stay out.
+#: A generation of a memo has about this many chunks, or twice as many words; two
+#: are held, and what occurs again of the older one moves to the newer. Longer
+#: chunks and words stay out.
 MEMO_CHUNKS = 250_000
 #: The same for jobs whose other stages need the memory.
 SMALL_MEMO = 50_000
-#: The same for ``WordMemo``, which also holds the words of its chunks.
-WORD_MEMO = 500_000
 MEMO_CHARS = 48
 
 _SPACE = r" \t\n\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _BORDER = re.compile(f"(?<=[^{_SPACE}])[{_SPACE}]")
 _ODD = re.compile(r"[\x1c-\x1f]")
-#: Normaliser and splitting rules of a vocabulary whose words need no context:
-#: composed characters, lower case, then contractions, letters, digits and marks.
+# ASCII and composed Latin letters: in lower case they stay in the range and the
+# rules see the same classes as the pattern (a capital I with a dot becomes two characters)
+_LETTERS = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f"
+# marks: neither letters nor digits nor white space to the rules, and never composed
+_MARKS = r"!-/:-@\[-`{-~\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf\xd7\xf7\u2010-\u2027\u2030-\u205e"
+_SIMPLE = re.compile(f"[ \\t\\n\\r\\x0b\\x0c0-9{_LETTERS}{_MARKS}]+")
+#: Rules of vocabularies whose words need no context beside a space, and the
+#: words of a simple text under them. Byte-level, as GPT-2 has it:
+SPACED_RULES = {
+    "normalizer": None,
+    "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True},
+}
+_SPACED = re.compile(
+    f" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\\s0-9{_LETTERS}]+|\\s+(?!\\S)|\\s+").findall
+#: Composed characters, lower case, then contractions, letters, digits and marks:
 WORD_RULES = {
     "normalizer": {"type": "Sequence", "normalizers": [
         {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -51,11 +66,9 @@ WORD_RULES = {
          "behavior": "Removed", "invert": True},
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
 }
-# ASCII and composed Latin letters: in lower case they stay in the range and the
-# rules see the same classes as the pattern (a capital I with a dot becomes two characters)
-_LETTERS = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f"
-_SIMPLE = re.compile(f"[!-~{_LETTERS}]+")
-_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+")
+_LOWER = re.compile(f"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\\s0-9{_LETTERS}]+").findall
+WORDS: list[tuple[bool, dict, Callable[[str], list[str]]]] = [
+    (False, SPACED_RULES, _SPACED), (True, WORD_RULES, lambda text: _LOWER(text.lower()))]
 # how a byte-level vocabulary spells bytes: printable ones as themselves
 _SPELLED_BYTES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_CHARS = {b: 0x100 + k for k, b in enumerate(sorted(set(range(256)).difference(_SPELLED_BYTES)))}
@@ -69,40 +82,35 @@ def public_path(name: str) -> str:
 
 
 class WordMemo(dict):
-    """Ids of chunks under ``WORD_RULES``, found at first use, in two generations."""
+    """Ids of words, as bytes, found at first use, in two generations."""
 
-    def __init__(self, whole: Callable[[list[str]], list[np.ndarray]], model, chunks: int):
+    def __init__(self, model, words: int):
         super().__init__()
-        self.whole, self.tokenize, self.chunks = whole, model.tokenize, chunks
+        self.tokenize, self.words = model.tokenize, words
         self.older: dict[str, bytes] = {}
 
-    def ids(self, chunks: list[str]) -> bytes:
-        if len(self) > self.chunks:
+    def ids(self, words: list[str]) -> bytes:
+        if len(self) > self.words:
             self.older = dict(self)
             self.clear()
-        return b"".join(map(self.__getitem__, chunks))
+        return b"".join(map(self.__getitem__, words))
 
-    def __missing__(self, chunk: str) -> bytes:
-        found = self.older.get(chunk)
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
         if found is None:
-            stem, mark = (chunk[:-1], chunk[-1]) if chunk[-1] in ".,;:!?" else (chunk, "")
-            if stem.isalpha() and stem.isascii():  # most chunks: one word, perhaps in capitals or with a mark
-                word = stem.lower()
-                found = self[word] + self[mark] if mark else self._word(chunk) if word == chunk else self[word]
-            elif _SIMPLE.fullmatch(chunk):
-                words = _WORDS.findall(chunk.lower())
-                found = self._word(chunk) if words == [chunk] else b"".join(map(self.__getitem__, words))
+            if word.isascii() and word.isprintable():
+                spelled = word.replace(" ", chr(_BYTE_CHARS[0x20]))
             else:
-                found = self.whole([chunk])[0].tobytes()
-        if len(chunk) <= MEMO_CHARS:
-            self[chunk] = found
+                spelled = word.encode().decode("latin-1").translate(_BYTE_CHARS)
+            ids = [t.id for t in self.tokenize(spelled)]
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) <= MEMO_CHARS:
+            self[word] = found
         return found
 
-    def _word(self, word: str) -> bytes:
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(_BYTE_CHARS)
-        ids = [t.id for t in self.tokenize(word)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def forget(self) -> None:
+        self.older = {}
+        self.clear()
 
 
 class ChunkEncoder:
@@ -122,17 +130,15 @@ class ChunkEncoder:
         self.marker_id, self.marker = next(((i, t.content) for i, t in sorted(added.items())), (None, None))
         self.sizes = self.byte_sizes()
         rules = json.loads(self.tokenizer.to_str())
-        self.words: WordMemo | None = None
-        if drops_space and all(rules[k] == v for k, v in WORD_RULES.items()):
-            self.words = WordMemo(self.whole, self.tokenizer.model, memo_chunks)
+        self.words = WordMemo(self.tokenizer.model, 2 * memo_chunks)
+        self.cut_words = next((cut for drops, known, cut in WORDS
+                               if drops == drops_space and all(rules[k] == v for k, v in known.items())), None)
         self.spelled = re.compile("|".join(re.escape(t.content) for t in added.values()) or r"(?!)")
 
     def forget(self) -> None:
         """Give the memo's memory back: the worker of this task serves others."""
         self.memo, self.older = {}, {}
-        if self.words is not None:
-            self.words.older = {}
-            self.words.clear()
+        self.words.forget()
         pa.default_memory_pool().release_unused()
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -143,6 +149,9 @@ class ChunkEncoder:
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of distinct chunks, none of which spells an added token."""
         out: dict[str, bytes] = {}
+        if self.cut_words:
+            out = {c: self.words.ids(self.cut_words(c)) for c in chunks if _SIMPLE.fullmatch(c)}
+            chunks = [c for c in chunks if c not in out]
         if not self.drops_space:  # chunks that begin with white space make a text: cut its ids by byte length
             joined = [c for c in chunks if c[0] in _WHITE and c[-1] not in _WHITE]
             if len(joined) < len(chunks):
@@ -179,8 +188,6 @@ class ChunkEncoder:
 
     def _ids(self, pieces: list[list[str]]) -> list[bytes]:
         """Ids of every list of chunks; what the memo lacks is learned in one call."""
-        if self.words is not None:
-            return [self.words.ids(p) for p in pieces]
         if len(self.memo) > self.memo_chunks:
             self.older, self.memo = self.memo, {}
         known: dict[str, bytes] = self.memo
@@ -203,15 +210,24 @@ class ChunkEncoder:
             self.memo.update(found)
         return [b"".join(map(known.__getitem__, p)) for p in pieces]
 
+    def _by_words(self, text: str) -> np.ndarray | None:
+        """Ids of a simple text."""
+        if self.cut_words is None or not _SIMPLE.fullmatch(text) or self.spelled.search(text):
+            return None
+        return np.frombuffer(b"".join(self.words.ids(self.cut_words(s)) for s in self._segments(text)), dtype="<u4")
+
     def _batch(self, texts: list[str]) -> Iterator[tuple[str, np.ndarray]]:
-        if len(texts) == 1 and len(texts[0]) > BATCH_CHARS and self._whole_only(texts[0]) is False:
+        found = [self._by_words(t) for t in texts]
+        others = [k for k, ids in enumerate(found) if ids is None]
+        if len(texts) == 1 and others and len(texts[0]) > BATCH_CHARS and not self._whole_only(texts[0]):
             raw = [self._ids([self._split(s)])[0] for s in self._segments(texts[0])]
             yield texts[0], np.frombuffer(b"".join(raw), dtype="<u4")
             return
-        split = [None if self._whole_only(t) else self._split(t) for t in texts]
-        ids = iter(self._ids([c for c in split if c is not None]))
-        for text, chunks in zip(texts, split):
-            yield text, self.whole([text])[0] if chunks is None else np.frombuffer(next(ids), dtype="<u4")
+        split = {k: None if self._whole_only(texts[k]) else self._split(texts[k]) for k in others}
+        ids = iter(self._ids([c for c in split.values() if c is not None]))
+        for k, chunks in split.items():
+            found[k] = self.whole([texts[k]])[0] if chunks is None else np.frombuffer(next(ids), dtype="<u4")
+        yield from zip(texts, found)
 
     def _whole_only(self, text: str) -> bool:
         return self.marker is None or bool(_ODD.search(text) or self.spelled.search(text))
