@@ -21,7 +21,8 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
+from array import array
+from codecs import charmap_decode
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -71,7 +72,8 @@ WORDS: list[tuple[bool, dict, Callable[[str], list[str]]]] = [
     (False, SPACED_RULES, _SPACED), (True, WORD_RULES, lambda text: _LOWER(text.lower()))]
 # how a byte-level vocabulary spells bytes: printable ones as themselves
 _SPELLED_BYTES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-_BYTE_CHARS = {b: 0x100 + k for k, b in enumerate(sorted(set(range(256)).difference(_SPELLED_BYTES)))}
+_UNSPELLED_BYTES = sorted(set(range(256)).difference(_SPELLED_BYTES))
+_BYTE_CHARS = "".join(chr(0x100 + _UNSPELLED_BYTES.index(b) if b in _UNSPELLED_BYTES else b) for b in range(256))
 _WHITE = frozenset(" \t\n\x0b\x0c\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000"
                    + "".join(map(chr, range(0x2000, 0x200B))))
 
@@ -98,12 +100,8 @@ class WordMemo(dict):
     def __missing__(self, word: str) -> bytes:
         found = self.older.get(word)
         if found is None:
-            if word.isascii() and word.isprintable():
-                spelled = word.replace(" ", chr(_BYTE_CHARS[0x20]))
-            else:
-                spelled = word.encode().decode("latin-1").translate(_BYTE_CHARS)
-            ids = [t.id for t in self.tokenize(spelled)]
-            found = struct.pack(f"<{len(ids)}I", *ids)
+            ids = [t.id for t in self.tokenize(charmap_decode(word.encode(), "strict", _BYTE_CHARS)[0])]
+            found = array("I", ids).tobytes()
         if len(word) <= MEMO_CHARS:
             self[word] = found
         return found
