@@ -12,9 +12,9 @@ Pipeline (all DataFrame ops, no driver loops over data):
 3. Fast path — every physical line of the file is a complete record: line =
    record, no shuffle.
 4. Slow path (quoted newlines) — each line is a transfer function over the
-   quote state {outside, inside}; windows inside each block compose it, the
-   per-block summary composes blocks, and only records that straddle lines are
-   grouped and concatenated.
+   quote state {outside, inside}; windows inside each chunk of consecutive lines
+   of a block compose it, a per-chunk summary composes chunks, and only records
+   that straddle lines are grouped and concatenated.
 5. :func:`file_verdicts` — first faulty record per file (UTF-8, oversize,
    syntax; header first) and the committed-prefix cut. The bytes of a file's
    lines must add up to its size; a file that could not be read to its end is an
@@ -49,6 +49,9 @@ BROADCAST_SUMMARY_BYTES = 128 * 1024 * 1024
 #: Bytes held at once while files are put behind one another.
 JOIN_BYTES = 8 * 1024 * 1024
 
+#: Lines of a block whose quote states one window composes: 2 to the power of this.
+CHUNK_BITS = 12
+
 FAULT_RANK = {C.FILE_BAD_UTF8: 1, C.FILE_OVERSIZE: 2, C.FILE_SYNTAX: 3, C.FILE_HEADER: 4}
 
 
@@ -248,14 +251,14 @@ def _xor(a, b):
     return F.when(a == b, F.lit(0)).otherwise(F.lit(1))
 
 
-def _compose(df: DataFrame, part: list[str], order: str, f_out: str, f_in: str, prefix: str) -> DataFrame:
+def _compose(df: DataFrame, part: list[str], order: list[str], f_out: str, f_in: str, prefix: str) -> DataFrame:
     """State before each row of an ordered sequence of transfer functions over
     {0 = outside, 1 = inside}, for both possible start states.
 
     A function is identity, swap or constant; the state before row i is the
     value of the last constant before i flipped by the parity of the swaps
     after it, else the start state flipped by the parity of all swaps."""
-    w = Window.partitionBy(*part).orderBy(order)
+    w = Window.partitionBy(*part).orderBy(*order)
     cum = w.rowsBetween(Window.unboundedPreceding, 0)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     fo, fi = F.col(f_out), F.col(f_in)
@@ -275,42 +278,43 @@ def _compose(df: DataFrame, part: list[str], order: str, f_out: str, f_in: str,
 CARRIED = ["hdr_ok", "error_code", "transaction_id", "occurred_at", "amount", "category"]
 
 
-def slow_records(numbered: DataFrame, bound_ok: bool, cut_path: str | None = None,
-                 carry: list[str] | None = None) -> DataFrame:
+def slow_records(numbered: DataFrame, cut_path: str | None = None, carry: list[str] | None = None) -> DataFrame:
     """S5 slow path for files with quoted newlines (or oversize lines).
 
-    One shuffle of the slow files' lines by (file, block) — each block is
-    bounded by the split size — windows compose the quote state inside the
-    block, a window over the tiny block summary composes blocks, and only
-    lines of multi-line records are grouped (lengths first, text only for
-    records within the limit)."""
+    One shuffle of the slow files' lines by (file, block, chunk) — a chunk is at
+    most 2^CHUNK_BITS consecutive lines, so no window holds a whole block —
+    windows compose the quote state inside the chunk, a window over the tiny
+    chunk summary composes a file's chunks, and only lines of multi-line records
+    are grouped (lengths first, text only for records within the limit)."""
     v = F.col("value")
     guard = F.col("u16") > F.col("max_chars")
     carry = carry or []
+    chunk = ["path", "block", "chunk"]
+    # the text of an oversize line is no part of any record within the limit
     lines = numbered.filter(F.col("slow")).select(
-        "path", "block", "mid", "value", "sep", "utf8_ok", "u16", "max_chars", *carry,
+        "path", "block", F.shiftright("mid", CHUNK_BITS).alias("chunk"), "mid", F.when(~guard, v).alias("value"), "sep", "utf8_ok", "u16", "max_chars", *carry,
         F.when(guard, F.lit(CF.ERR)).otherwise(CF.end_state_from_outside(v)).alias("a"),
         F.when(guard, F.lit(CF.ERR)).otherwise(CF.end_state_from_inside(v)).alias("b"))
     # ERR folds to "outside" for composition; states up to the first real
     # error stay exact and nothing after it is kept.
     lines = (lines.withColumn("fa", F.when(F.col("a") == CF.IN, 1).otherwise(0))
                   .withColumn("fb", F.when(F.col("b") == CF.IN, 1).otherwise(0)))
-    lines = _compose(lines, ["path", "block"], "mid", "fa", "fb", "st")
-    cum = Window.partitionBy("path", "block").orderBy("mid").rowsBetween(Window.unboundedPreceding, 0)
+    lines = _compose(lines, chunk, ["mid"], "fa", "fb", "st")
+    cum = Window.partitionBy(*chunk).orderBy("mid").rowsBetween(Window.unboundedPreceding, 0)
     for h in ("0", "1"):
         st = F.col("st" + h)
         lines = (lines.withColumn("end" + h, F.when(st == 0, F.col("fa")).otherwise(F.col("fb")))
                       .withColumn("starts" + h, F.sum((st == 0).cast("int")).over(cum)))
-    blocks = lines.groupBy("path", "block").agg(
+    chunks = lines.groupBy(*chunk).agg(
         F.max_by("end0", "mid").alias("e0"), F.max_by("end1", "mid").alias("e1"),
         F.max("starts0").alias("r0"), F.max("starts1").alias("r1"))
-    blocks = _compose(blocks, ["path"], "block", "e0", "e1", "bs")
-    blocks = blocks.withColumn("s_start", F.col("bs0"))  # a file starts outside quotes
+    chunks = _compose(chunks, ["path"], ["block", "chunk"], "e0", "e1", "bs")
+    chunks = chunks.withColumn("s_start", F.col("bs0"))  # a file starts outside quotes
     r_here = F.when(F.col("s_start") == 0, F.col("r0")).otherwise(F.col("r1"))
-    bbefore = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("rec_offset", F.coalesce(F.sum(r_here).over(bbefore), F.lit(0)))
-    bsel = blocks.select("path", "block", "s_start", "rec_offset")
-    lines = lines.join(F.broadcast(bsel) if bound_ok else bsel, ["path", "block"])
+    before = Window.partitionBy("path").orderBy("block", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumn("rec_offset", F.coalesce(F.sum(r_here).over(before), F.lit(0)))
+    # the lines are dealt and ordered by chunk already: a merge join moves only the summary
+    lines = lines.join(chunks.select(*chunk, "s_start", "rec_offset"), chunk)
     h1 = F.col("s_start") == 1
     st = F.when(h1, F.col("st1")).otherwise(F.col("st0"))
     lines = lines.select(
@@ -405,11 +409,19 @@ def file_verdicts(spark: SparkSession, files: DataFrame, staged: DataFrame, read
     file's (R4): then no other column is a statement about the file."""
     rank = F.element_at(F.create_map(*sum(([F.lit(k), F.lit(v)] for k, v in FAULT_RANK.items()), [])),
                         F.col("fault"))
+    # a number for record and rank, a list for the one header: least structs and greatest
+    # strings have no hash aggregate, each task would sort all its records with their text
     per_file = staged.groupBy("path").agg(
-        F.min(F.when(F.col("fault").isNotNull(), F.struct(F.col("record_no"), rank.alias("rank"),
-                                                           F.col("fault").alias("kind")))).alias("ff"),
+        F.min(F.when(F.col("fault").isNotNull(), F.col("record_no") * 8 + rank)).alias("_ff"),
         F.max("record_no").alias("n_records"),
-        F.max(F.when(F.col("record_no") == 1, F.col("record"))).alias("header_text"))
+        F.collect_list(F.when(F.col("record_no") == 1, F.col("record"))).alias("_header"))
+    ff_rank = F.col("_ff").bitwiseAND(7).cast("int")
+    kinds = F.array(*[F.lit(k) for k in sorted(FAULT_RANK, key=FAULT_RANK.get)])
+    per_file = per_file.select(
+        "path", F.when(F.col("_ff").isNotNull(), F.struct(
+            F.shiftright("_ff", 3).alias("record_no"), ff_rank.alias("rank"),
+            F.element_at(kinds, ff_rank).alias("kind"))).alias("ff"),
+        "n_records", F.array_max("_header").alias("header_text"))
     v = files.join(per_file, "path", "left").join(bom_flags(files), "path", "left").join(
         read_bytes.select("path", F.col("n_bytes").alias("_bytes")), "path", "left")
     # every line is counted with a separator, which the last one may lack; a BOM is not counted
@@ -507,7 +519,7 @@ def stage_records(spark: SparkSession, admitted: DataFrame, staging_path: str,
         numbered = (lines.join(s.filter(F.col("slow")).drop("n_bytes"), ["path", "block"])
                     .select("path", "block", "mid", "value", "sep", "utf8_ok", "u16", F.lit(max_chars).alias("max_chars"),
                             F.lit(True).alias("slow"), *CARRIED))
-        recs = slow_records(numbered, bound_ok, cut_path=staging_path + "/slowlines", carry=CARRIED) \
+        recs = slow_records(numbered, cut_path=staging_path + "/slowlines", carry=CARRIED) \
             .withColumn("max_chars", F.lit(max_chars))
         single = classified_single_faults(recs.filter(F.col("_single")))
         multi = record_faults(recs.filter(~F.col("_single")).drop(*CARRIED, "_single"))
