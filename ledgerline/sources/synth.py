@@ -68,7 +68,7 @@ def synthetic_rows(rows: DataFrame, seed: int, row_col: str = "row_number") -> D
 def generate_csv(spark: SparkSession, out_dir: str, n_rows: int, seed: int = 42, files: int = 1) -> str:
     """Write ``n_rows`` rows as ``files`` CSV files (header in each, LF),
     rows split into contiguous ranges; returns ``out_dir``."""
-    from ledgerline.plans.derived import rename_to_csv
+    from ledgerline.plans.derived import write_csv_files
     parts = max(1, files)
     rng = spark.range(1, n_rows + 1, numPartitions=max(parts, spark.sparkContext.defaultParallelism))
     rows = synthetic_rows(rng.withColumnRenamed("id", "row_number"), seed)
@@ -76,10 +76,8 @@ def generate_csv(spark: SparkSession, out_dir: str, n_rows: int, seed: int = 42,
                         "row_number", F.concat_ws(",", "transaction_id", "occurred_at", "amount", "category").alias("value"))
     header = spark.range(parts).select(F.col("id").cast("int").alias("part"), F.lit(0).cast("long").alias("row_number"),
                                        F.lit(",".join(C.EXPECTED_HEADER)).alias("value"))
-    (header.unionByName(lines).repartition(parts, "part").sortWithinPartitions("part", "row_number")
-     .select("part", "value").write.partitionBy("part").option("lineSep", "\n").text(out_dir))
-    rename_to_csv(spark, out_dir)
-    return out_dir
+    ranges = header.unionByName(lines).repartitionByRange("part", "row_number").sortWithinPartitions("part", "row_number")
+    return write_csv_files(spark, ranges.select("part", "value"), "part", out_dir)
 
 
 DIGEST_CHUNK = 8 << 20
